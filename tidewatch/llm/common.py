@@ -53,7 +53,7 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, known without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
