@@ -26,7 +26,7 @@ from tidewatch.llm.common import passes, texts_of, without
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 _WIDE, _LONE_SPACE = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
 #: Pieces kept encoded in each of a worker's two generations of memory.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -106,11 +106,6 @@ class Vocabulary:
         self.spaced = _Kept(self._words)
         self.find = regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        by_id = {ids[t]: t for t in self.tokens} | {i: s.encode() for s, i in self.special.items()}
-        ordered = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.sizes = np.array([len(t) for t in ordered], np.int64)
-        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])
-        self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
 
     def stands(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay apart when their bytes are merged together.
@@ -184,6 +179,18 @@ class Vocabulary:
             out += [np.uint32(self.special[part]).astype("<u4").tobytes()] if part in self.special else self._plain(part)
         return b"".join(out)
 
+
+class Decoder:
+    """Bytes of every token in one buffer, with an offset table."""
+
+    def __init__(self, text: str):
+        spec, letter = json.loads(text), byte_letters()
+        by_id = {i: bytes(letter[c] for c in token) for token, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        ordered = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.sizes = np.array([len(t) for t in ordered], np.int64)
+        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])
+        self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
+
     def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Texts of rows of ids laid end to end, as UTF-8 with U+FFFD for bytes that are none."""
         if len(ids) and int(ids.max()) >= len(self.sizes):
@@ -202,16 +209,15 @@ class Vocabulary:
         return out
 
 
-_OPEN: dict[int, Vocabulary] = {}
+_OPEN: dict[type, tuple[int, object]] = {}
 
 
-def opened(text: str) -> Vocabulary:
-    """This worker's vocabulary; the last one stays open."""
-    key = hash(text)
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Vocabulary(text)
-    return _OPEN[key]
+def opened(kind: type, text: str):
+    """This worker's Vocabulary or Decoder; the last one of each stays open."""
+    if kind not in _OPEN or _OPEN[kind][0] != hash(text):
+        _OPEN.pop(kind, None)
+        _OPEN[kind] = (hash(text), kind(text))
+    return _OPEN[kind][1]
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
@@ -226,11 +232,13 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = opened(sent.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            got = [own.encode(t) if t else b"" for t in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())], [*batch.schema.names, ids, count])
+        own = opened(Vocabulary, sent.value)
+        for whole in batches:
+            for a, b in passes(texts_of(whole.column(whole.schema.get_field_index(text)))[1]):
+                batch = whole.slice(a, b - a)
+                column = batch.column(batch.schema.get_field_index(text))
+                got = [own.encode(t.as_py()) if t.is_valid else b"" for t in column]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())], [*batch.schema.names, ids, count])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]))
 
@@ -242,14 +250,13 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     kept = [f for f in df.schema.fields if f.name != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = opened(sent.value)
+        own = opened(Decoder, sent.value)
         for batch in batches:
             raw, at = texts_of(batch.column(batch.schema.get_field_index(ids)))
-            got: list[bytes] = []
             for a, b in passes(at):
-                got += own.decode_all(np.frombuffer(raw[at[a] : at[b]].tobytes(), "<u4"), (at[a : b + 1] - at[a]) // 4)
-            kept_columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(got, pa.binary()).cast(pa.string())], [*(f.name for f in kept), out])
+                got = own.decode_all(np.frombuffer(raw[at[a] : at[b]].tobytes(), "<u4"), (at[a : b + 1] - at[a]) // 4)
+                kept_columns = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
+                yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(got, pa.binary()).cast(pa.string())], [*(f.name for f in kept), out])
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
 
