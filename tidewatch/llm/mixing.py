@@ -59,12 +59,12 @@ def budgets(leaves: dict[tuple, int], weights: Mapping[tuple, float], total: flo
     return out
 
 
-def mix(docs: DataFrame, levels: list, weights: Mapping[tuple, float] | None = None, total: float | None = None, epochs: int = 1, tokens=None, seed: int = 3, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, levels: list, weights: Mapping[tuple, float] | None = None, total: float | None = None, fraction: float = 1.0, epochs: int = 1, tokens=None, seed: int = 3, key: str = "doc_id") -> DataFrame:
     """The rows of docs that fill the budget, with `epoch` (int, from 0); a row comes once for each epoch taken.
 
     levels: columns or expressions from the root's children to the leaves; null is a value of its own, "". weights of
     paths, such as ("web",) or ("web", "en"), are relative to siblings; others count 1. tokens: an expression for a
-    row's length, by default the number of words. total: tokens to take, by default all that one epoch holds. A leaf
+    row's length, by default the number of words. total: tokens to take, by default `fraction` of what one epoch holds. A leaf
     takes rows in the order of a seeded hash, another in each epoch, as long as their tokens fit into its budget: the
     first row that would pass it ends the prefix. Rows without tokens cost nothing and come while the prefix lasts. A
     column of docs named epoch is replaced, all others stay; an empty table stays empty.
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, levels: list, weights: Mapping[tuple, float] | None = N
     held = {tuple(r["_leaf"]): r["n"] for r in rows.groupBy("_leaf").agg(F.sum("_n").alias("n")).limit(MOST_LEAVES + 1).collect()}
     if len(held) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
-    plan = budgets(held, weights or {}, sum(held.values()) if total is None else total, epochs)
+    plan = budgets(held, weights or {}, fraction * sum(held.values()) if total is None else total, epochs)
     whole = [(list(p), e, b - e * held[p]) for p, b in plan.items() for e in range(epochs) if b - e * held[p] > 0 or (e == 0 and held[p] == 0)]
     wanted = F.broadcast(spark.createDataFrame(whole, "_leaf array<string>, epoch int, _budget long"))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(f"`{key}`").cast("string")).cast("binary"))
