@@ -67,9 +67,9 @@ def operating_curve(scores: DataFrame, units: DataFrame, grid: DataFrame, deboun
 
 def matched_point(curve: DataFrame, least: float = 0.9) -> DataFrame:
     """Each method's point of lowest false rate among those of sensitivity `least` or more, else that of highest
-    sensitivity; the smaller threshold wins ties."""
+    sensitivity; rates count as equal to nine places, and the smaller threshold wins ties."""
     good = F.col("sensitivity") >= least
-    order = Window.partitionBy("method").orderBy(F.desc(good.cast("int")), F.when(good, F.col("false_per_hour")).otherwise(-F.col("sensitivity")), "threshold")
+    order = Window.partitionBy("method").orderBy(F.desc(good.cast("int")), F.round(F.when(good, F.col("false_per_hour")).otherwise(-F.col("sensitivity")), 9), "threshold")
     return curve.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 

@@ -184,7 +184,7 @@ def operating_curve(spark, sf_dir):
     return curve(spark, sf_dir)
 
 
-@query(f"""{CURVE_SQL} SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY CASE WHEN sensitivity >= 0.9 THEN 0 ELSE 1 END, CASE WHEN sensitivity >= 0.9 THEN false_per_hour ELSE -sensitivity END, threshold) AS rank FROM curve) WHERE rank = 1""", f"threshold {METRIC_DOUBLES}")
+@query(f"""{CURVE_SQL} SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY CASE WHEN sensitivity >= 0.9 THEN 0 ELSE 1 END, round(CASE WHEN sensitivity >= 0.9 THEN false_per_hour ELSE -sensitivity END, 9), threshold) AS rank FROM curve) WHERE rank = 1""", f"threshold {METRIC_DOUBLES}")
 def matched_point(spark, sf_dir):
     return me.matched_point(curve(spark, sf_dir))
 

@@ -13,7 +13,7 @@ ORACLE: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    return df.select(*((F.round(c, places) + 0.0).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def query(sql: str | None = None, doubles: str = ""):
@@ -23,7 +23,7 @@ def query(sql: str | None = None, doubles: str = ""):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
             body = sql.strip()
-            parts = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
+            parts = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
             ORACLE[f.__name__] = f"SELECT * REPLACE ({parts}) FROM ({body})" if parts else body
         return f
 
