@@ -279,3 +279,76 @@ def test_results_don_t_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+
+
+def test_streams_equal_their_batch_forms(spark, tmp_path):
+    """Three files are three micro-batches; what is open at the end of a stream is not out yet."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.streaming import stateful
+    from tidewatch.streaming.sources import run_to_end
+
+    rng = random.Random(8)
+    rows = [(k, float(t), rng.random() * 10, rng.random() + 0.1) for t in range(60) for k in range(8)]
+    schema = "series_id long, t double, x double, dx double"
+    whole = spark.createDataFrame([(k, int(t), t, x, d) for k, t, x, d in rows], "series_id long, i int, t double, x double, dx double")
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if part * 20 <= r[1] < (part + 1) * 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = sorted((r.series_id, r.i, round(r.z, 6)) for r in run_to_end(stateful.stream_normalize(stream().select("series_id", "t", "x"))).collect())
+    assert got == sorted((r.series_id, r.i, round(r.z, 6)) for r in windows.causal_normalize(whole).collect())
+    own = run_to_end(stateful.stream_episodes(stream().select("series_id", "t", F.col("x").alias("score")), 5.0, 2, 2)).collect()
+    batch = events.episodes(whole.select("series_id", "t", F.col("x").alias("score")), 5.0, 2, 2).collect()
+    assert {tuple(r) for r in own} <= {tuple(r) for r in batch} and len(batch) - len(own) <= 8
+    assert all(r.t_end >= 57 for r in batch if tuple(r) not in {tuple(x) for x in own})
+    own = run_to_end(stateful.stream_crossings(stream(), 7.0, 3.0, 0.5, 2.0)).collect()
+    batch = events.decluster(events.crossings(whole, 7.0, 3.0, 0.5, 0.5), 2.0).collect()
+    key = lambda r: (r.series_id, r.side, round(r.t, 9), round(r.severity, 9))
+    assert {key(r) for r in own} <= {key(r) for r in batch} and len(batch) - len(own) <= 8
+
+
+def test_signal_functions():
+    import numpy as np
+
+    from tidewatch.functions import signal
+
+    t = np.arange(64)
+    assert signal.envelope(np.cos(2 * np.pi * t / 8)) == pytest.approx(np.ones(64), abs=1e-9)
+    assert signal.dominant_period(np.cos(2 * np.pi * t / 8), 0.5, 1.0) == pytest.approx(4)
+    assert signal.decorrelation_lag(np.array([1, 0.6, 0.2, 0.1, 0.04, 0.02]), 0.05) == pytest.approx(5 * 0.95 / 0.98)
+    assert signal.decorrelation_time(np.ones(9), 2.0) == 2.0
+    late = np.cos(2 * np.pi * t / 8) * np.where(t >= 32, 5.0, 1.0)
+    assert signal.band_power(late, 8) > signal.band_power(np.cos(2 * np.pi * t / 8), 8)
+    assert signal.band_power(np.cos(2 * np.pi * t / 8) * np.where(t >= 32, 0.1, 1.0), 8) == 0
+    m0, m2 = signal.spectral_moments(2 * np.cos(2 * np.pi * t / 8), 1.0)
+    assert m0 == pytest.approx(2) and math.sqrt(m2 / m0) == pytest.approx(2 * math.pi / 8)
+
+
+def test_wave_group(spark):
+    from tidewatch.operators import signal
+
+    dt = 0.1
+    x = [(2.0 if 8 <= i * dt < 16 else 0.2) * math.sin(2 * math.pi * i * dt / 2) for i in range(240)]
+    df = spark.createDataFrame([(1, x)], "series_id long, x array<double>")
+    out = signal.wave_groups(df, 3.0, 4.0, dt).collect()
+    assert len(out) == 1 and out[0].lo == pytest.approx(8, abs=0.6) and out[0].hi == pytest.approx(16, abs=0.6) and out[0].height > 3.5
+
+
+def test_envelope_forecast_is_the_best_scale(spark):
+    import numpy as np
+
+    from tidewatch.operators import fits
+
+    rng = np.random.default_rng(3)
+    top, target = rng.random(200) + 0.5, rng.random(200) * 3
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(top, target, strict=True)], "top double, target double")
+    for r in fits.fit_envelope(df, [0.5, 0.9]).collect():
+        loss = lambda s: np.where(target > s * top, r.q * (target - s * top), (1 - r.q) * (s * top - target)).sum()  # noqa: E731, B023
+        assert loss(r.scale) <= min(loss(s) for s in np.linspace(0, 6, 4001)) + 1e-9
+
+
+def test_medoids(spark):
+    from tidewatch.operators import fits
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [9.0, 0.0]), (4, [9.1, 0.0])], "k long, v array<double>")
+    assert {r.k: r.medoid for r in fits.medoids(df, "k", "v", 2).collect()} == {1: 1, 2: 1, 3: 4, 4: 4}

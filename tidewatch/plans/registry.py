@@ -30,4 +30,4 @@ def query(sql: str | None = None, doubles: str = ""):
     return add
 
 
-from tidewatch.plans import dataset_queries, event_queries, rate_queries, score_queries, window_queries  # noqa: E402, F401
+from tidewatch.plans import dataset_queries, event_queries, rate_queries, score_queries, signal_queries, stream_queries, window_queries  # noqa: E402, F401
