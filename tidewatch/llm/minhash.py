@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Scratch, passes, rolling, texts_of, word_hashes
+from tidewatch.llm.common import Scratch, passes, rolling, shuffle_parts, texts_of, word_hashes
 from tidewatch.llm.graph import components
 
 #: A pair at the threshold of 0.8 agrees in 51 of 64 coordinates on average and in fewer than 35 once in about a million times.
 COORDINATES, MATCHES = 64, 35
-#: Rounds of leaders at most before the pairs that are left are compared directly.
-LEADER_ROUNDS = 8
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -87,6 +85,47 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams array<long>")
 
 
+def _common(sets: DataFrame, parts: int) -> DataFrame:
+    """id, common: for each text, summands of the number of its shingles that another of these texts has too. Each
+    shingle crosses the network as a sorted number and the place of its text in the batch it comes from."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+        for batch in batches:
+            ids, grams = batch.column(0).to_numpy(), batch.column(1)
+            flat = grams.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(ids), dtype=np.uint32), np.diff(grams.offsets.to_numpy()))
+            order = np.argsort(flat)
+            flat, of = flat[order], of[order]
+            cuts = np.concatenate([[0], np.searchsorted(flat, borders), [len(flat)]])
+            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+            blobs = []
+            for p in full:
+                own, at = np.unique(of[cuts[p] : cuts[p + 1]], return_inverse=True)
+                blobs.append(np.uint32(len(own)).tobytes() + ids[own].tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes() + at.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flats, ofs, n = [], [], [], 0
+        for blob in (x for batch in batches for x in batch.column(1).to_pylist()):
+            own = int(np.frombuffer(blob, np.uint32, 1)[0])
+            size = (len(blob) - 4 - 8 * own) // 12
+            ids.append(np.frombuffer(blob, np.int64, own, 4))
+            flats.append(np.frombuffer(blob, np.uint64, size, 4 + 8 * own))
+            ofs.append(np.frombuffer(blob, np.uint32, size, 4 + 8 * own + 8 * size).astype(np.int64) + n)
+            n += own
+        if not n:
+            return
+        flat, of, ids = np.concatenate(flats), np.concatenate(ofs), np.concatenate(ids)
+        order = np.argsort(flat)
+        flat, of = flat[order], of[order]
+        same = np.concatenate([[False], flat[1:] == flat[:-1], [False]])
+        common = np.bincount(of[same[1:] | same[:-1]], minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(common)], ["id", "common"])
+
+    return sets.mapInArrow(deal, "part int, blob binary").repartitionById(parts, "part").mapInArrow(count, "id long, common long")
+
+
 def _alike(a: str, b: str, percent: int):
     """Whether sets of these sizes can be as similar as asked."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -121,39 +160,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
 
     posted = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
     shared = posted.groupBy("key").count().where("count > 1")
-    prefix = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("list")).where(F.size("list") >= matches)
-    prefix = prefix.select("id", F.explode(F.slice("list", F.lit(1), F.size("list") - (matches - 1))).alias("p")).select("id", "p.key")
+    lists = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("list"), F.sum("count").alias("fame")).where(F.size("list") >= matches)
+    prefix = lists.select("id", "fame", F.explode(F.slice("list", F.lit(1), F.size("list") - (matches - 1))).alias("p")).select("id", "fame", "p.key")
     prefix = scratch.cut(prefix.join(reps.select("id", "n"), "id"))
     some = prefix.select("id").distinct()
     sets = scratch.cut(_sets(docs.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
 
-    known = scratch.cut(some.select("id", F.col("id").alias("comp")))
-    for turn in range(LEADER_ROUNDS + 1):
-        now = prefix.join(known, "id")
-        open_keys = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
-        before, prefix = prefix, scratch.cut(now.join(open_keys, "key").select("id", "key", "n", "comp", (F.expr("s * s - q") / 2).alias("left")))
-        scratch.drop(before)
-        count, left = prefix.groupBy("key").agg(F.count("*").alias("c"), F.first("left").alias("left")).agg(F.sum("c"), F.sum("left")).first()
-        if not count:
-            break
-        last = turn == LEADER_ROUNDS or left <= 2 * count
-        one = prefix.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        if last:
-            two = prefix.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            cand = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", percent))
-        else:
-            leaders = prefix.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h") if turn else F.lit(0).cast("long").alias("h"), "id", "n", "comp")).alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("cb"))
-            cand = one.join(leaders, "key").where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", percent))
-        cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = _confirm(cand, reps, sets, matches, percent)
-        own = known.select("id", "comp")
-        merged = components(links.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
-        before, known = known, scratch.cut(known.join(merged.toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
-        scratch.drop(before)
-        before, prefix = prefix, prefix.select("id", "key", "n")
-        prefix.scratch_path = before.scratch_path
-        if last:
-            break
+    leaders = scratch.cut(prefix.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("other"), "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", (-F.col("l.other")).alias("b"), F.col("l.n").alias("nb")))
+    near = prefix.withColumnsRenamed({"id": "a", "n": "na"}).join(leaders, "key").where((F.col("a") != F.col("b")) & _alike("na", "nb", percent))
+    links = scratch.cut(_confirm(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, sets, matches, percent))
+    known = scratch.cut(some.join(components(links, scratch).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+
+    held = prefix.select("key", "id", "n").join(known, "id")
+    tops = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("key", "top")
+    tops = scratch.cut(tops)
+    left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "comp", (F.col("comp") == F.col("top")).alias("top")))
+    common = scratch.cut(_common(sets.join(left.select("id").distinct(), "id", "left_semi"), shuffle_parts(spark)).groupBy("id").agg(F.sum("common").alias("r")))
+    rows = scratch.cut(left.join(common, "id").where(F.col("r") * 100 >= F.col("n") * percent))
+    one = rows.where("not top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("r").alias("ra"))
+    two = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("r").alias("rb"), "top")
+    reach = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    cross = one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & _alike("na", "nb", percent) & reach)
+    more = _confirm(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, sets, matches, percent)
+    more = more.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    known = known.join(components(more, scratch).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
 
     classes = reps.select("digest", "id").join(known, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
