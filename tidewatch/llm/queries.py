@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, jpeg, licences, lines, minhash, mixing, quality, sharding, substring, vptree
 from tidewatch.llm.common import read
+from tidewatch.llm.oracle import ORACLE  # noqa: F401
 
 #: Name of the vocabulary file that op1 uses, found through the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_substring": op10_substring,
 }
-
-ORACLE: dict[str, str] = {}
