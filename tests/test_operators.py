@@ -352,3 +352,23 @@ def test_medoids(spark):
 
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [9.0, 0.0]), (4, [9.1, 0.0])], "k long, v array<double>")
     assert {r.k: r.medoid for r in fits.medoids(df, "k", "v", 2).collect()} == {1: 1, 2: 1, 3: 4, 4: 4}
+
+
+def test_one_expert_is_the_scalar_level(spark):
+    rng = random.Random(2)
+    cal = spark.createDataFrame([(0.0, rng.random()) for _ in range(15)], "bound double, target double")
+    rows = spark.createDataFrame([(1, float(k), 1.0, 1 + rng.random() * 1.4) for k in range(25)], "series_id long, t double, bound double, target double")
+    for delay in (0, 2):
+        one = [r.level for r in conformal.dtaci(rows, cal, 0.2, [0.05], delay=delay).orderBy("t").collect()]
+        assert one == pytest.approx([r.level for r in conformal.aci(rows, cal, 0.2, 0.05, delay).orderBy("t").collect()])
+
+
+def test_bounds_don_t_see_unresolved_outcomes(spark):
+    rng = random.Random(6)
+    cal = spark.createDataFrame([(0.0, rng.random()) for _ in range(15)], "bound double, target double")
+    base = [(1, float(k), 1.0, 1 + rng.random()) for k in range(12)]
+    other = [(1, 0.0, 1.0, 9.0), *base[1:]]
+    schema = "series_id long, t double, bound double, target double"
+    for run in (lambda r: conformal.aci(r, cal, 0.2, 0.1, 6), lambda r: conformal.sliding_aci(r, cal, 0.2, 0.1, 10, 6), lambda r: conformal.dtaci(r, cal, 0.2, [0.05, 0.1], delay=6)):
+        a, b = ([x.upper for x in run(spark.createDataFrame(r, schema)).orderBy("t").collect()] for r in (base, other))
+        assert a[:6] == b[:6] and a[6] != b[6]

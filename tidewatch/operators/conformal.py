@@ -56,3 +56,93 @@ def aci(forecasts: DataFrame, cal: DataFrame, alpha: float, gamma: float, delay:
 
     folded = rows.select("series_id", "f", F.aggregate("f", start, step, lambda s: s["out"]).alias("o"))
     return folded.select("series_id", F.explode(F.arrays_zip("f", "o")).alias("z")).select("series_id", "z.f.*", "z.o.*")
+
+
+_BOUNDS = "series_id long, t double, bound double, target double, level double, upper double, miss int"
+
+
+def _by_series(forecasts: DataFrame, cal: DataFrame, walk) -> DataFrame:
+    """walk(scores, bounds, targets) -> levels, uppers over each series in order of time. Every series gets the
+    calibration scores in one array, so the fold needs nothing but its own group."""
+    import numpy as np
+
+    packed = cal.select((F.col("target") - F.col("bound")).alias("s"), F.monotonically_increasing_id().alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("a")).select(F.col("a.s").alias("scores"))
+    rows = forecasts.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "bound", "target"))).alias("f")).crossJoin(F.broadcast(packed))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for series, f, scores in zip(frame.series_id, frame.f, frame.scores, strict=True):
+                t, b, y = (np.array([r[c] for r in f], float) for c in ("t", "bound", "target"))
+                levels, uppers = walk(np.asarray(scores, float), b, y)
+                out += zip([series] * len(t), t, b, y, levels, uppers, (y > uppers).astype(int), strict=True)
+            import pandas as pd
+
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _BOUNDS.split(", ")])
+
+    return rows.mapInPandas(run, _BOUNDS)
+
+
+def _rank_quantile(ordered, alpha: float) -> float:
+    import math
+
+    n = len(ordered)
+    rank = math.ceil(round((n + 1) * (1 - alpha), 9))
+    return math.inf if alpha <= 0 or (alpha < 1 and rank > n) else -math.inf if alpha >= 1 else float(ordered[rank - 1])
+
+
+def sliding_aci(forecasts: DataFrame, cal: DataFrame, alpha: float, gamma: float, window: int, delay: int = 0) -> DataFrame:
+    """Adaptive level whose scores are the last `window` known ones of the series, at first those of cal; columns as aci()."""
+    import numpy as np
+
+    def walk(scores, bounds, targets):
+        recent, level = list(scores[-window:]), alpha
+        levels, uppers = np.empty(len(bounds)), np.empty(len(bounds))
+        known = lambda k: targets[k] > uppers[k]
+        for k, b in enumerate(bounds):
+            if delay and k >= delay:
+                recent = [*recent, targets[k - delay] - bounds[k - delay]][-window:]
+                level += gamma * (alpha - known(k - delay))
+            levels[k], uppers[k] = level, b + _rank_quantile(sorted(recent), level)
+            if not delay:
+                recent = [*recent, targets[k] - b][-window:]
+                level += gamma * (alpha - known(k))
+        return levels, uppers
+
+    return _by_series(forecasts, cal, walk)
+
+
+def dtaci(forecasts: DataFrame, cal: DataFrame, alpha: float, gammas: list[float], interval: int = 500, delay: int = 0) -> DataFrame:
+    """Adaptive level averaged over experts of several rates, by exponential weights with a little mixing; columns as
+    aci(). With one rate it is aci()."""
+    import numpy as np
+
+    rates, mixing = np.array(gammas, float), 1 / (2 * interval)
+    eta = np.sqrt((np.log(2 * len(rates) * interval) + 1) / (interval * (1 - alpha) ** 2 * alpha**2 / 3))
+
+    def walk(scores, bounds, targets):
+        ordered = np.sort(scores)
+        experts, weights = np.full(len(rates), alpha), np.ones(len(rates))
+        levels, uppers, waiting = np.empty(len(bounds)), np.empty(len(bounds)), []
+
+        def learn(loss, missed):
+            nonlocal experts, weights
+            fresh = weights * np.exp(-eta * (loss - loss.min()))
+            weights = (1 - mixing) * fresh + mixing * fresh.mean()
+            experts = experts + rates * (alpha - missed)
+
+        for k, (b, y) in enumerate(zip(bounds, targets, strict=True)):
+            if delay and len(waiting) >= delay:
+                learn(*waiting.pop(0))
+            levels[k] = float(weights / weights.sum() @ experts)
+            uppers[k] = b + _rank_quantile(ordered, levels[k])
+            beta = 1 - np.searchsorted(ordered, y - b, "left") / (len(ordered) + 1)
+            loss = alpha * (beta - experts) - np.minimum(0, beta - experts)
+            missed = np.array([y > b + _rank_quantile(ordered, a) for a in experts], float)
+            if delay:
+                waiting.append((loss, missed))
+            else:
+                learn(loss, missed)
+        return levels, uppers
+
+    return _by_series(forecasts, cal, walk)

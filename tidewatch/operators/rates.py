@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,73 @@ def step_predict(df: DataFrame, knots: DataFrame, column: str) -> DataFrame:
     joined = df.crossJoin(F.broadcast(packed))
     first = F.get(F.filter("k", lambda k: k["x"] >= F.col(column)), F.lit(0))
     return joined.withColumn("fit", F.coalesce(first["fit"], F.get("k", F.size("k") - 1)["fit"])).drop("k")
+
+
+def ecdf_rate(groups: DataFrame, critical: DataFrame, exposure: float) -> DataFrame:
+    """rate: for each group, the share of its class' critical heights at or below its height, by stratum, weighted over
+    strata, times the group's weight, summed over groups and divided by the exposure.
+
+    groups(kind, height, weight), critical(kind, stratum, height, share). The shares at or below are running counts
+    over the union of both tables, so no pair of rows is formed.
+    """
+    strata = critical.select("kind", "stratum", "share").distinct()
+    sizes = critical.groupBy("kind", "stratum").agg(F.count("*").alias("size"))
+    asked = groups.join(strata, "kind").select("kind", "stratum", "height", F.lit(0).alias("given"), "weight", "share")
+    given = critical.select("kind", "stratum", "height", F.lit(1).alias("given"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("share"))
+    w = Window.partitionBy("kind", "stratum").orderBy("height", F.desc("given")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = asked.unionByName(given).withColumn("below", F.sum("given").over(w)).where("given = 0").join(F.broadcast(sizes), ["kind", "stratum"])
+    return seen.agg((F.sum(F.col("weight") * F.col("share") * F.col("below") / F.col("size")) / exposure).alias("rate"))
+
+
+def fit_conditional(clusters: DataFrame, bins: int, by: list[str] | None = None) -> DataFrame:
+    """Monotone P(hit | severity) over quantile bins of clusters(severity, hit): by, bin, lo, hi (edges, null outside),
+    n, hits, p, and the Wilson band made monotone around it."""
+    by = by or []
+    z = 1.959963984540054
+    cuts = clusters.groupBy(*by).agg(F.array_distinct(F.percentile("severity", F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("cuts"))
+    joined = clusters.join(F.broadcast(cuts), by) if by else clusters.crossJoin(F.broadcast(cuts))
+    binned = joined.withColumn("bin", F.size(F.filter("cuts", lambda e: F.col("severity") >= e)))
+    rows = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.first("cuts").alias("cuts"))
+    p, n = F.col("hits") / F.col("n"), F.col("n")
+    middle, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    rows = rows.withColumns({"raw_p": p, "raw_lo": middle - half, "raw_hi": middle + half})
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "raw_p", "raw_lo", "raw_hi"))).alias("b"))
+
+    def monotone(c: str):
+        """Max-min formula over the few bins of a group."""
+        last = F.size("b") - 1
+
+        def mean(i, j):
+            part = F.slice("b", i + 1, j - i + 1)
+            top = F.aggregate(part, F.lit(0.0), lambda s, r: s + r[c] * r["n"])
+            return top / F.aggregate(part, F.lit(0.0), lambda s, r: s + r["n"])
+
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_max(F.transform(F.sequence(F.lit(0), k), lambda i: F.array_min(F.transform(F.sequence(k, last), lambda j: mean(i, j))))))
+
+    fitted = packed.withColumns({"p": monotone("raw_p"), "l": monotone("raw_lo"), "h": monotone("raw_hi")})
+    flat = fitted.select(*by, F.explode(F.arrays_zip(F.col("b.bin").alias("bin"), "p", "l", "h")).alias("r")).select(*by, F.col("r.bin").alias("bin"), F.col("r.p").alias("p"), F.least("r.l", "r.p").alias("p_lo"), F.greatest("r.h", "r.p").alias("p_hi"))
+    return rows.join(flat, [*by, "bin"]).select(*by, "bin", F.get("cuts", F.col("bin") - 1).alias("lo"), F.get("cuts", F.col("bin")).alias("hi"), "n", "hits", "p", "p_lo", "p_hi")
+
+
+def tracking_lag(paths: DataFrame, most: int) -> DataFrame:
+    """lag (steps) at which rows(k, rate, hazard), numbered by k, correlate best, rate later than hazard for positive
+    lags, the smallest lag on ties; and the mean difference. The path is a grid of fixed length."""
+    lags = F.explode(F.sequence(F.lit(-most), F.lit(most)))
+    left = paths.select(F.col("k"), F.col("hazard").alias("h")).withColumn("lag", lags)
+    pairs = left.join(paths.select((F.col("k")).alias("k2"), "rate"), F.col("k2") == F.col("k") + F.col("lag"))
+    fit = pairs.groupBy("lag").agg(F.corr("h", "rate").alias("c"), F.count("*").alias("n")).where("n >= 3 and c is not null and not isnan(c)")
+    best = fit.agg(F.min_by("lag", F.struct(-F.round("c", 9), F.col("lag"))).alias("lag"))
+    return best.crossJoin(paths.agg(F.avg(F.col("rate") - F.col("hazard")).alias("bias")))
+
+
+def rate_draws(emissions: DataFrame, draws: int, seed: int) -> DataFrame:
+    """emissions(series_id, t, n, exposure) with `draws`, Poisson counts over the exposure (array, per second), and their
+    95% interval lo, hi. Each row's generator is seeded by its series and time, so draws don't depend on partitions."""
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series, t: pd.Series, n: pd.Series, exposure: pd.Series) -> pd.Series:
+        make = lambda s, at, k, e: np.random.default_rng([seed, zlib.crc32(f"{s}|{at:.6f}".encode())]).poisson(k, draws) / max(e, 1e-9)
+        return pd.Series([make(*r) for r in zip(series, t, n, exposure, strict=True)])
+
+    out = emissions.withColumn("draws", F.array_sort(run("series_id", "t", "n", "exposure")))
+    at = lambda q: F.get("draws", F.lit(round(q * (draws - 1))))
+    return out.withColumns({"lo": at(0.025), "hi": at(0.975)})

@@ -137,3 +137,46 @@ def stratified_sample(spark, sf_dir):
     from tidewatch.sources.tables import read
 
     return re_.stratified_sample(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], 400, 5, "o_orderkey")
+
+
+#: Heights of series' peaks by class against critical heights of the clusters, by stratum, in equal shares.
+ECDF_SQL = """g AS (SELECT series_id % 2 AS kind, max(x) AS height, 1.0 + series_id % 4 AS weight FROM samples GROUP BY series_id),
+c AS (SELECT series_id % 2 AS kind, stratum, severity * 40 AS height FROM kept), s AS (SELECT kind, stratum, count(*) AS size FROM c GROUP BY 1, 2)"""
+
+
+@query(f"{WITH}, {ECDF_SQL} SELECT sum(weight * below / size / 3.0) / 24.0 AS rate FROM (SELECT g.weight, s.size, (SELECT count(*) FROM c WHERE c.kind = g.kind AND c.stratum = s.stratum AND c.height <= g.height) AS below FROM g JOIN s USING (kind))", "rate")
+def ecdf_rate(spark, sf_dir):
+    s = views(spark, sf_dir)[0]
+    groups = s.groupBy("series_id").agg(F.max("x").alias("height")).select((F.col("series_id") % 2).alias("kind"), "height", (1.0 + F.col("series_id") % 4).cast("double").alias("weight"))
+    critical = kept(spark, sf_dir).select((F.col("series_id") % 2).alias("kind"), "stratum", (F.col("severity") * 40).alias("height"), F.lit(1 / 3).alias("share"))
+    return ra.ecdf_rate(groups, critical, 24.0)
+
+
+def hits(spark, sf_dir):
+    joined = kept(spark, sf_dir).join(views(spark, sf_dir)[1].select("series_id", "t_event"), "series_id")
+    return joined.select("stratum", F.round("severity", 9).alias("severity"), F.coalesce((F.col("t") <= F.col("t_event")) & (F.col("t_event") - F.col("t") <= 2 * DAY), F.lit(False)).alias("hit"))
+
+
+@query(f"""{WITH}, h AS (SELECT k.stratum, round(severity, 9) AS severity, CASE WHEN t <= t_event AND t_event - t <= {2 * DAY} THEN 1 ELSE 0 END AS hit FROM kept k JOIN units u USING (series_id)),
+cuts AS (SELECT list_distinct(quantile_cont(severity, [0.2, 0.4, 0.6, 0.8])) AS cuts FROM h),
+b AS (SELECT bin, count(*) AS n, sum(hit) AS hits, CAST(sum(hit) AS DOUBLE) / count(*) AS raw FROM (SELECT h.*, (SELECT count(*) FROM (SELECT unnest(cuts) AS c) WHERE h.severity >= c) AS bin FROM h, cuts) GROUP BY bin),
+m AS (SELECT p.bin AS a, q.bin AS z, (SELECT sum(r.n * r.raw) / sum(r.n) FROM b r WHERE r.bin BETWEEN p.bin AND q.bin) AS m FROM b p JOIN b q ON p.bin <= q.bin)
+SELECT CAST(bin AS INTEGER) AS bin, n, CAST(hits AS BIGINT) AS hits, (SELECT max(l) FROM (SELECT (SELECT min(m.m) FROM m WHERE m.a = p.bin AND m.z >= b.bin) AS l FROM b p WHERE p.bin <= b.bin)) AS p FROM b""", "p")
+def fit_conditional(spark, sf_dir):
+    return ra.fit_conditional(hits(spark, sf_dir), 5).select("bin", "n", "hits", "p")
+
+
+@query()
+def fit_conditional_by(spark, sf_dir):
+    return ra.fit_conditional(hits(spark, sf_dir), 5, ["stratum"])
+
+
+@query()
+def rate_draws(spark, sf_dir):
+    return ra.rate_draws(emitted(spark, sf_dir), 64, 9).select("series_id", "t", "n", "lo", "hi")
+
+
+@query()
+def tracking_lag(spark, sf_dir):
+    path = ra.ensemble_path(paths(spark, sf_dir)).join(ra.kernel_hazard(views(spark, sf_dir)[1], list(GRID), DAY).select("t", "hazard"), "t")
+    return ra.tracking_lag(path.select((F.col("t") / GRID[1]).cast("int").alias("k"), (F.col("mean_rate") * 3600).alias("rate"), (F.col("hazard") * 3600).alias("hazard")), 3)

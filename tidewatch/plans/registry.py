@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,7 +22,11 @@ def query(sql: str | None = None, doubles: str = ""):
     """Registers a function under its name, with the SQL of the same result; doubles are the columns SQL rounds."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return rounded(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             body = sql.strip()
             parts = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())

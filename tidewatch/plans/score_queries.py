@@ -184,3 +184,15 @@ def label_auc(spark, sf_dir):
 @query(f"WITH {SAMPLES_SQL}, {UNITS_SQL} SELECT stratum, count(d) AS n, avg(d) AS mean, min(d) AS low, quantile_cont(d, 0.25) AS q25, quantile_cont(d, 0.5) AS q50, quantile_cont(d, 0.75) AS q75, max(d) AS high FROM (SELECT stratum, t_event - record_start AS d FROM units) GROUP BY stratum", "mean low q25 q50 q75 high")
 def describe5(spark, sf_dir):
     return me.describe5(views(spark, sf_dir)[1].withColumn("d", F.col("t_event") - F.col("record_start")), "d", ["stratum"])
+
+
+@query()
+def sliding_aci(spark, sf_dir):
+    b = bounded(spark, sf_dir)
+    return co.sliding_aci(b.where("stratum <> 0"), b.where("stratum = 0"), 0.1, 0.02, 200, 2).select("series_id", "t", "level", "upper", "miss")
+
+
+@query()
+def dtaci(spark, sf_dir):
+    b = bounded(spark, sf_dir)
+    return co.dtaci(b.where("stratum <> 0"), b.where("stratum = 0"), 0.1, [0.001, 0.004, 0.016, 0.064], delay=2).select("series_id", "t", "level", "upper", "miss")
