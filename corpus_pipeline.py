@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import bpe, lines, minhash, mixing, quality
 from tidewatch.llm.common import Scratch, read
 from tidewatch.llm.queries import DOMAIN, WEIGHTS, vocabulary_text
+from tidewatch.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:

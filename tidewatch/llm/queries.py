@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import bpe, jpeg, licences, lines, minhash, mixing, quality, sharding, substring, vptree
 from tidewatch.llm.common import read
 from tidewatch.llm.oracle import ORACLE  # noqa: F401
+from tidewatch.session import ship
 
 #: Name of the vocabulary file that op1 uses, found through the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -73,15 +74,12 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"), width=35, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-    "op2_minhash": op2_minhash,
-    "op3_vptree": op3_vptree,
-    "op4_mixing": op4_mixing,
-    "op5_jpeg": op5_jpeg,
-    "op6_sharding": op6_sharding,
-    "op7_licences": op7_licences,
-    "op8_quality": op8_quality,
-    "op9_lines": op9_lines,
-    "op10_substring": op10_substring,
-}
+def _shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op8_quality, op9_lines, op10_substring)}
