@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Scratch, passes, rolling, shuffle_parts, texts_of, word_hashes
+from tidewatch.llm.common import Scratch, passes, rolling, shuffle_parts, texts_of, tune, word_hashes
 from tidewatch.llm.graph import components
 
 #: A pair at the threshold of 0.8 agrees in 51 of 64 coordinates on average and in fewer than 35 once in about a million times.
@@ -86,13 +87,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _common(sets: DataFrame, parts: int) -> DataFrame:
-    """id, common: for each text, summands of the number of its shingles that another of these texts has too. Each
-    shingle crosses the network as a sorted number and the place of its text in the batch it comes from."""
+    """id, r: how many shingles of each text are also in a text of another component. sets(id, comp, grams).
+
+    Each shingle crosses the network as a sorted number and the place of its text in the batch it comes from; what
+    comes back to a batch are counts for its texts, one row for each part.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, grams = batch.column(0).to_numpy(), batch.column(1)
+            ids, comps, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat = grams.flatten().to_numpy().view(np.uint64)
             of = np.repeat(np.arange(len(ids), dtype=np.uint32), np.diff(grams.offsets.to_numpy()))
             order = np.argsort(flat)
@@ -102,28 +107,64 @@ def _common(sets: DataFrame, parts: int) -> DataFrame:
             blobs = []
             for p in full:
                 own, at = np.unique(of[cuts[p] : cuts[p + 1]], return_inverse=True)
-                blobs.append(np.uint32(len(own)).tobytes() + ids[own].tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes() + at.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                blobs.append(np.uint32(len(own)).tobytes() + ids[own].tobytes() + comps[own].tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes() + at.astype(np.uint32).tobytes())
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "batch", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, flats, ofs, n = [], [], [], 0
-        for blob in (x for batch in batches for x in batch.column(1).to_pylist()):
-            own = int(np.frombuffer(blob, np.uint32, 1)[0])
-            size = (len(blob) - 4 - 8 * own) // 12
-            ids.append(np.frombuffer(blob, np.int64, own, 4))
-            flats.append(np.frombuffer(blob, np.uint64, size, 4 + 8 * own))
-            ofs.append(np.frombuffer(blob, np.uint32, size, 4 + 8 * own + 8 * size).astype(np.int64) + n)
-            n += own
+        numbers, ids, comps, flats, ofs, n = [], [], [], [], [], 0
+        for batch in batches:
+            for number, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = int(np.frombuffer(blob, np.uint32, 1)[0])
+                size = (len(blob) - 4 - 16 * own) // 12
+                numbers.append(number)
+                ids.append(np.frombuffer(blob, np.int64, own, 4))
+                comps.append(np.frombuffer(blob, np.int64, own, 4 + 8 * own))
+                flats.append(np.frombuffer(blob, np.uint64, size, 4 + 16 * own))
+                ofs.append(np.frombuffer(blob, np.uint32, size, 4 + 16 * own + 8 * size).astype(np.int64) + n)
+                n += own
         if not n:
             return
-        flat, of, ids = np.concatenate(flats), np.concatenate(ofs), np.concatenate(ids)
+        flat, of, comp = np.concatenate(flats), np.concatenate(ofs), np.concatenate(comps)
         order = np.argsort(flat)
         flat, of = flat[order], of[order]
-        same = np.concatenate([[False], flat[1:] == flat[:-1], [False]])
-        common = np.bincount(of[same[1:] | same[:-1]], minlength=n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(common)], ["id", "common"])
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        whose = comp[of]
+        mixed = np.minimum.reduceat(whose, first) != np.maximum.reduceat(whose, first)
+        common = np.bincount(of[np.repeat(mixed, np.diff(first, append=len(flat)))], minlength=n)
+        ends = np.cumsum([len(x) for x in ids])
+        blobs = [x.tobytes() + c.astype(np.int64).tobytes() for x, c in zip(ids, np.split(common, ends[:-1]), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "blob"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blobs in batch.column(0).to_pylist():
+                pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs]
+                ids, at = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+                total = np.bincount(at, np.concatenate([p[1] for p in pairs])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "r"])
 
-    return sets.mapInArrow(deal, "part int, blob binary").repartitionById(parts, "part").mapInArrow(count, "id long, common long")
+    counted = sets.select("id", "comp", "grams").mapInArrow(deal, "part int, batch long, blob binary").repartitionById(parts, "part").mapInArrow(count, "batch long, blob binary")
+    return counted.groupBy("batch").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(add, "id long, r long")
+
+
+def _across(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets(id, n, comp, grams) of different components that can be as similar as asked: with shingles
+    ordered from rare to frequent they meet in a prefix, far enough from the end for what must still be shared.
+
+    Of each list the rows of its commonest component meet only those of others, so a large group isn't paired up.
+    """
+    flat = scratch.cut(sets.select("id", "n", "comp", F.explode("grams").alias("s")))
+    often = scratch.cut(flat.groupBy("s").agg(F.count("*").alias("c"), (F.min("comp") != F.max("comp")).alias("mixed")).where("c > 1"))
+    ordered = flat.join(often, "s", "left").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1).cast("long")).alias("c"), "s", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("list"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = scratch.cut(ordered.select("id", "n", "comp", F.posexplode(F.slice("list", F.lit(1), length)).alias("i", "p")).where("p.mixed").select("id", "n", "comp", "i", "p.s"))
+    tops = scratch.cut(prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("s", "top"))
+    rows = scratch.cut(prefix.join(tops, "s").select("s", "id", "n", "comp", "i", (F.col("comp") == F.col("top")).alias("top")))
+    one = rows.where("not top").select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("i").alias("ia"))
+    two = rows.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("i").alias("ib"), "top")
+    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return one.join(two, "s").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & _alike("na", "nb", percent) & rest)
 
 
 def _alike(a: str, b: str, percent: int):
@@ -153,6 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     Lost executors: every table that later steps read lies in the shared folder.
     """
     spark = docs.sparkSession
+    tune(spark)
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.cut(signatures(docs, width, coordinates))
@@ -175,12 +217,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     tops = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("key", "top")
     tops = scratch.cut(tops)
     left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "comp", (F.col("comp") == F.col("top")).alias("top")))
-    common = scratch.cut(_common(sets.join(left.select("id").distinct(), "id", "left_semi"), shuffle_parts(spark)).groupBy("id").agg(F.sum("common").alias("r")))
-    rows = scratch.cut(left.join(common, "id").where(F.col("r") * 100 >= F.col("n") * percent))
-    one = rows.where("not top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("r").alias("ra"))
-    two = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("r").alias("rb"), "top")
-    reach = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    cross = one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & _alike("na", "nb", percent) & reach)
+    common = scratch.cut(_common(sets.join(left.select("id", "comp").distinct(), "id"), shuffle_parts(spark)))
+    some = left.select("id", "n", "comp").distinct().join(common, "id").where(F.col("r") * 100 >= F.col("n") * percent)
+    cross = _across(sets.join(some.select("id", "n", "comp"), "id").select("id", "n", "comp", "grams"), percent, scratch)
     more = _confirm(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, sets, matches, percent)
     more = more.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     known = known.join(components(more, scratch).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
