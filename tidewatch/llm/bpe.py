@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import passes, texts_of, without
+from tidewatch.llm.common import passes, texts_of, tune, without
 
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE, with \\s written as the White_Space property.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -229,6 +229,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     """
     df = without(df, ids, count)
     spark = df.sparkSession
+    tune(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of `ids` in place of it. Null ids decode as the empty text. No shuffle."""
     df = without(df, out)
+    tune(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
     kept = [f for f in df.schema.fields if f.name != ids]
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on at a time (a longer text is a pass of its own).
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tune(spark: SparkSession) -> None:
+    """Texts are long: what goes to Python at a time is at most 1,000 rows and 8 MB (or one row)."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import passes, texts_of, word_hashes
+from tidewatch.llm.common import passes, texts_of, tune, word_hashes
 
 #: Hashed pairs, columns that tell of a word said again at once (many, so that they weigh in), latent dimensions, labelled texts that a model is fitted on at most, and neighbours that vote.
 PAIRS, STUTTERS, DIMENSIONS, SAMPLE, NEIGHBOURS = 2048, 32, 48, 4096, 9
@@ -92,6 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours:
     these the `sample` first in the order of a hash of doc_id. The bound keeps what is broadcast the same size for
     every corpus; a labelled text of any length counts whole.
     """
+    tune(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
     picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
@@ -130,6 +131,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     if model is None:
         return docs.withColumn(out, F.lit(1.0))
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(out, F.lit(1.0)).schema
 

@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, passes, plan_bytes, rolling, shuffle_parts, texts_of, word_hashes
+from tidewatch.llm.common import PASS_BYTES, Scratch, passes, plan_bytes, rolling, shuffle_parts, texts_of, tune, word_hashes
 
 #: Windows that a task gathers before it sends them on.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 #: Bytes of input for each partition of fingerprints.
 PART_BYTES = 16 << 20
 
@@ -130,7 +130,7 @@ _PACKS = f"{_OUT}, pack long, ids array<long>, texts array<binary>, hits array<b
 
 
 def _packs(marked: DataFrame, keep_text: bool) -> DataFrame:
-    """Finished rows of texts without a hit block; the others in packs of a few MB, each in one row."""
+    """Finished rows of texts without a hit block; the others in packs of about PASS_BYTES, each in one row."""
     names = [x.split(" ")[0] for x in _PACKS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
@@ -153,7 +153,7 @@ def _packs(marked: DataFrame, keep_text: bool) -> DataFrame:
                     texts.append(text)
                     hits.append(np.sort(np.array(blocks, np.int32)).tobytes())
                     size += len(text)
-                    if size >= 4 << 20:
+                    if size >= PASS_BYTES:
                         yield rows({"pack": [seq], "ids": [ids], "texts": [texts], "hits": [hits]})
                         seq, ids, texts, hits, size = seq + 1, [], [], [], 0
             if out["doc_id"]:
@@ -281,6 +281,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     can split. Parts grow in number with the input.
     """
     spark = docs.sparkSession
+    tune(spark)
     scratch = Scratch(spark, "substring")
     block = (width + 1) // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
