@@ -24,8 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two lines or more go; so do documents of which nothing is left."""
-    out = lines.dedup_lines(docs.select(COLUMNS), min_lines=2).where("text is not null")
+    """Later copies of lines with a word and of runs of two lines or more go; so do documents of which nothing is left."""
+    out = lines.dedup_lines(docs.select(COLUMNS), min_lines=2, min_words=1).where("text is not null")
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

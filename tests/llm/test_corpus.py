@@ -364,6 +364,34 @@ def test_lines_equal_brute_force(docs, rows, none, least):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_single_lines_between_others_go(spark):
+    docs = spark.createDataFrame([(1, "a\ncommon text\n\nb"), (2, "c\ncommon text\nd\n\ne"), (3, "common text"), (4, "\n\nf\n\n\ncommon text\ncommon text"), (5, "a\nf")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.longest_run, r.text) for r in lines.dedup_lines(docs, min_words=1).collect()}
+    assert got == {1: (0, 0, "a\ncommon text\n\nb"), 2: (1, 1, "c\nd\n\ne"), 3: (1, 1, None), 4: (4, 4, "\n\nf"), 5: (2, 2, None)}
+    longer = {r.doc_id: r.text for r in lines.dedup_lines(docs, min_words=2).collect()}
+    assert longer == {1: "a\ncommon text\n\nb", 2: "c\nd\n\ne", 3: None, 4: "\n\nf", 5: "a\nf"}
+
+
+def test_pipeline_drops_later_copies_of_single_lines(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a\nshared words\nb", "en", "src0", 16), (2, "c\nshared words\nd", "en", "src0", 16)], SCHEMA)
+    assert [tuple(r) for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).orderBy("doc_id").select("text", "n_chars").collect()] == [("a\nshared words\nb", 16), ("c\nd", 3)]
+
+
+def test_repeated_lines_match_sql(spark, sf_dir):
+    import duckdb
+
+    from tidewatch.llm.oracle import ORACLE
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name in ("op9_lines", "op9_repeated_lines"):
+        own = QUERIES[name](spark, sf_dir)
+        sql = duckdb.sql(ORACLE[name])
+        assert own.columns == sql.columns
+        assert sorted(map(tuple, own.collect())) == sorted(sql.fetchall())
+
+
 def test_lines_of_repeated_rows_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "x\ny"), (2, "x\ny\nz\nz\nz")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text or "") for r in lines.dedup_lines(docs).collect()) == [(0, "x\ny"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "z")]

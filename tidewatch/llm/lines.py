@@ -3,8 +3,9 @@
 Lines are numbered by the first place that holds the same line. Prefix doubling names longer runs: two places have
 the same name for 2h lines if their names for h lines and those h lines on agree, and the name again is the first
 such place. A name shared by several places is an interval of the suffix array with a common prefix of that length.
-Doubling ends at the length asked for: a place whose name of `min_lines` lines is another one begins a later copy, and
-runs of such places are the maximal repeats.
+Doubling ends at the length asked for: a place whose name of `min_lines` lines is another one begins a later copy.
+Every longer repeat is covered by such places, so that what goes is the same as by maximal repeats. A line with words
+enough can be a run by itself.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tidewatch.llm.common import Scratch, without
 def _names(places: DataFrame, *parts: str) -> DataFrame:
     """places with `name`: the first place at which all parts agree; places at which nothing else agrees are left out."""
     same = places.groupBy(*parts).agg(F.min(F.struct("id", "th", "line")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return places.join(same, list(parts)).select("id", "th", "line", "name")
+    return places.join(same, list(parts)).drop(*parts)
 
 
 def _pairs(named: DataFrame, step: int) -> DataFrame:
@@ -27,12 +28,19 @@ def _pairs(named: DataFrame, step: int) -> DataFrame:
     return named.select("id", "th", "line", F.col("name").alias("a"), F.first("name").over(order).alias("b")).where("b is not null")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _later(named: DataFrame, size: int) -> DataFrame:
+    """Places that begin a later copy of a run of `size` lines."""
+    other = (F.col("name.id") != F.col("id")) | (F.col("name.th") != F.col("th")) | (F.col("name.line") != F.col("line"))
+    return named.where(other).select("id", "th", F.struct("line", F.lit(size).alias("size")).alias("start"))
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """docs with n_lines, n_removed and longest_run (all long), and the text without later copies.
 
     A text's lines are what lies between newlines; a null text has none and stays null, an empty one has one. A line
     is deleted if it lies in a run of `min_lines` lines or more of its text that also begins at an earlier place:
-    in a text of smaller key, or further up in the same one. Texts left without any line are null. Rows with equal key
+    in a text of smaller key, or further up in the same one. With min_words, a line of so many words or more (as for
+    mixing) is such a run by itself, whatever its neighbours; without, lines go only in runs of `min_lines`. Texts left without any line are null. Rows with equal key
     and text are one text: all of them lose the same lines. Null keys come first. longest_run is the longest run of
     neighbouring lines that went. Columns named as the new ones are replaced, all others stay.
 
@@ -45,18 +53,22 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", key: st
     docs = without(docs, "n_lines", "n_removed", "longest_run")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)).cast("long")), "_th": F.xxhash64(text)})
     lines = keyed.where(F.col(text).isNotNull()).select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
-    lines = lines.select("id", "th", "line", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.col("s")).alias("g"))
-    named = scratch.cut(_names(lines, "h", "g"))
+    own = [] if min_words is None else [(F.regexp_count("s", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).alias("alone")]
+    lines = lines.select("id", "th", "line", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), F.col("s")).alias("g"), *own)
+    first = named = scratch.cut(_names(lines, "h", "g"))
     size = 1
     while 2 * size <= min_lines:
         before, named = named, scratch.cut(_names(_pairs(named, size), "a", "b"))
-        scratch.drop(before)
+        if before is not first or not own:
+            scratch.drop(before)
         size *= 2
     if size < min_lines:
         named = _names(_pairs(named, min_lines - size), "a", "b")
-    later = named.where((F.col("name.id") != F.col("id")) | (F.col("name.th") != F.col("th")) | (F.col("name.line") != F.col("line")))
-    gone = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("starts"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1))))).alias("_gone"))
+    later = _later(named, min_lines)
+    if own:
+        later = later.unionByName(_later(first.where("alone"), 1))
+    gone = later.groupBy("id", "th").agg(F.collect_set("start").alias("starts"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))).alias("_gone"))
     joined = keyed.join(gone, ["_id", "_th"], "left")
     parts = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))

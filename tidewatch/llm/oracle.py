@@ -27,6 +27,17 @@ s AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(longest, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN runs USING (doc_id)"""
 
+OP9_REPEATED = """
+WITH l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2 FROM l),
+later2 AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, i) AS k FROM w WHERE line2 IS NOT NULL) WHERE k > 1),
+later1 AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM w WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM later2 UNION ALL SELECT doc_id, i + 1 FROM later2 UNION ALL SELECT doc_id, i FROM later1)),
+runs AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone) GROUP BY doc_id, island) GROUP BY doc_id),
+s AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(longest, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN runs USING (doc_id)"""
+
 OP10 = f"""
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
@@ -60,4 +71,4 @@ d AS (SELECT doc_id, line, template, licence, 2.0 * count(*) / (any_value(ln) +
 best AS (SELECT doc_id, CAST(max(dice) AS DOUBLE) AS dice, count(DISTINCT line) AS n, first(licence ORDER BY dice DESC, licence) AS licence FROM d WHERE dice >= 0.8 GROUP BY doc_id)
 SELECT o.doc_id, licence, round(dice, 6) AS dice, coalesce(n, 0) AS licence_lines FROM documents o LEFT JOIN best USING (doc_id)"""
 
-ORACLE = {"op2_minhash": OP2, "op7_licences": OP7, "op9_lines": OP9, "op10_substring": OP10}
+ORACLE = {"op2_minhash": OP2, "op7_licences": OP7, "op9_lines": OP9, "op9_repeated_lines": OP9_REPEATED, "op10_substring": OP10}

@@ -70,6 +70,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_lines takes runs of two lines or more, as its SQL does; here every line with a word is a run by itself too."""
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2, min_words=1)
+    return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"), width=35, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -82,4 +88,4 @@ def _shipped(query):
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op8_quality, op9_lines, op10_substring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op8_quality, op9_lines, op9_repeated_lines, op10_substring)}
