@@ -327,6 +327,39 @@ def test_licences(spark, none):
     assert loose == want
 
 
+def test_licence_runs_equal_brute_force(spark, none):
+    import textwrap
+
+    import regex
+
+    texts = ["\n".join(textwrap.wrap(t, 78)) for _, t in licences.TEMPLATES] + [f"# before\n{textwrap.fill(t, 40)}\nafter" for _, t in licences.TEMPLATES]
+    texts += ["You may read this page today. Licensed under the Apache License, Version 2.0. See our terms.", "no licence at all", "rights", None, "", "all all rights rights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licence, round(r.dice, 9)) for r in licences.scan_runs(docs).collect() if r.dice}
+
+    def words(s):
+        return [x for x in regex.sub(r"\.(?!\p{N})", " ", regex.sub(r"[^\p{L}\p{N}.]+", " ", s.lower())).split(" ") if x]
+
+    want = {}
+    for k, t in enumerate(texts):
+        w = words(t or "")
+        pairs = list(zip(w, w[1:], strict=False))
+        best = []
+        for name, m in licences.TEMPLATES:
+            b = set(zip(words(m), words(m)[1:], strict=False))
+            n, low = len(b), 0.8 / 1.2
+            for size in range(int(np.ceil(n * low - 1e-9)), int(n / low + 1e-9) + 1):
+                for i in range(len(pairs) - size + 1):
+                    own = set(pairs[i : i + size])
+                    best.append((-2 * len(own & b) / (len(own) + n), name))
+        if best and -min(best)[0] >= 0.8:
+            want[k] = (min(best)[1], round(-min(best)[0], 9))
+    assert got == want and len(licences.TEMPLATES) * 2 + 1 <= len(got)
+    assert licences.scan_runs(none).count() == 0
+    lines_only = {r.doc_id for r in licences.scan(docs).collect() if r.dice}
+    assert 2 * len(licences.TEMPLATES) not in lines_only and lines_only < set(got)
+
+
 def test_quality_is_learnt_from_text(spark, none):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("aeioubcdlmnrst", k=rng.randint(2, 7)))

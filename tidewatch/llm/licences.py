@@ -1,4 +1,5 @@
-"""License scans: each line, normalised, against licence templates by the Dice coefficient of their word bigrams.
+"""License scans: each line, or each run of words of a template's size, normalised, against licence templates by the
+Dice coefficient of their word bigrams.
 
 Only DataFrame expressions: size bounds drop the templates that a line of so many bigrams can't reach, the bigrams of
 the lines that are left meet those of the templates in a join with the (fixed, small) template table.
@@ -6,7 +7,7 @@ the lines that are left meet those of the templates in a join with the (fixed, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import without
@@ -42,6 +43,12 @@ def bigrams(words: str):
     return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
 
 
+def _known(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """template (its number), licence, b (its bigrams) and tn (their number) of templates of two words or more."""
+    rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(t).alias("t")) for i, (name, t) in enumerate(templates)))
+    return spark.range(1).select(F.inline(rows)).withColumn("w", normal_words("t")).withColumn("b", bigrams("w")).select("template", "licence", "b", F.size("b").alias("tn")).where("tn > 0")
+
+
 def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with licence (of the best line), dice (double) and licence_lines (long, lines that reach the threshold).
 
@@ -55,8 +62,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     """
     spark = docs.sparkSession
     docs = without(docs, "licence", "dice", "licence_lines")
-    rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(t).alias("t")) for i, (name, t) in enumerate(templates)))
-    known = spark.range(1).select(F.inline(rows)).withColumn("w", normal_words("t")).withColumn("b", bigrams("w")).select("template", "licence", "b", F.size("b").alias("tn")).where("tn > 0")
+    known = _known(spark, templates)
     sizes = sorted({r.tn for r in known.select("tn").distinct().collect()})
     fits = F.lit(False)
     low = threshold / (2 - threshold)
@@ -72,3 +78,43 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     best = dice.groupBy("_id", "_th").agg(F.max("dice").alias("dice"), F.countDistinct("line").alias("licence_lines"), F.min_by("licence", F.struct(-F.col("dice"), "licence")).alias("licence"))
     out = keyed.join(best, ["_id", "_th"], "left")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), "licence", "dice", F.coalesce("licence_lines", F.lit(0).cast("long")).alias("licence_lines"))
+
+
+def scan_runs(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with licence (of the best run of words) and dice (double); newlines are spaces, so a notice may be wrapped
+    or lie inside a longer line, and a text of a template's size is such a run itself.
+
+    Against a template of n bigrams all runs of n * low to n / low bigrams are taken, where low is threshold / (2 -
+    threshold): with others no set of n can reach the threshold, but for runs that repeat their own bigrams. The best
+    run has the largest dice, then the first licence by name. Other rules are those of scan().
+
+    Work: a run that loses an end which isn't in the template gains, so runs begin where the text has a bigram of the
+    template. Texts are dealt with where they lie; only those that hold a share of low of a template's bigrams are
+    looked at run by run.
+    """
+    spark = docs.sparkSession
+    docs = without(docs, "licence", "dice")
+    known = _known(spark, templates)
+    low = threshold / (2 - threshold)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "_th": F.xxhash64(text)})
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    texts = keyed.select("_id", "_th", normal_words(text).alias("w")).select("_id", "_th", F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat(x, F.lit(" "), y)).alias("s"))
+    table = F.broadcast(known.withColumn("share", F.ceil(F.col("tn") * F.lit(low) - F.lit(1e-9))))
+    # One pass over the words drops what no template knows, before each template is asked
+    every = F.broadcast(known.select(F.explode("b").alias("x")).agg(F.collect_set("x").alias("every")))
+    held = texts.crossJoin(every).withColumn("d", F.array_intersect("s", "every")).drop("every")
+    met = held.join(table, F.size(F.array_intersect("d", "b")) >= F.col("share")).select("_id", "_th", "s", "template", "licence", "b", "tn", "share")
+    most = F.floor(F.col("tn") / low + 1e-9).cast("int")
+    # Runs are cut out before they are dealt out, so that no row carries the words of a whole text along
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains("b", F.get("s", i)))
+    runs = met.select("_id", "_th", "template", "licence", "b", "tn", "share", F.explode(F.transform(begins, lambda i: F.slice("s", i + 1, most))).alias("r"))
+    runs = runs.where((F.size("r") >= F.col("share")) & (F.size(F.array_intersect("r", "b")) >= F.col("share")))
+
+    def dice(length):
+        own = F.slice("r", 1, length)
+        return 2 * F.size(F.array_intersect(own, "b")) / (F.size(F.array_distinct(own)) + F.col("tn"))
+
+    scored = runs.withColumn("dice", F.array_max(F.transform(F.sequence(F.col("share").cast("int"), F.size("r")), dice))).where(F.col("dice") >= threshold)
+    best = scored.groupBy("_id", "_th").agg(F.max("dice").alias("dice"), F.min_by("licence", F.struct(-F.col("dice"), "licence")).alias("licence"))
+    out = keyed.join(best, ["_id", "_th"], "left")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "licence", "dice")
