@@ -372,3 +372,26 @@ def test_bounds_don_t_see_unresolved_outcomes(spark):
     for run in (lambda r: conformal.aci(r, cal, 0.2, 0.1, 6), lambda r: conformal.sliding_aci(r, cal, 0.2, 0.1, 10, 6), lambda r: conformal.dtaci(r, cal, 0.2, [0.05, 0.1], delay=6)):
         a, b = ([x.upper for x in run(spark.createDataFrame(r, schema)).orderBy("t").collect()] for r in (base, other))
         assert a[:6] == b[:6] and a[6] != b[6]
+
+
+def test_trial_counts_equal_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import fits
+
+    entries = spark.createDataFrame([(k, k % 3 if k % 11 else None, float(k * 7 % 40) if k % 13 else None) for k in range(200)], "entry_id long, kind int, critical double")
+    groups = spark.createDataFrame([(k, k % 4, float(k * 3 % 50) if k % 9 else None) for k in range(300)], "group_id long, kind int, height double")
+    pairs = fits.trial_grid(entries, groups, [0.5, 1.0]).groupBy("kind", "multiplier").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("hits"))
+    got = fits.trial_counts(entries, groups, [0.5, 1.0])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    assert got.count() == 6
+
+
+def test_trial_grid_takes_all_series(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tidewatch.plans import registry
+
+    series = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+    fifth, whole = (registry.QUERIES[q](spark, sf_dir).where("multiplier = 1.0").agg(F.sum("n")).first()[0] for q in ("trial_grid", "trial_grid_all"))
+    assert whole > 4 * fifth and whole <= series**2

@@ -87,3 +87,28 @@ def trial_grid(entries: DataFrame, groups: DataFrame, multipliers: list[float])
     critical height. entries(entry_id, kind, critical), groups(group_id, kind, height)."""
     crossed = entries.join(groups, "kind").select("entry_id", "group_id", "kind", "critical", "height", F.explode(F.array(*(F.lit(float(m)) for m in multipliers))).alias("multiplier"))
     return crossed.withColumn("label", (F.col("height") * F.col("multiplier") >= F.col("critical")).cast("int"))
+
+
+def trial_counts(entries: DataFrame, groups: DataFrame, multipliers: list[float]) -> DataFrame:
+    """kind, multiplier, n, hits: the trials of trial_grid and those with label 1, counted without forming a pair.
+
+    Rows are counted by class and height first. Critical heights are then merged with scaled heights in order: a running
+    count over ranges of heights, and within each range, tells how many critical heights a group reaches, so that a
+    class isn't one task. Null classes meet none; null heights are trials without a label.
+    """
+    by = ["kind", "multiplier"]
+    table = F.explode(F.array(*(F.lit(float(m)) for m in multipliers))).alias("multiplier")
+    given = entries.where("kind is not null").select("kind", F.col("critical").cast("double").alias("height"), table).groupBy(*by, "height").agg(F.count("*").alias("entries")).withColumn("groups", F.lit(0).cast("long"))
+    asked = groups.where("kind is not null").select("kind", F.col("height").cast("double").alias("h"), table).select("kind", "multiplier", (F.col("h") * F.col("multiplier")).alias("height"))
+    asked = asked.groupBy(*by, "height").agg(F.count("*").alias("groups")).withColumn("entries", F.lit(0).cast("long"))
+    merged = given.unionByName(asked).groupBy(*by, "height").agg(F.sum("entries").alias("entries"), F.sum("groups").alias("groups"))
+    totals = merged.groupBy(*by).agg((F.sum("entries") * F.sum("groups")).alias("n")).where("n > 0")
+    known = merged.where("height is not null")
+    cuts = known.groupBy(*by).agg(F.array_distinct(F.percentile_approx("height", F.array(*(F.lit(k / 64) for k in range(1, 64))), 10000)).alias("cuts"))
+    parts = known.join(F.broadcast(cuts), by).withColumn("part", F.size(F.filter("cuts", lambda c: F.col("height") >= c))).drop("cuts")
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*by, "part").agg(F.sum("entries").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0).cast("long"))).drop("own")
+    inside = Window.partitionBy(*by, "part").orderBy("height").rowsBetween(Window.unboundedPreceding, 0)
+    reached = parts.withColumn("reached", F.sum("entries").over(inside)).join(F.broadcast(starts), [*by, "part"])
+    hits = reached.groupBy(*by).agg(F.sum(F.col("groups") * (F.col("before") + F.col("reached"))).alias("hits"))
+    return totals.join(hits, by, "left").select(*by, "n", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))

@@ -133,3 +133,13 @@ def trial_grid(spark, sf_dir):
     groups = s.where("series_id % 5 = 0").groupBy(F.col("series_id").alias("group_id"), (F.col("series_id") % 3).alias("kind")).agg(F.max("x").alias("height"))
     out = fits.trial_grid(entries, groups, [0.25, 0.5, 1.0])
     return out.groupBy("kind", "multiplier").agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
+
+
+@query(f"""WITH {SAMPLES_SQL}, {UNITS_SQL}, e AS (SELECT series_id AS entry_id, stratum AS kind, 100.0 + series_id % 50 AS critical FROM units), g AS (SELECT series_id AS group_id, series_id % 3 AS kind, max(x) AS height FROM samples GROUP BY 1, 2)
+SELECT kind, multiplier, count(*) AS n, CAST(sum(CASE WHEN height * multiplier >= critical THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM e JOIN g USING (kind) CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0]::DOUBLE[]) AS multiplier) GROUP BY 1, 2""", "multiplier")
+def trial_grid_all(spark, sf_dir):
+    """trial_grid takes a fifth of the series as groups, as its SQL does; here all are."""
+    s, u, _ = views(spark, sf_dir)
+    entries = u.select(F.col("stratum").alias("kind"), (100.0 + F.col("series_id") % 50).alias("critical"))
+    groups = s.groupBy("series_id", (F.col("series_id") % 3).alias("kind")).agg(F.max("x").alias("height"))
+    return fits.trial_counts(entries, groups, [0.25, 0.5, 1.0])
