@@ -395,3 +395,25 @@ def test_trial_grid_takes_all_series(spark, sf_dir):
     series = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
     fifth, whole = (registry.QUERIES[q](spark, sf_dir).where("multiplier = 1.0").agg(F.sum("n")).first()[0] for q in ("trial_grid", "trial_grid_all"))
     assert whole > 4 * fifth and whole <= series**2
+
+
+def test_stream_crossings_use_difference_quotients(spark, sf_dir):
+    from tidewatch.plans import registry
+
+    own = {(r.series_id, r.t): (r.side, r.severity) for r in registry.QUERIES["stream_crossings"](spark, sf_dir).collect()}
+    batch = {(r.series_id, r.t): (r.side, r.severity) for r in registry.QUERIES["declustered"](spark, sf_dir).collect()}
+    assert own and all(batch[k][0] == side and abs(batch[k][1] - severity) < 1e-5 for k, (side, severity) in own.items())
+
+
+def test_rate_draws_and_quantile_steps_are_those_of_production(spark, sf_dir, monkeypatch):
+    from tidewatch.operators import fits
+    from tidewatch.operators import rates as operators
+    from tidewatch.plans import registry
+
+    asked = {}
+    draw, fit = operators.rate_draws, fits.fit_linear_quantile
+    monkeypatch.setattr(operators, "rate_draws", lambda e, draws, seed: asked.update(draws=draws) or draw(e, draws, seed))
+    monkeypatch.setattr(fits, "fit_linear_quantile", lambda *a, steps=200, **b: asked.update(steps=steps) or fit(*a, steps=1, **b))
+    registry.QUERIES["rate_draws"](spark, sf_dir)
+    registry.QUERIES["fit_linear_quantile"](spark, sf_dir)
+    assert asked == {"draws": 512, "steps": 200}

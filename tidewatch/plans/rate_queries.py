@@ -173,7 +173,7 @@ def fit_conditional_by(spark, sf_dir):
 
 @query()
 def rate_draws(spark, sf_dir):
-    return ra.rate_draws(emitted(spark, sf_dir), 64, 9).select("series_id", "t", "n", "lo", "hi")
+    return ra.rate_draws(emitted(spark, sf_dir), 512, 9).select("series_id", "t", "n", "lo", "hi")
 
 
 @query()

@@ -98,7 +98,7 @@ def fit_envelope(spark, sf_dir):
 @query()
 def fit_linear_quantile(spark, sf_dir):
     rows = tops(spark, sf_dir).select((F.col("top") / 100).alias("top"), (F.col("target") / 100).alias("target"))
-    got = fits.fit_linear_quantile(rows, ["top"], "target", [0.5, 0.9], steps=15)
+    got = fits.fit_linear_quantile(rows, ["top"], "target", [0.5, 0.9])
     values = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(b[0]).alias("intercept"), F.lit(b[1]).alias("slope")) for q, b in got.items())))
     return rows.withColumn("f", values).select("f.*", (F.col("target") > F.col("f.intercept") + F.col("f.slope") * F.col("top")).alias("over")).groupBy("q", "intercept", "slope").agg(F.avg(F.col("over").cast("double")).alias("share_over"))
 

@@ -21,7 +21,7 @@ def stream_normalize(spark, sf_dir):
 
 @query()
 def stream_crossings(spark, sf_dir):
-    return run_to_end(crossings(event_stream(spark, sf_dir).select("series_id", "t", "x", F.lit(0.002).alias("dx")), HIGH, LOW, CRITICAL, DAY))
+    return run_to_end(crossings(event_stream(spark, sf_dir).select("series_id", "t", "x"), HIGH, LOW, CRITICAL, DAY))
 
 
 @query()

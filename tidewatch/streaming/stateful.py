@@ -51,13 +51,17 @@ def stream_normalize(stream: DataFrame, floor: float = 1e-12) -> DataFrame:
 
 def stream_crossings(stream: DataFrame, high: float, low: float, critical: float, gap: float) -> DataFrame:
     """Declustered crossings of stream(series_id, t, x, dx): series_id, t, side, severity of the largest of each chain,
-    emitted by the first crossing that comes more than gap after it."""
+    emitted by the first crossing that comes more than gap after it. Without a column dx it is the difference quotient
+    to the row before, 0 for a series' first row and between equal times."""
+    given = "dx" in stream.columns
 
     def step(key, s, rows):
         seen, pt, px, pdx, open_, last, best_t, best_side, best = s
         out = []
-        for t, x, dx in zip(rows.t.to_numpy(), rows.x.to_numpy(), rows.dx.to_numpy(), strict=True):
+        for t, x, dx in zip(rows.t.to_numpy(), rows.x.to_numpy(), rows.dx.to_numpy() if given else [0.0] * len(rows), strict=True):
             side = 0
+            if not given and seen and t > pt:
+                dx = (x - px) / (t - pt)
             if seen:
                 side = 1 if px < high <= x else -1 if px > low >= x else 0
             if side:
