@@ -221,6 +221,16 @@ def test_media_round_trip(docs, rows, none):
     assert stored.width == 1536 and stored.thumbnail.rstrip(b" ").decode() == rows[0][1]
 
 
+def test_media_of_several_pictures_is_whole(spark):
+    rng = np.random.default_rng(5)
+    first = rng.integers(97, 123, 8191 * 192, np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, first + "a" * 192 * 4000), (2, first + "z" * 192 * 4000), (3, first)], "doc_id long, text string")
+    got = {r.doc_id: r for r in jpeg.digests(docs).collect()}
+    assert len({r.feature for r in got.values()}) == 3 and got[1].feature.startswith("12191x192:") and got[3].feature.startswith("8191x192:")
+    back = {r.doc_id: r for r in jpeg.read_media(jpeg.store(docs)).select("doc_id", "width", "height", "thumbnail_hash").collect()}
+    assert (back[1].width, back[1].height) == (1536, 12191 * 8) and all(back[k].thumbnail_hash == got[k].feature for k in got)
+
+
 def jpeg_with_everything(width, height, interval, seed):
     """A colour picture (luminance sampled 2 x 2) with AC coefficients and stuffed bytes, and its luminance DC values."""
     rng = random.Random(seed)

@@ -275,6 +275,12 @@ def feature(thumbnail: np.ndarray) -> str:
     return f"{n}x{m}:{np.packbits((means >= means.mean()).ravel()).tobytes().hex()}"
 
 
+def stacked(pictures: list) -> np.ndarray:
+    """The thumbnails of a stream's pictures, one below the other; narrower ones are filled up with zeros."""
+    most = max(t.shape[1] for *_, t in pictures)
+    return np.concatenate([np.pad(t, ((0, 0), (0, most - t.shape[1]))) for *_, t in pictures])
+
+
 def padded(raw: np.ndarray) -> np.ndarray:
     out = np.full(max(1, -(-len(raw) // ROW)) * ROW, 32, np.uint8)
     out[: len(raw)] = raw
@@ -298,7 +304,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with width, height (of the first picture, in pixels), thumbnail (binary, rows of all pictures one after the
+    """df with width, height (in pixels, of all pictures one below the other), thumbnail (binary, rows of all pictures one after the
     other) and thumbnail_hash of a column of baseline JPEG. Null stays null; what isn't baseline JPEG is an error."""
     tune(df.sparkSession)
     df = without(df, "width", "height", "thumbnail", "thumbnail_hash")
@@ -312,7 +318,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
             raw, at = texts_of(column)
             for a, b in passes(at):
                 streams = [raw[x:y].tobytes() for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)]
-                rows = [(p[0][0], p[0][1], b"".join(t.tobytes() for *_, t in p), feature(p[0][2])) if p else (None,) * 4 for p in thumbnails(streams)]
+                rows = [(max(x[0] for x in p), sum(x[1] for x in p), b"".join(t.tobytes() for *_, t in p), feature(stacked(p))) if p else (None,) * 4 for p in thumbnails(streams)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string())))], [*batch.schema.names, "width", "height", "thumbnail", "thumbnail_hash"])
 
     return df.mapInArrow(run, schema)
@@ -333,7 +339,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 out = []
                 for doc, size, stream, pictures in zip(batch.column(0).slice(a, b - a).to_pylist(), np.diff(at[a : b + 1]).tolist(), streams, thumbnails(streams), strict=True):
                     payload = b"".join(t.tobytes() for *_, t in pictures)
-                    out.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(pictures[0][2])))
+                    out.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(stacked(pictures))))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
