@@ -140,6 +140,19 @@ def test_near_duplicates_through_chains_and_hubs(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_duplicates_of_repeated_ids_and_other_thresholds(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (3, texts[1]), (9, texts[0]), (9, texts[0]), (5, texts[2]), (6, texts[2] + " a b"), (8, texts[3])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 5, True), (6, 5, False), (7, 3, False), (7, 3, False), (8, 8, True), (9, 3, False), (9, 3, False)]
+    assert minhash.least_matches(80) == 35 and minhash.least_matches(10) == 1
+    w = [f"w{i}" for i in range(41)]
+    half = [(1, " ".join(w)), (2, " ".join(w[:26] + [f"x{i}" for i in range(15)]))]
+    for percent, linked in ((40, True), (45, True), (46, False)):
+        assert (minhash.near_duplicates(spark.createDataFrame(half, "doc_id long, text string"), 2, percent=percent).where("kept").count() == 1) == linked
+
+
 def vectors():
     rng = np.random.default_rng(1)
     base = rng.standard_normal((300, 8)).astype(np.float32)
@@ -440,7 +453,7 @@ def test_lines_of_repeated_rows_and_null_keys(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in lines.dedup_lines(docs).collect()) == [(0, "x\ny"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "z")]
 
 
-@pytest.mark.parametrize("width", [5, 35])
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 6, 35])
 def test_repeats_equal_brute_force(docs, rows, none, width):
     words = {k: (t or "").encode().split() for k, t, *_ in rows}
     seen = Counter(tuple(w[i : i + width]) for w in words.values() for i in range(len(w) - width + 1))
@@ -462,6 +475,15 @@ def test_repeats_in_repeated_rows(spark):
     assert sorted(r.n_removed for r in substring.remove_repeats(docs, 35).collect()) == [0, 50, 50, 50]
 
 
+def test_repeats_after_a_join(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.range(40).selectExpr("id as doc_id", f"if(id < 2, '{text}', concat('a', id)) as text", "'x' as kept", "1 as n_words")
+    joined = docs.join(spark.range(40).withColumnRenamed("id", "doc_id"), "doc_id").crossJoin(spark.range(1).withColumnRenamed("id", "pack"))
+    out = substring.remove_repeats(joined, 6)
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect())[:3] == [(0, 50), (1, 50), (2, 0)]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

@@ -15,17 +15,25 @@ from pyspark.sql import functions as F
 PASS_BYTES = 1 << 20
 
 
+#: Whether Spark removes a job's shuffle files as soon as the job has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one in local mode
+    (one machine) and an error on a cluster, whose executors share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: corpus operators need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() removes one that is no longer read."""
+    """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read, what is left
+    goes when the driver's JVM ends. The shuffle files behind a table go when it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -35,16 +43,27 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        if self.n == 1:
+            root, files = self._files(self.root)
+            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(t.scratch_path)
+            files.delete(path, True)
 
 
 def tune(spark: SparkSession) -> None:
@@ -58,9 +77,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, known without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts of df, counted in one pass."""
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
+
+def part_of(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """Which of `parts` equal ranges of numbers of so many bits each of the (sorted) keys lies in."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def slices_of(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and the borders of all runs."""
+    first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
+    return parts[first].astype(np.int32), np.append(first, len(parts))
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,30 +1,35 @@
 """Near-duplicate detection over word shingles by a signature-coordinate inverted join.
 
 Each text's shingle set is reduced to a MinHash signature; every (coordinate, value) of it is a posting. Pairs whose
-sets are alike share at least `matches` of the `coordinates`, so, with postings ordered from rare to frequent, they
-meet in a prefix: a text with m postings that any other text shares needs only its m - matches + 1 rarest. Lists of
-the prefix are worked off by skipping what is already known to be connected: a list's leader is compared with all of
-the list, what links is merged, and only pairs across different components are looked at afterwards. Links are
-confirmed on the full sets.
+sets are alike share at least `matches` of the coordinates, so, with postings ordered from rare to frequent, they
+meet in a prefix: a text with m postings that any other text shares needs only its m - matches + 1 rarest. In the
+lists of the prefix collisions are counted by pair; the longer lists are skipped and settled from the two signatures.
+Merging skips what is already known to be connected: a list's leader is compared with all of the list, what links is
+merged, and then only pairs across different components are counted. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewatch.llm.common import Scratch, passes, rolling, shuffle_parts, texts_of, tune, word_hashes
+from tidewatch.llm.common import Scratch, passes, rolling, texts_of, tune, word_hashes
 from tidewatch.llm.graph import components
 
-#: A pair at the threshold of 0.8 agrees in 51 of 64 coordinates on average and in fewer than 35 once in about a million times.
-COORDINATES, MATCHES = 64, 35
+#: Coordinates of a signature. At 64, a pair at the threshold of 0.8 agrees in 51 on average and in fewer than 35 once in about a million times.
+COORDINATES = 64
+
+
+def least_matches(percent: int, coordinates: int = COORDINATES) -> int:
+    """Coordinates that a pair of this similarity shares but for five standard deviations; 1 at least."""
+    p = percent / 100
+    return max(1, math.floor(coordinates * p - 5 * math.sqrt(coordinates * p * (1 - p))))
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -54,8 +59,10 @@ def sign(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
-    """doc_id, n (size of the set), digest (of the set) and sig; digest and sig are null for empty sets."""
-    schema = "doc_id long, n long, digest binary, sig array<int>"
+    """doc_id, n (size of the set), digest (of the set), sig and sketch (four bits of each coordinate, 16 in a long);
+    the last three are null for empty sets."""
+    schema = "doc_id long, n long, digest binary, sig array<int>, sketch array<long>"
+    longs = -(-coordinates // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +72,12 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
                 sig = sign(full, coordinates) if full else np.zeros((0, coordinates), np.int32)
-                ends = np.concatenate([[0], np.cumsum((n > 0) * coordinates)]).astype(np.int32)
-                rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()), mask=pa.array(n == 0))
+                four = np.zeros((len(full), longs * 16), np.uint64)
+                four[:, :coordinates] = sig & 15
+                sketch = np.bitwise_or.reduce(four.reshape(len(full), longs, 16) << np.arange(0, 64, 4, np.uint64), axis=2).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * x.shape[1])]).astype(np.int32)), pa.array(x.ravel()), mask=pa.array(n == 0)) for x in (sig, sketch)]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digests, pa.binary()), rows], ["doc_id", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "sig", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -81,90 +90,25 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(raw[at[a] : at[b]], at[a : b + 1] - at[a], width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), grams], ["id", "grams"])
-
-    return docs.mapInArrow(run, "id long, grams array<long>")
-
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), grams], ["id", "digest", "grams"])
 
-def _common(sets: DataFrame, parts: int) -> DataFrame:
-    """id, r: how many shingles of each text are also in a text of another component. sets(id, comp, grams).
+    return docs.mapInArrow(run, "id long, digest binary, grams array<long>")
 
-    Each shingle crosses the network as a sorted number and the place of its text in the batch it comes from; what
-    comes back to a batch are counts for its texts, one row for each part.
-    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borders = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, comps, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat = grams.flatten().to_numpy().view(np.uint64)
-            of = np.repeat(np.arange(len(ids), dtype=np.uint32), np.diff(grams.offsets.to_numpy()))
-            order = np.argsort(flat)
-            flat, of = flat[order], of[order]
-            cuts = np.concatenate([[0], np.searchsorted(flat, borders), [len(flat)]])
-            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-            blobs = []
-            for p in full:
-                own, at = np.unique(of[cuts[p] : cuts[p + 1]], return_inverse=True)
-                blobs.append(np.uint32(len(own)).tobytes() + ids[own].tobytes() + comps[own].tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes() + at.astype(np.uint32).tobytes())
-            number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "batch", "blob"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ids, comps, flats, ofs, n = [], [], [], [], [], 0
-        for batch in batches:
-            for number, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = int(np.frombuffer(blob, np.uint32, 1)[0])
-                size = (len(blob) - 4 - 16 * own) // 12
-                numbers.append(number)
-                ids.append(np.frombuffer(blob, np.int64, own, 4))
-                comps.append(np.frombuffer(blob, np.int64, own, 4 + 8 * own))
-                flats.append(np.frombuffer(blob, np.uint64, size, 4 + 16 * own))
-                ofs.append(np.frombuffer(blob, np.uint32, size, 4 + 16 * own + 8 * size).astype(np.int64) + n)
-                n += own
-        if not n:
-            return
-        flat, of, comp = np.concatenate(flats), np.concatenate(ofs), np.concatenate(comps)
-        order = np.argsort(flat)
-        flat, of = flat[order], of[order]
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        whose = comp[of]
-        mixed = np.minimum.reduceat(whose, first) != np.maximum.reduceat(whose, first)
-        common = np.bincount(of[np.repeat(mixed, np.diff(first, append=len(flat)))], minlength=n)
-        ends = np.cumsum([len(x) for x in ids])
-        blobs = [x.tobytes() + c.astype(np.int64).tobytes() for x, c in zip(ids, np.split(common, ends[:-1]), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "blob"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blobs in batch.column(0).to_pylist():
-                pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs]
-                ids, at = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-                total = np.bincount(at, np.concatenate([p[1] for p in pairs])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "r"])
+def _could_match(a: str, b: str, longs: int, coordinates: int, matches: int) -> Column:
+    """Whether sketches a and b agree in `matches` coordinates or more: signatures that do always pass."""
 
-    counted = sets.select("id", "comp", "grams").mapInArrow(deal, "part int, batch long, blob binary").repartitionById(parts, "part").mapInArrow(count, "batch long, blob binary")
-    return counted.groupBy("batch").agg(F.collect_list("blob").alias("blobs")).select("blobs").mapInArrow(add, "id long, r long")
+    def unlike(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-
-def _across(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of sets(id, n, comp, grams) of different components that can be as similar as asked: with shingles
-    ordered from rare to frequent they meet in a prefix, far enough from the end for what must still be shared.
-
-    Of each list the rows of its commonest component meet only those of others, so a large group isn't paired up.
-    """
-    flat = scratch.cut(sets.select("id", "n", "comp", F.explode("grams").alias("s")))
-    often = scratch.cut(flat.groupBy("s").agg(F.count("*").alias("c"), (F.min("comp") != F.max("comp")).alias("mixed")).where("c > 1"))
-    ordered = flat.join(often, "s", "left").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1).cast("long")).alias("c"), "s", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("list"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = scratch.cut(ordered.select("id", "n", "comp", F.posexplode(F.slice("list", F.lit(1), length)).alias("i", "p")).where("p.mixed").select("id", "n", "comp", "i", "p.s"))
-    tops = scratch.cut(prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("s", "top"))
-    rows = scratch.cut(prefix.join(tops, "s").select("s", "id", "n", "comp", "i", (F.col("comp") == F.col("top")).alias("top")))
-    one = rows.where("not top").select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("i").alias("ia"))
-    two = rows.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("i").alias("ib"), "top")
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return one.join(two, "s").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & _alike("na", "nb", percent) & rest)
+    total = unlike(0)
+    for i in range(1, longs):
+        total = total + unlike(i)
+    return total <= coordinates - matches
 
 
 def _alike(a: str, b: str, percent: int):
@@ -172,59 +116,80 @@ def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with enough matching coordinates and, on the full sets, enough similarity."""
+def _counted(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, with the collisions that met in prefix lists."""
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
+
+
+def _links(met: DataFrame, reps: DataFrame, docs: DataFrame, width: int, matches: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs that met, those above the match threshold: collisions are counted over the prefix lists, then, for
+    the lists that were skipped, on both signatures; what stays is confirmed on the full sets."""
     sig = reps.select("id", "sig")
-    near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same)) >= matches).select("a", "b")
-    both = near.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
+    both = _counted(met).join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    count = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    near = scratch.cut(both.where(count >= matches).select("a", "b").distinct())
+    ids = scratch.cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = scratch.cut(_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["id", "digest"]).select("id", "grams"))
+    pairs = near.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.select("a", "b", common.alias("i"), (F.size("grams_a") + F.size("grams_b") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
+    out = scratch.cut(pairs.select("a", "b", common.alias("i"), (F.size("grams_a") + F.size("grams_b") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct())
+    scratch.drop(near, ids, sets)
+    return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text, ...).
 
     Texts link when their sets of `width`-word shingles have a Jaccard similarity of percent / 100 or more;
     component_id is the smallest doc_id that links lead to, kept marks the row that bears it. Null and empty texts
     have n_shingles 0 and link with nothing. Rows without a doc_id link with nothing, have no component_id and are
-    kept. Rows with equal sets are one class and count once; repeated rows stay repeated. Other columns of docs are
-    neither read nor returned. With a percent other than 80, `matches` should be reset.
-
-    Work: one pass over all texts, postings shuffled by value, texts with enough shared postings read a second time.
+    kept. Rows with equal sets are one class and count once; repeated rows stay repeated. Rows that repeat a doc_id
+    with different texts are one document, which links by each of its texts. Other columns of docs are neither read
+    nor returned. `matches` is the number of coordinates that a pair must share, by default least_matches(percent).
+
+    Work: one pass over all texts; postings are shuffled by value; texts of the pairs that are left (few) are read a
+    second time. A list's rows meet its leader, then rows of other components, each test being one of four longs
+    inside the join, so that only pairs near the threshold leave it. A list that a third of all texts share is one
+    component, whose rows never meet each other; joins are Spark's, which can split it.
     Lost executors: every table that later steps read lies in the shared folder.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    matches = least_matches(percent, coordinates) if matches is None else matches
+    longs = -(-coordinates // 16)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.cut(signatures(docs, width, coordinates))
-    reps = scratch.cut(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("x.doc_id", "x.n", "x.sig", "digest").toDF("id", "n", "sig", "digest"))
+    reps = scratch.cut(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "sketch")).alias("x")).select("x.*", "digest").withColumnRenamed("doc_id", "id"))
 
     posted = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long") + (1 << 31)).alias("key"))
     shared = posted.groupBy("key").count().where("count > 1")
     lists = posted.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("list"), F.sum("count").alias("fame")).where(F.size("list") >= matches)
     prefix = lists.select("id", "fame", F.explode(F.slice("list", F.lit(1), F.size("list") - (matches - 1))).alias("p")).select("id", "fame", "p.key")
-    prefix = scratch.cut(prefix.join(reps.select("id", "n"), "id"))
-    some = prefix.select("id").distinct()
-    sets = scratch.cut(_sets(docs.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
-
-    leaders = scratch.cut(prefix.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("other"), "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", (-F.col("l.other")).alias("b"), F.col("l.n").alias("nb")))
-    near = prefix.withColumnsRenamed({"id": "a", "n": "na"}).join(leaders, "key").where((F.col("a") != F.col("b")) & _alike("na", "nb", percent))
-    links = scratch.cut(_confirm(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, sets, matches, percent))
-    known = scratch.cut(some.join(components(links, scratch).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-
-    held = prefix.select("key", "id", "n").join(known, "id")
-    tops = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1").select("key", "top")
-    tops = scratch.cut(tops)
-    left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "comp", (F.col("comp") == F.col("top")).alias("top")))
-    common = scratch.cut(_common(sets.join(left.select("id", "comp").distinct(), "id"), shuffle_parts(spark)))
-    some = left.select("id", "n", "comp").distinct().join(common, "id").where(F.col("r") * 100 >= F.col("n") * percent)
-    cross = _across(sets.join(some.select("id", "n", "comp"), "id").select("id", "n", "comp", "grams"), percent, scratch)
-    more = _confirm(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, sets, matches, percent)
-    more = more.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    known = known.join(components(more, scratch).toDF("comp", "new"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
-
-    classes = reps.select("digest", "id").join(known, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
+    prefix = scratch.cut(prefix.join(reps.select("id", "n", "sketch"), "id"))
+
+    leader = F.max(F.struct("fame", (-F.col("id")).alias("other"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))).alias("l")
+    leaders = prefix.groupBy("key").agg(leader, F.count("*").alias("c")).where("c > 1").select("key", (-F.col("l.other")).alias("b"), "l.nb", "l.sketch_b")
+    could = _could_match("sketch", "sketch_b", longs, coordinates, matches) & _alike("n", "nb", percent)
+    met = prefix.join(leaders, "key").where((F.col("id") != F.col("b")) & could).select(F.col("id").alias("a"), "b")
+    links = _links(met, reps, docs, width, matches, percent, scratch)
+    known = scratch.cut(components(links, scratch).withColumnRenamed("node", "id"))
+
+    held = prefix.join(known, "id", "left").select("key", "id", "n", "sketch", F.coalesce("comp", "id").alias("comp"))
+    tops = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("c")).where("c > 1").select("key", "most")
+    left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "comp", "sketch", (F.col("comp") == F.col("most")).alias("top")))
+    one = left.where("not top").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), "n", "sketch")
+    two = left.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"), "top")
+    met = one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & could).select("a", "b")
+    more = _links(met, reps, docs, width, matches, percent, scratch)
+    scratch.drop(prefix, left)
+
+    # Rows of one doc_id with different sets are one document
+    own = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    own = signed.join(own, "doc_id").join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    known = components(links.unionByName(more).unionByName(own), scratch)
+
+    classes = reps.select("digest", "id").join(known.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("comp", "id").alias("comp")).dropDuplicates(["digest"])
     out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,7 +1,7 @@
 """Removal of repeated passages by fixed-block anchors.
 
-Every text is cut into reference blocks of about half a window, so that each window holds exactly one whole block of
-its own text. The blocks are indexed and probed with every rolling block-wide window of all texts; a block that
+Every text is cut into reference blocks of about half a window, so that each window holds a whole block of its own
+text (one or, where the width is even, sometimes two). The blocks are indexed and probed with every rolling block-wide window of all texts; a block that
 nothing else meets rules out the windows around it. The hits that are left are extended: every window around a hit
 block is looked up among the windows around all other hit blocks, and runs of windows that occur again are the
 maximal exact repeats, which are removed.
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import PASS_BYTES, Scratch, passes, plan_bytes, rolling, shuffle_parts, texts_of, tune, word_hashes
+from tidewatch.llm.common import PASS_BYTES, Scratch, part_of, passes, rolling, shuffle_parts, slices_of, text_bytes, texts_of, tune, word_hashes
 
 #: Windows that a task gathers before it sends them on.
 GATHERED = 2_000_000
@@ -26,11 +26,6 @@ GATHERED = 2_000_000
 PART_BYTES = 16 << 20
 
 
-def _fences(parts: int, bits: int) -> np.ndarray:
-    """The borders between `parts` equal ranges of numbers of so many bits."""
-    return np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)
-
-
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted numbers as 32-bit steps; as they are where a step is too wide."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -61,17 +56,16 @@ def _block_marks(raw: np.ndarray, at: np.ndarray, block: int):
 def _probes(docs: DataFrame, block: int, parts: int) -> DataFrame:
     """Packed fingerprints of all rolling windows, each once for a task's gathering; of each number's two lowest bits
     one says that it is a reference block somewhere there, the other that it occurs more than once there."""
-    fences = _fences(parts, 48)
 
     def sent(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         v = np.sort(np.concatenate(gathered))
         last = np.flatnonzero(np.concatenate([(v[1:] >> np.uint64(2)) != (v[:-1] >> np.uint64(2)), [True]]))
         many = np.diff(last, prepend=-1) > 1
         v = v[last] | (many.astype(np.uint64) << np.uint64(1))
-        cuts = np.concatenate([[0], np.searchsorted(v, fences), [len(v)]])
-        own = [(p, _pack(v[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        own, cuts = slices_of(part_of(v, parts, 48))
         for k in range(0, len(own), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own[k : k + 64]], pa.int32()), pa.array([x for _, x in own[k : k + 64]], pa.binary())], ["part", "blob"])
+            some = own[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([_pack(v[cuts[i] : cuts[i + 1]]) for i in range(k, k + len(some))], pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, n = [], 0
@@ -165,7 +159,7 @@ def _packs(marked: DataFrame, keep_text: bool) -> DataFrame:
 
 
 def _around(texts: list[bytes], hits: list[bytes], width: int, block: int):
-    """Windows around the hit blocks of a pack: two hashes, text and position of each, and the order in which they
+    """Windows whose first whole block is a hit block of a pack: two hashes, text and position of each, and the order in which they
     sort; first marks the first of equal ones in that order."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -173,7 +167,7 @@ def _around(texts: list[bytes], hits: list[bytes], width: int, block: int):
     hi, lo = rolling(h0, width), (rolling(h1, width) >> np.uint64(32)).astype(np.uint32)
     starts, rows = [], []
     for r, packed in enumerate(hits):
-        places = (np.frombuffer(packed, np.int32).astype(np.int64) * block)[:, None] - np.arange(width - block + 1)[None, :]
+        places = (np.frombuffer(packed, np.int32).astype(np.int64) * block)[:, None] - np.arange(min(block, width - block + 1))[None, :]
         places = places[(places >= 0) & (places + width <= of[r + 1] - of[r])]
         starts.append(places)
         rows.append(np.full(len(places), r))
@@ -188,7 +182,6 @@ def _around(texts: list[bytes], hits: list[bytes], width: int, block: int):
 
 def _asked(packs: DataFrame, width: int, block: int, parts: int) -> DataFrame:
     """What each pack asks of each part: its distinct windows, and which of them it holds twice itself."""
-    fences = _fences(parts, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +192,9 @@ def _asked(packs: DataFrame, width: int, block: int, parts: int) -> DataFrame:
                 own = np.flatnonzero(first)
                 many = np.diff(own, append=len(hi)) > 1
                 hi, lo = hi[own], lo[own]
-                cuts = np.concatenate([[0], np.searchsorted(hi, fences), [len(hi)]])
-                full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-                blobs = [hi[cuts[p] : cuts[p + 1]].tobytes() + lo[cuts[p] : cuts[p + 1]].tobytes() + many[cuts[p] : cuts[p + 1]].tobytes() for p in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "blob"])
+                full, cuts = slices_of(part_of(hi, parts))
+                blobs = [hi[a:b].tobytes() + lo[a:b].tobytes() + many[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pack] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "blob"])
 
     return packs.mapInArrow(run, "part int, pack long, blob binary")
 
@@ -237,17 +229,16 @@ def _answered(asked: DataFrame, parts: int) -> DataFrame:
 
 
 def _removed(packs: DataFrame, width: int, block: int, parts: int, keep_text: bool) -> DataFrame:
-    fences = _fences(parts, 64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, hits, answers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 hi, _, first, row, where, n_words = _around(texts, hits, width, block)
                 own = np.flatnonzero(first)
-                cuts = np.concatenate([[0], np.searchsorted(hi[own], fences), [len(own)]])
+                full, cuts = slices_of(part_of(hi[own], parts))
+                place = {p: i for i, p in enumerate(full.tolist())}
                 again = np.zeros(len(own), bool)
                 for x in answers or []:
-                    a, b = cuts[x["part"]], cuts[x["part"] + 1]
+                    a, b = cuts[place[x["part"]]], cuts[place[x["part"]] + 1]
                     again[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(b - a)).astype(bool)
                 repeated = again[np.cumsum(first) - 1]
                 row, where = row[repeated], where[repeated]
@@ -275,7 +266,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     keep_text kept is null and only digests move. Null and empty texts have no words. Repeated rows, even with equal
     or null doc_ids, are places of their own. Other columns of docs are neither read nor returned.
 
-    Work: all texts are read three times; each rolling window crosses the network once as four bytes, the texts
+    Work: all texts are read three times, and once to count their bytes, by which parts are sized; each rolling window crosses the network once as four bytes, the texts
     once, what hits are left of them twice. Every fingerprint reaches a part once from a gathering, so a passage in
     every text weighs no more there than a rare one, and hit blocks go back to their rows through a join that Spark
     can split. Parts grow in number with the input.
@@ -284,14 +275,15 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     tune(spark)
     scratch = Scratch(spark, "substring")
     block = (width + 1) // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text")
-    parts = max(shuffle_parts(spark), plan_bytes(docs) // PART_BYTES + 1)
+    parts = max(shuffle_parts(spark), text_bytes(docs) // PART_BYTES + 1)
     met = scratch.cut(_met(_probes(docs, block, parts), parts))
     hits = _index(keyed, block).join(met, "print").groupBy("id", "th").agg(F.collect_set("block").alias("blocks"))
     marked = keyed.join(hits, ["id", "th"], "left").select("doc_id", "text", "blocks")
     packs = scratch.cut(_packs(marked, keep_text))
     left = packs.where("pack is not null")
     answers = _answered(_asked(left.select("pack", "texts", "hits"), width, block, parts), parts).groupBy("pack").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    scratch.drop(met)
     done = _removed(left.select("pack", "ids", "texts", "hits").join(answers, "pack", "left").select("ids", "texts", "hits", "answers"), width, block, parts, keep_text)
     return packs.where("pack is null").select(done.columns).unionByName(done)
