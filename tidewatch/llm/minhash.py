@@ -4,8 +4,10 @@ Each text's shingle set is reduced to a MinHash signature; every (coordinate, va
 sets are alike share at least `matches` of the coordinates, so, with postings ordered from rare to frequent, they
 meet in a prefix: a text with m postings that any other text shares needs only its m - matches + 1 rarest. In the
 lists of the prefix collisions are counted by pair; the longer lists are skipped and settled from the two signatures.
-Merging skips what is already known to be connected: a list's leader is compared with all of the list, what links is
-merged, and then only pairs across different components are counted. Links are confirmed on the full sets.
+Merging skips what lies near a common text: a list's leader is compared with all of the list, and what matches it
+falls into its cluster; then only pairs across clusters are counted. Links are confirmed on the full sets. Inside a
+cluster, where a third of all texts may match each other and yet be no links, full sets are compared by what tells
+them from the cluster's leader: texts that link share much of it, and so meet in a prefix of it, rarest first.
 """
 
 from __future__ import annotations
@@ -121,19 +123,57 @@ def _counted(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
 
 
-def _links(met: DataFrame, reps: DataFrame, docs: DataFrame, width: int, matches: int, percent: int, scratch: Scratch) -> DataFrame:
+def _near(met: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
     """Of pairs that met, those above the match threshold: collisions are counted over the prefix lists, then, for
-    the lists that were skipped, on both signatures; what stays is confirmed on the full sets."""
+    the lists that were skipped, on both signatures."""
     sig = reps.select("id", "sig")
     both = _counted(met).join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     count = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    near = scratch.cut(both.where(count >= matches).select("a", "b").distinct())
-    ids = scratch.cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = scratch.cut(_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["id", "digest"]).select("id", "grams"))
-    pairs = near.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
+    return both.where(count >= matches).select("a", "b").distinct()
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The sets of all texts in pairs: id, grams."""
+    ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    out = scratch.cut(_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["id", "digest"]).select("id", "grams"))
+    scratch.drop(ids)
+    return out
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are as similar as asked."""
+    both = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    out = scratch.cut(pairs.select("a", "b", common.alias("i"), (F.size("grams_a") + F.size("grams_b") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct())
-    scratch.drop(near, ids, sets)
+    return both.select("a", "b", common.alias("i"), (F.size("grams_a") + F.size("grams_b") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
+
+
+def _inside(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of one cluster but different components that can link. members(id, cluster, comp, head), where
+    head is the cluster's leader.
+
+    With d the difference of a text's set from the leader's, two texts differ by what one d has and the other hasn't;
+    for a link that is at most a share (100 - percent) / (100 + percent) of both sizes. So both d's share a number of
+    shingles that follows from the sizes, and of the smaller d one is among its rarest ones. Texts that link with
+    the leader come as pairs with it.
+    """
+    heads = members.select("head").distinct().join(sets.toDF("head", "lead"), "head")
+    apart = members.join(sets, "id").join(heads, "head").select("id", "cluster", "comp", "head", F.size("grams").cast("long").alias("n"), F.size("lead").cast("long").alias("nl"), F.concat(F.array_except("grams", "lead"), F.array_except("lead", "grams")).alias("d"))
+    apart = scratch.cut(apart)
+    direct = apart.where((F.col("id") != F.col("head")) & (F.size("d") * (100 + percent) <= (F.col("n") + F.col("nl")) * (100 - percent))).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    flat = apart.select("id", "cluster", "comp", "n", F.size("d").cast("long").alias("d"), F.explode("d").alias("s"))
+    often = scratch.cut(flat.groupBy("cluster", "s").agg(F.count("*").alias("c"), (F.min("comp") != F.max("comp")).alias("mixed")).where("c > 1"))
+    entry = F.struct(F.coalesce("c", F.lit(1).cast("long")).alias("c"), "s", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    ordered = flat.join(often, ["cluster", "s"], "left").groupBy("id", "cluster", "comp", "n", "d").agg(F.sort_array(F.collect_list(entry)).alias("list"))
+    rows = scratch.cut(ordered.select("id", "cluster", "comp", "n", "d", F.posexplode("list").alias("i", "p")).where("p.mixed").select("id", "cluster", "comp", "n", "d", F.col("i").cast("long").alias("i"), "p.s"))
+    small = rows.where(F.col("i") * 2 * percent <= F.col("n") * (100 - percent)).select("cluster", "s", *(F.col(c).alias(f"{c}_b") for c in ("id", "comp", "n", "d", "i")))
+    # Twice the shingles that both d's must share, times 100 + percent
+    share = (F.col("d") + F.col("d_b")) * (100 + percent) - (F.col("n") + F.col("n_b")) * (100 - percent)
+    room = lambda d, i: (F.col(d) - F.col(i)) * 2 * (100 + percent) >= share
+    smaller = (F.col("d_b") < F.col("d")) | ((F.col("d_b") == F.col("d")) & (F.col("id_b") < F.col("id")))
+    pairs = rows.join(small, ["cluster", "s"]).where((F.col("comp") != F.col("comp_b")) & smaller & _alike("n", "n_b", percent) & (share > 0) & room("d", "i") & room("d_b", "i_b"))
+    pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+    out = scratch.cut(direct.unionByName(pairs).distinct())
+    scratch.drop(apart, often, rows)
     return out
 
 
@@ -148,9 +188,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     nor returned. `matches` is the number of coordinates that a pair must share, by default least_matches(percent).
 
     Work: one pass over all texts; postings are shuffled by value; texts of the pairs that are left (few) are read a
-    second time. A list's rows meet its leader, then rows of other components, each test being one of four longs
+    second time. A list's rows meet its leader, then rows of other clusters, each test being one of four longs
     inside the join, so that only pairs near the threshold leave it. A list that a third of all texts share is one
-    component, whose rows never meet each other; joins are Spark's, which can split it.
+    cluster, whose rows never meet each other by it; joins are Spark's, which can split it.
     Lost executors: every table that later steps read lies in the shared folder.
     """
     spark = docs.sparkSession
@@ -172,17 +212,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     leaders = prefix.groupBy("key").agg(leader, F.count("*").alias("c")).where("c > 1").select("key", (-F.col("l.other")).alias("b"), "l.nb", "l.sketch_b")
     could = _could_match("sketch", "sketch_b", longs, coordinates, matches) & _alike("n", "nb", percent)
     met = prefix.join(leaders, "key").where((F.col("id") != F.col("b")) & could).select(F.col("id").alias("a"), "b")
-    links = _links(met, reps, docs, width, matches, percent, scratch)
-    known = scratch.cut(components(links, scratch).withColumnRenamed("node", "id"))
-
-    held = prefix.join(known, "id", "left").select("key", "id", "n", "sketch", F.coalesce("comp", "id").alias("comp"))
-    tops = held.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("c")).where("c > 1").select("key", "most")
-    left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "comp", "sketch", (F.col("comp") == F.col("most")).alias("top")))
-    one = left.where("not top").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), "n", "sketch")
-    two = left.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"), "top")
+    near = scratch.cut(_near(met, reps, matches))
+    sets = _texts_of(near, docs, width, scratch)
+    links = scratch.cut(_confirmed(near, sets, percent))
+    clusters = scratch.cut(components(near, scratch).toDF("id", "cluster"))
+    scratch.drop(near)
+    known = clusters.join(components(links, scratch).toDF("id", "comp"), "id", "left").select("id", "cluster", F.coalesce("comp", "id").alias("comp"))
+    fame = prefix.select("id", "fame").distinct()
+    known = scratch.cut(known.join(fame, "id"))
+    mixed = known.groupBy("cluster").agg(F.max_by("id", F.struct("fame", "id")).alias("head"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("cluster", "head")
+    inside = _inside(scratch.cut(known.join(mixed, "cluster").select("id", "cluster", "comp", "head")), sets, percent, scratch)
+    links = scratch.cut(links.unionByName(_confirmed(inside, sets, percent)))
+    scratch.drop(sets, inside)
+
+    held = prefix.join(clusters, "id", "left").select("key", "id", "n", "sketch", F.coalesce("cluster", "id").alias("cluster"))
+    tops = held.groupBy("key", "cluster").count().groupBy("key").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("most"), F.count("*").alias("c")).where("c > 1").select("key", "most")
+    left = scratch.cut(held.join(tops, "key").select("key", "id", "n", "cluster", "sketch", (F.col("cluster") == F.col("most")).alias("top")))
+    one = left.where("not top").select("key", F.col("id").alias("a"), F.col("cluster").alias("ca"), "n", "sketch")
+    two = left.select("key", F.col("id").alias("b"), F.col("cluster").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"), "top")
     met = one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("top") | (F.col("a") < F.col("b"))) & could).select("a", "b")
-    more = _links(met, reps, docs, width, matches, percent, scratch)
-    scratch.drop(prefix, left)
+    near = scratch.cut(_near(met, reps, matches))
+    sets = _texts_of(near, docs, width, scratch)
+    more = scratch.cut(_confirmed(near, sets, percent))
+    scratch.drop(prefix, left, near, sets)
 
     # Rows of one doc_id with different sets are one document
     own = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
