@@ -368,7 +368,7 @@ def test_licence_runs_equal_brute_force(spark, none):
         w = words(t or "")
         pairs = list(zip(w, w[1:], strict=False))
         best = []
-        for name, m in licences.TEMPLATES:
+        for name, m in licences.TEMPLATES + licences.WHOLE:
             b = set(zip(words(m), words(m)[1:], strict=False))
             n, low = len(b), 0.8 / 1.2
             for size in range(int(np.ceil(n * low - 1e-9)), int(n / low + 1e-9) + 1):
@@ -383,6 +383,23 @@ def test_licence_runs_equal_brute_force(spark, none):
     assert 2 * len(licences.TEMPLATES) not in lines_only and lines_only < set(got)
 
 
+def test_whole_licences_are_found_in_files(spark):
+    import textwrap
+
+    head = "/*\n * Copyright (c) 2020 Some Body\n *\n * "
+    rows = [(k, head + textwrap.fill(t, 72).replace("\n", "\n * ") + "\n */\nint main(void) { return 0; }\n" + " more code" * 400) for k, (_, t) in enumerate(licences.WHOLE)]
+    rows += [(100, "license " * 50), (None, None)]
+    got = {r.doc_id: r.licence for r in licences.scan_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(licences.WHOLE)} | {100: None, None: None}
+
+
+def test_licences_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, "All rights reserved.", "v", "v", "v", "v")] * 2 + [(1, "ALL RIGHTS RESERVED\nAll rights reserved " + "x" * 300_000, "v", "v", "v", "v")]
+    out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, _id string, th string, dice string, given string"))
+    assert out.columns == ["doc_id", "text", "_id", "th", "given", "licence", "dice", "licence_lines"]
+    assert sorted((r.doc_id or 0, r.licence, r.licence_lines, r.th) for r in out.collect()) == [(0, "proprietary", 1, "v"), (0, "proprietary", 1, "v"), (1, "proprietary", 2, "v")]
+
+
 def test_quality_is_learnt_from_text(spark, none):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("aeioubcdlmnrst", k=rng.randint(2, 7)))
@@ -420,6 +437,42 @@ def test_lines_equal_brute_force(docs, rows, none, least):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_maximal_runs_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        own = [rng.choice("abcde") for _ in range(rng.randint(0, 12))]
+        if k % 5 == 0:
+            own += [f"run {i}" for i in range(rng.randint(2, 23))]
+        if k % 7 == 0:
+            own += list("abcab" * rng.randint(1, 4))
+        rows.append((k, "\n".join(own)))
+    texts = {k: t.split("\n") for k, t in rows}
+    longest, gone = dict.fromkeys(texts, 0), {k: set() for k in texts}
+    for size in range(1, 45):
+        seen: dict = {}
+        for k, own in texts.items():
+            for i in range(len(own) - size + 1):
+                seen.setdefault(tuple(own[i : i + size]), []).append((k, i))
+        for places in seen.values():
+            if len(places) > 1:
+                for k, i in places:
+                    longest[k] = max(longest[k], size)
+                for k, i in places[1:] if size >= 3 else []:
+                    gone[k] |= set(range(i, i + size))
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert max(longest.values()) > 16
+    assert {r.doc_id: (r.longest_repeat, r.n_removed) for r in out} == {k: (longest[k], len(gone[k])) for k in texts}
+
+
+def test_lines_keep_clashing_columns(spark):
+    names = ["_id", "th", "gone", "salt", "id", "given", "line", "name", "text", "doc_id", "N_lines"]
+    docs = spark.createDataFrame([tuple(["v"] * 8 + ["a\nb", k, "x"]) for k in (1, 2)], ", ".join(f"{n} string" if n != "doc_id" else "doc_id long" for n in names))
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*names[:-1], "n_lines", "n_removed", "longest_run", "longest_repeat"]
+    assert sorted((r.doc_id, r.text or "", r.gone, r.id, r.n_removed) for r in out.collect()) == [(1, "a\nb", "v", "v", 0), (2, "", "v", "v", 2)]
+
+
 def test_single_lines_between_others_go(spark):
     docs = spark.createDataFrame([(1, "a\ncommon text\n\nb"), (2, "c\ncommon text\nd\n\ne"), (3, "common text"), (4, "\n\nf\n\n\ncommon text\ncommon text"), (5, "a\nf")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.longest_run, r.text) for r in lines.dedup_lines(docs, min_words=1).collect()}

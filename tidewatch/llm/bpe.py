@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import passes, texts_of, tune, without
+from tidewatch.llm.common import lean, passes, texts_of, tune, without
 
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE, with \\s written as the White_Space property.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -158,9 +158,9 @@ class Vocabulary:
     def _words(self, word: str) -> bytes:
         pieces = self.pieces
         if word.isalpha():
-            return pieces[" " + word]
+            return self.encode_piece((" " + word).encode())
         if word[-1] in ".," and word[:-1].isalpha():
-            return pieces[" " + word[:-1]] + pieces[word[-1]]
+            return self.spaced[word[:-1]] + pieces[word[-1]]
         return b"".join(map(pieces.__getitem__, self.find(" " + word)))
 
     def _plain(self, text: str) -> list[bytes]:
@@ -220,28 +220,36 @@ def opened(kind: type, text: str):
     return _OPEN[kind][1]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", exact: str | None = None) -> DataFrame:
     """df with `ids` (binary, little-endian unsigned 32-bit) and `count` (long) of each whole text.
 
     vocabulary: the text of a tokenizers JSON file (a few MB, whatever the corpus holds; it goes to the tasks as a
     broadcast). Null texts encode as empty ones: no bytes, count 0. Strings of special tokens become their ids.
+    With `exact`, a column of that name (boolean) tells whether the ids decode to the text, by the offset table.
     Columns of df that are named as the new ones are replaced; all others stay. No shuffle.
     """
-    df = without(df, ids, count)
+    more = [] if exact is None else [exact]
+    df = without(df, ids, count, *more)
     spark = df.sparkSession
     tune(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(Vocabulary, sent.value)
+        back = opened(Decoder, sent.value) if more else None
         for whole in batches:
             for a, b in passes(texts_of(whole.column(whole.schema.get_field_index(text)))[1]):
                 batch = whole.slice(a, b - a)
                 column = batch.column(batch.schema.get_field_index(text))
                 got = [own.encode(t.as_py()) if t.is_valid else b"" for t in column]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())], [*batch.schema.names, ids, count])
+                new = [pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())]
+                if back is not None:
+                    at = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) // 4 for x in got])])
+                    texts = back.decode_all(np.frombuffer(b"".join(got), "<u4"), at)
+                    new.append(pa.array([x == (t.as_py() or "").encode() for x, t in zip(texts, column, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, ids, count, *more])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType()), *(T.StructField(c, T.BooleanType()) for c in more)]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -260,7 +268,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
                 kept_columns = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
                 yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(got, pa.binary()).cast(pa.string())], [*(f.name for f in kept), out])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, T.StructField(out, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import passes, texts_of, tune, without
+from tidewatch.llm.common import lean, passes, texts_of, tune, without
 
 #: Samples in a row; also a restart interval. Rows that one picture can hold (65,535 lines of pixels).
 ROW, ROWS = 192, 8191
@@ -300,7 +300,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
                 got = [write(padded(raw[x:y])) for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(got, pa.binary()), pa.array(np.diff(at[a : b + 1]))], [*batch.schema.names, media, size])
 
-    return df.mapInArrow(run, df.select("*", F.lit(b"").alias(media), F.lit(0).cast("long").alias(size)).schema)
+    return df.mapInArrow(lean(run), df.select("*", F.lit(b"").alias(media), F.lit(0).cast("long").alias(size)).schema)
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
@@ -321,7 +321,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
                 rows = [(max(x[0] for x in p), sum(x[1] for x in p), b"".join(t.tobytes() for *_, t in p), feature(stacked(p))) if p else (None,) * 4 for p in thumbnails(streams)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string())))], [*batch.schema.names, "width", "height", "thumbnail", "thumbnail_hash"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -342,4 +342,4 @@ def digests(docs: DataFrame) -> DataFrame:
                     out.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(stacked(pictures))))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import passes, texts_of, tune, word_hashes
+from tidewatch.llm.common import lean, passes, texts_of, tune, word_hashes
 
 #: Hashed pairs, columns that tell of a word said again at once (many, so that they weigh in), latent dimensions, labelled texts that a model is fitted on at most, and neighbours that vote.
 PAIRS, STUTTERS, DIMENSIONS, SAMPLE, NEIGHBOURS = 2048, 32, 48, 4096, 9
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours:
                 ends = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(columns.astype(np.int16))), pa.ListArray.from_arrays(ends, pa.array(c[rows, columns].astype(np.int32)))], ["doc_id", "quality", "at", "n"])
 
-    rows = texts.mapInArrow(run, "doc_id long, quality int, at array<short>, n array<int>").toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(lean(run), "doc_id long, quality int, at array<short>, n array<int>").toArrow().sort_by("doc_id")
     if not len(rows):
         return None
     count = np.zeros((len(rows), FEATURES), np.float32)
@@ -146,4 +146,4 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
                     got.append(own.score(counts(raw[at[x] : at[y]], at[x : y + 1] - at[x])))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.concatenate(got))], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -81,6 +81,12 @@ def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_maximal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common prefix with any other place of each text's lines: its longest maximal repeated run."""
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    return out.select("doc_id", "n_lines", "longest_repeat")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"), width=35, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -93,4 +99,4 @@ def _shipped(query):
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op7_licence_runs, op8_quality, op9_lines, op9_repeated_lines, op10_substring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op7_licence_runs, op8_quality, op9_lines, op9_repeated_lines, op9_maximal_runs, op10_substring)}

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import PASS_BYTES, Scratch, part_of, passes, rolling, shuffle_parts, slices_of, text_bytes, texts_of, tune, word_hashes
+from tidewatch.llm.common import PASS_BYTES, Scratch, lean, part_of, passes, rolling, shuffle_parts, slices_of, text_bytes, texts_of, tune, word_hashes
 
 #: Windows that a task gathers before it sends them on.
 GATHERED = 2_000_000
@@ -81,7 +81,7 @@ def _probes(docs: DataFrame, block: int, parts: int) -> DataFrame:
         if n:
             yield from sent(gathered)
 
-    return docs.select("text").mapInArrow(run, "part int, blob binary")
+    return docs.select("text").mapInArrow(lean(run), "part int, blob binary")
 
 
 def _met(probes: DataFrame, parts: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _met(probes: DataFrame, parts: int) -> DataFrame:
         for k in range(0, len(out), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 200_000])], ["print"])
 
-    return probes.repartitionById(parts, "part").mapInArrow(run, "print long")
+    return probes.repartitionById(parts, "part").mapInArrow(lean(run), "print long")
 
 
 def _index(docs: DataFrame, block: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _index(docs: DataFrame, block: int) -> DataFrame:
                 rows = pa.array(rows[first] + a)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[first].view(np.int64)), ids.take(rows), hashes.take(rows), pa.array((where[first] // block).astype(np.int32))], ["print", "id", "th", "block"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "print long, id long, th long, block int")
+    return docs.select("id", "th", "text").mapInArrow(lean(run), "print long, id long, th long, block int")
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -155,7 +155,7 @@ def _packs(marked: DataFrame, keep_text: bool) -> DataFrame:
         if ids:
             yield rows({"pack": [seq], "ids": [ids], "texts": [texts], "hits": [hits]})
 
-    return marked.mapInArrow(run, _PACKS)
+    return marked.mapInArrow(lean(run), _PACKS)
 
 
 def _around(texts: list[bytes], hits: list[bytes], width: int, block: int):
@@ -196,7 +196,7 @@ def _asked(packs: DataFrame, width: int, block: int, parts: int) -> DataFrame:
                 blobs = [hi[a:b].tobytes() + lo[a:b].tobytes() + many[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pack] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "pack", "blob"])
 
-    return packs.mapInArrow(run, "part int, pack long, blob binary")
+    return packs.mapInArrow(lean(run), "part int, pack long, blob binary")
 
 
 def _answered(asked: DataFrame, parts: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _answered(asked: DataFrame, parts: int) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(found, ends[:-1])]
         yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array([part] * len(packs), pa.int32()), pa.array(bits, pa.binary())], ["pack", "part", "bits"])
 
-    return asked.repartitionById(parts, "part").mapInArrow(run, "pack long, part int, bits binary")
+    return asked.repartitionById(parts, "part").mapInArrow(lean(run), "pack long, part int, bits binary")
 
 
 def _removed(packs: DataFrame, width: int, block: int, parts: int, keep_text: bool) -> DataFrame:
@@ -254,7 +254,7 @@ def _removed(packs: DataFrame, width: int, block: int, parts: int, keep_text: bo
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], [x.split(" ")[0] for x in _OUT.split(", ")])
 
-    return packs.mapInArrow(run, _OUT)
+    return packs.mapInArrow(lean(run), _OUT)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, keep_text: bool = True) -> DataFrame:
