@@ -68,10 +68,10 @@ class Scratch:
 
 
 def tune(spark: SparkSession) -> None:
-    """Texts are long: what goes to Python at a time is at most 1,000 rows and 8 MB (or one row)."""
+    """Texts are long: what goes to Python at a time is at most 1,000 rows and 4 MB (or one row)."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def lean(run):
