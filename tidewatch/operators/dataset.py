@@ -84,6 +84,24 @@ def take_rows(units: DataFrame, quota: int) -> DataFrame:
     return units.withColumn("_k", F.row_number().over(w)).where((F.col("t_event").isNull()) | (F.col("_k") <= quota)).drop("_k")
 
 
+def take_half(units: DataFrame, second: bool = False) -> DataFrame:
+    """The first half of the units by series_id (n // 2 of them), or the second. The border is found from counts by
+    ranges of ids, of which there are 1,024, so that no task orders all units."""
+    low, high, n = units.agg(F.min("series_id"), F.max("series_id"), F.count("*")).first()
+    rank = n // 2
+    while rank and high > low:
+        width = -(-(high - low + 1) // 1024)
+        part = F.floor((F.col("series_id") - low) / width).cast("long")
+        seen = 0
+        for r in units.where(F.col("series_id").between(low, high)).groupBy(part.alias("part")).count().orderBy("part").collect():
+            if seen + r["count"] >= rank:
+                low, high, rank = low + r.part * width, min(high, low + (r.part + 1) * width - 1), rank - seen
+                break
+            seen += r["count"]
+    first = F.col("series_id") <= high if n // 2 else F.lit(False)
+    return units.where(~first if second else first)
+
+
 def union_campaigns(parts: dict[str, DataFrame]) -> DataFrame:
     """All rows, each with the name of its campaign."""
     out = None

@@ -55,6 +55,14 @@ def clusters(events: DataFrame, gap: float, keys: list[str] | None = None) -> Da
     return _chained(events, gap, keys).groupBy(*keys, "cluster").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"), first.alias("r")).select(*keys, "cluster", "first_t", "last_t", "n", F.col("r.t").alias("retained_t"), F.col("r.severity").alias("retained_severity"))
 
 
+def cluster_members(events: DataFrame, gap: float, keys: list[str] | None = None) -> DataFrame:
+    """Every event with its chain, as in decluster(), and whether it is the one retained; members stay rows, so that a
+    chain of any length is none."""
+    keys = keys or ["series_id"]
+    best = Window.partitionBy(*keys, "cluster").orderBy(F.desc("severity"), "t", "i_detect")
+    return _chained(events, gap, keys).withColumn("retained", F.row_number().over(best) == 1)
+
+
 def runs_above(samples: DataFrame, limit: float, least: float = 0.0) -> DataFrame:
     """Maximal runs of samples above a limit, at least `least` seconds long: series_id, i_start, i_end, t_start, t_end, top."""
     w = _by(["series_id"], "i")

@@ -52,11 +52,15 @@ def alarm_metrics(contribution: DataFrame, keys: list[str] | None = None) -> Dat
     return out.select(*(keys or []), "exposure_hours", "opportunities", "events", "detected", "false_episodes", F.when(n > 0, p).otherwise(0.0).alias("sensitivity"), F.when(n > 0, middle - half).alias("sensitivity_lo"), F.when(n > 0, middle + half).alias("sensitivity_hi"), F.when(F.col("exposure_hours") > 0, F.col("false_episodes") / F.col("exposure_hours")).otherwise(0.0).alias("false_per_hour"), F.col("q")[0].alias("lead_q10"), F.col("q")[1].alias("lead_q50"), F.col("q")[2].alias("lead_q90"))
 
 
-def threshold_grid(scores: DataFrame, n: int = 41) -> DataFrame:
-    """method, threshold: n linear-interpolation quantiles of each method's finite scores, and the least double."""
+def threshold_grid(scores: DataFrame, n: int = 41, extra: dict[str, float] | None = None) -> DataFrame:
+    """method, threshold: n linear-interpolation quantiles of each method's finite scores, and the least double; extra
+    thresholds of single methods, such as -50 of the neighbour score, are added."""
     steps = F.array(*(F.lit(k / (n - 1)) for k in range(n)))
     finite = scores.where("not isnan(score) and abs(score) < double('infinity')").groupBy("method").agg(F.percentile("score", steps).alias("q"))
-    return finite.select("method", F.explode(F.concat("q", F.array(F.lit(-1.7976931348623157e308)))).alias("threshold")).distinct()
+    out = finite.select("method", F.explode(F.concat("q", F.array(F.lit(-1.7976931348623157e308)))).alias("threshold"))
+    for method, value in (extra or {}).items():
+        out = out.unionByName(finite.where(F.col("method") == method).select("method", F.lit(float(value)).alias("threshold")))
+    return out.distinct()
 
 
 def operating_curve(scores: DataFrame, units: DataFrame, grid: DataFrame, debounce: int, refractory: int, horizon: float, gap: float) -> DataFrame:
@@ -91,6 +95,11 @@ def auc(df: DataFrame, by: list[str] | None = None, label: str = "label", score:
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def folded_auc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score") -> DataFrame:
+    """by, auc: the larger of auc() and its complement, for scores whose direction isn't known."""
+    return auc(df, by, label, score).withColumn("auc", F.greatest("auc", 1 - F.col("auc")))
+
+
 def calibration_bins(df: DataFrame, label: str = "label", p: str = "p", weight: str = "w") -> DataFrame:
     """Ten equal bins of probability: bin, n, weight, predicted, observed (weighted means)."""
     rows = df.select(F.least(F.floor(F.col(p) * 10), F.lit(9)).cast("int").alias("bin"), F.col(p).alias("p"), F.col(label).alias("y"), F.col(weight).alias("w"))
@@ -130,3 +139,12 @@ def compare_methods(metrics: DataFrame, base: str) -> DataFrame:
     """method, reduction: relative fall of the false rate against the base method; null if that is 0."""
     other = metrics.where(F.col("method") == base).select(F.col("false_per_hour").alias("b"))
     return metrics.crossJoin(F.broadcast(other)).select("method", F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b")).alias("reduction"))
+
+
+def compare_guards(metrics: DataFrame, base: str, material: float = 0.1, survival: float = 0.5, most: float = 2.0, times: float = 4.0) -> DataFrame:
+    """method, reduction, material, survives and explodes against the base method: whether the false rate falls by the share `material` or more, whether
+    the sensitivity keeps the share `survival` of the base's, and whether the false rate is over `most` an hour and
+    `times` that of the base. metrics has one row per method (few)."""
+    other = metrics.where(F.col("method") == base).select(F.col("false_per_hour").alias("b"), F.col("sensitivity").alias("sb"))
+    reduction = F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b"))
+    return metrics.crossJoin(F.broadcast(other)).select("method", reduction.alias("reduction"), F.coalesce(reduction >= material, F.lit(False)).alias("material"), (F.col("sensitivity") >= survival * F.col("sb")).alias("survives"), ((F.col("false_per_hour") > most) & (F.col("false_per_hour") > times * F.col("b"))).alias("explodes"))

@@ -178,3 +178,13 @@ def rate_draws(emissions: DataFrame, draws: int, seed: int) -> DataFrame:
     out = emissions.withColumn("draws", F.array_sort(run("series_id", "t", "n", "exposure")))
     at = lambda q: F.get("draws", F.lit(round(q * (draws - 1))))
     return out.withColumns({"lo": at(0.025), "hi": at(0.975)})
+
+
+def history_counts(crossings: DataFrame, emissions: DataFrame, trailing: float) -> DataFrame:
+    """series_id, t, n, severity: how many crossings lie within the last `trailing` seconds of each emission, ends
+    included, and the largest severity among them. Both tables are merged by time; no range is joined."""
+    asks = emissions.select("series_id", "t", F.lit(None).cast("double").alias("severity"), F.lit(1).alias("asks"))
+    both = crossings.select("series_id", "t", "severity", F.lit(0).alias("asks")).unionByName(asks)
+    w = Window.partitionBy("series_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(trailing * 1e6), 0)
+    seen = both.withColumns({"n": F.sum(1 - F.col("asks")).over(w), "top": F.max("severity").over(w)})
+    return seen.where("asks = 1").select("series_id", "t", "n", F.col("top").alias("severity"))

@@ -100,10 +100,9 @@ def _gamma_cdf(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     return total * np.exp(-x + a * np.log(np.maximum(x, 1e-300)) - _log_gamma(a))
 
 
-def proportion_ci(df: DataFrame, by: list[str], hit: str, confidence: float = 0.95) -> DataFrame:
-    """by, hits, n, lo, hi: exact Clopper-Pearson interval; NaN for an empty group. Only the grouped rows reach Python."""
+def proportion_bounds(hits: str, n: str, confidence: float = 0.95) -> tuple:
+    """Columns lo and hi: the exact Clopper-Pearson interval of hits of n; NaN for n = 0. For grouped rows."""
     tail = (1 - confidence) / 2
-    out = df.groupBy(*by).agg(F.count_if(F.col(hit)).alias("hits"), F.count("*").alias("n"))
 
     def bound(upper: bool):
         @F.pandas_udf("double")
@@ -117,13 +116,12 @@ def proportion_ci(df: DataFrame, by: list[str], hit: str, confidence: float = 0.
 
         return run
 
-    return out.withColumns({"lo": bound(False)("hits", "n"), "hi": bound(True)("hits", "n")})
+    return bound(False)(hits, n), bound(True)(hits, n)
 
 
-def rate_ci(df: DataFrame, by: list[str], event: str, exposure: str, confidence: float = 0.95) -> DataFrame:
-    """by, events, exposure, rate, lo, hi: Garwood's exact Poisson interval over the summed exposure."""
+def poisson_bounds(events: str, confidence: float = 0.95) -> tuple:
+    """Columns lo and hi: Garwood's exact interval of a Poisson mean. For grouped rows."""
     tail = (1 - confidence) / 2
-    out = df.groupBy(*by).agg(F.count_if(F.col(event)).alias("events"), F.sum(exposure).alias("exposure"))
 
     def bound(upper: bool):
         @F.pandas_udf("double")
@@ -135,7 +133,21 @@ def rate_ci(df: DataFrame, by: list[str], event: str, exposure: str, confidence:
 
         return run
 
-    return out.select(*by, "events", "exposure", (F.col("events") / F.col("exposure")).alias("rate"), (bound(False)("events") / F.col("exposure")).alias("lo"), (bound(True)("events") / F.col("exposure")).alias("hi"))
+    return bound(False)(events), bound(True)(events)
+
+
+def proportion_ci(df: DataFrame, by: list[str], hit: str, confidence: float = 0.95) -> DataFrame:
+    """by, hits, n, lo, hi: exact Clopper-Pearson interval; NaN for an empty group. Only the grouped rows reach Python."""
+    out = df.groupBy(*by).agg(F.count_if(F.col(hit)).alias("hits"), F.count("*").alias("n"))
+    lo, hi = proportion_bounds("hits", "n", confidence)
+    return out.withColumns({"lo": lo, "hi": hi})
+
+
+def rate_ci(df: DataFrame, by: list[str], event: str, exposure: str, confidence: float = 0.95) -> DataFrame:
+    """by, events, exposure, rate, lo, hi: Garwood's exact Poisson interval over the summed exposure."""
+    out = df.groupBy(*by).agg(F.count_if(F.col(event)).alias("events"), F.sum(exposure).alias("exposure"))
+    lo, hi = poisson_bounds("events", confidence)
+    return out.select(*by, "events", "exposure", (F.col("events") / F.col("exposure")).alias("rate"), (lo / F.col("exposure")).alias("lo"), (hi / F.col("exposure")).alias("hi"))
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, seed: int, key: str) -> DataFrame:

@@ -89,10 +89,13 @@ def local_moment(samples: DataFrame, width: int) -> DataFrame:
     return out.select("series_id", "i", "moment", (F.col("moment") - F.lag("moment").over(w)).alias("change"))
 
 
-def period_scale(samples: DataFrame, level: float) -> DataFrame:
-    """series_id, i, period: mean spacing of the up-crossings of a level so far; null before the second."""
+def period_scale(samples: DataFrame, level: float, trailing: float | None = None) -> DataFrame:
+    """series_id, i, period: mean spacing of the up-crossings of a level so far, or in the last `trailing` seconds;
+    null before the second."""
     w = Window.partitionBy("series_id").orderBy("i")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    if trailing is not None:
+        so_far = Window.partitionBy("series_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(trailing * 1e6), 0)
     at = F.when((F.col("px") < level) & (F.col("x") >= level), F.col("t"))
     marked = samples.withColumn("px", F.lag("x").over(w)).withColumn("c", at)
     n = F.count("c").over(so_far)

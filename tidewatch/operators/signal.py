@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,39 @@ def crossing_rates(series: DataFrame, dt: float, by: list[str] | None = None) ->
     return rows.groupBy(*(by or [])).agg(F.avg("e").alias("expected_rate"), F.avg("c").alias("counted_rate"), F.count("*").alias("n"))
 
 
+def step_jump(samples: DataFrame, t0: float) -> DataFrame:
+    """series_id, jump: the first value at or after t0 less the last before it; null where one is missing."""
+    first = F.min_by("x", F.when(F.col("t") >= t0, F.col("i")))
+    last = F.max_by("x", F.when(F.col("t") < t0, F.col("i")))
+    return samples.groupBy("series_id").agg((first - last).alias("jump"))
+
+
+def acf_error(curve: DataFrame, reference: DataFrame) -> DataFrame:
+    """largest and rmse: the largest and the root mean square difference of two tables of (lag, acf)."""
+    both = curve.select("lag", "acf").join(reference.select("lag", F.col("acf").alias("r")), "lag")
+    return both.agg(F.max(F.abs(F.col("acf") - F.col("r"))).alias("largest"), F.sqrt(F.avg((F.col("acf") - F.col("r")) ** 2)).alias("rmse"))
+
+
+def spectral_distortion(original: DataFrame, composite: DataFrame, dt: float, period: float) -> DataFrame:
+    """series_id, distortion: energy above 2.5 / period that a record gained, as a share of the composite's variance.
+    Both tables hold arrays x of equal length; others are an error. One Arrow batch of arrays at a time."""
+
+    @F.pandas_udf("double")
+    def added(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if len(x) != len(y):
+                raise ValueError("records of unequal length")
+            power = [np.abs(np.fft.rfft(v - v.mean())) ** 2 for v in (np.asarray(x, np.float64), np.asarray(y, np.float64))]
+            high = np.fft.rfftfreq(len(x), dt) > 2.5 / period
+            total = power[1].sum()
+            out.append(max(0.0, float((power[1][high] - power[0][high]).sum())) / total if total > 0 else 0.0)
+        return pd.Series(out)
+
+    both = original.select("series_id", F.col("x").alias("a")).join(composite.select("series_id", F.col("x").alias("b")), "series_id")
+    return both.select("series_id", added("a", "b").alias("distortion"))
+
+
 def step_stats(samples: DataFrame, t0: float, half: float, level: float) -> DataFrame:
     """series_id, side (before or after t0, within half), n, variance and up-crossings of a level."""
     from pyspark.sql import Window

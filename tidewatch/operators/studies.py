@@ -16,6 +16,13 @@ def physical_scale(samples: DataFrame, level: float, omega: float) -> DataFrame:
     return samples.select("series_id", "i", (F.col("x") / level).alias("x"), (F.col("dx") / (level * omega)).alias("dx"))
 
 
+def physical_state(ends: DataFrame, level: float, omega: float, start: float = 1.0, drift: float = 0.0, constants: dict[str, float] | None = None) -> DataFrame:
+    """ends(series_id, t, x, dx) with the state scaled as in physical_scale(), and ground truth of each: stiffness (start
+    plus drift times t), drift, and one column for each constant."""
+    more = [F.lit(float(v)).alias(k) for k, v in (constants or {}).items()]
+    return ends.select("series_id", "t", (F.col("x") / level).alias("x"), (F.col("dx") / (level * omega)).alias("dx"), (F.lit(start) + drift * F.col("t")).alias("stiffness"), F.lit(drift).alias("drift"), *more)
+
+
 def energy_scores(scaled: DataFrame, quintic: float, saddle: float, bias: float = 0.0) -> DataFrame:
     """series_id, i, energy, reserve to the nearer saddle (their energies are saddle -/+ bias), and its fall since the
     sample before."""
@@ -25,12 +32,14 @@ def energy_scores(scaled: DataFrame, quintic: float, saddle: float, bias: float
     return out.withColumn("depletion", F.lag("reserve").over(Window.partitionBy("series_id").orderBy("i")) - F.col("reserve"))
 
 
-def mean_causal_variance(samples: DataFrame, units: DataFrame, step: float) -> DataFrame:
-    """series_id, mean over a grid of `step` seconds of the variance of all samples up to each grid time (two or more).
-    Samples and grid are merged by time, so no range is joined."""
+def mean_causal_variance(samples: DataFrame, units: DataFrame, step: float, trailing: float | None = None) -> DataFrame:
+    """series_id, mean over a grid of `step` seconds of the variance of all samples up to each grid time, or of those
+    in the last `trailing` seconds (two or more). Samples and grid are merged by time, so no range is joined."""
     grid = units.select("series_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.col("record_end") - F.col("record_start")) / step).cast("int")))).alias("k"), "record_start").select("series_id", (F.col("record_start") + F.col("k") * step).alias("t"), F.lit(None).cast("double").alias("x"), F.lit(1).alias("asks"))
     both = samples.select("series_id", "t", "x", F.lit(0).alias("asks")).unionByName(grid)
     w = Window.partitionBy("series_id").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    if trailing is not None:
+        w = Window.partitionBy("series_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(trailing * 1e6), 0)
     seen = both.withColumns({"v": F.var_samp("x").over(w), "n": F.count("x").over(w)}).where("asks = 1 and n >= 2")
     return units.select("series_id").join(seen.groupBy("series_id").agg(F.avg("v").alias("m")), "series_id", "left").select("series_id", F.coalesce("m", F.lit(0.0)).alias("variance"))
 
@@ -116,6 +125,12 @@ def tracking_error(pred: DataFrame, truth: DataFrame, last: float = 1 / 3) -> Da
     return late.groupBy("series_id").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae")).agg(F.avg("mae").alias("error"), F.count("*").alias("series"))
 
 
+def tracking_bins(pred: DataFrame, truth: DataFrame, width: float) -> DataFrame:
+    """bin (of `width` seconds), n, predicted and true mean, and mean absolute error of pred and truth(series_id, t, value)."""
+    both = pred.select("series_id", "t", F.col("value").alias("p")).join(truth.select("series_id", "t", F.col("value").alias("y")), ["series_id", "t"])
+    return both.groupBy(F.floor(F.col("t") / width).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("truth"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("error"))
+
+
 def level_search(samples: DataFrame, low: float, high: float, steps: int, gap: float, hours: float, target: float) -> DataFrame:
     """Levels between low and high with their number of declustered up-crossings per hour; the first row is the one
     nearest to the target. Levels are exploded next to samples, one window for all of them."""

@@ -85,6 +85,21 @@ def forecast_samples(samples: DataFrame, horizons: list[float], step: int = 1) -
     return out
 
 
+def forecast_histories(samples: DataFrame, units: DataFrame, horizons: list[float], history: int, step: int, level: float, most: int | None = None) -> DataFrame:
+    """series_id, i, t, horizon, target as in forecast_samples(), for every step-th sample that ends a whole and finite
+    history of so many samples, lies before the event, and whose longest horizon the record holds; the first `most` of
+    each series. An event within a horizon raises its target to the level."""
+    w = Window.partitionBy("series_id").orderBy("i").rowsBetween(-(history - 1), 0)
+    good = F.count_if(~F.isnan("x") & (F.abs("x") < float("inf")) & ~F.isnan("dx") & (F.abs("dx") < float("inf"))).over(w)
+    ends = samples.withColumn("good", good).join(units.select("series_id", "t_event", "record_end"), "series_id").where((F.col("good") == history) & ((F.col("i") - (history - 1)) % step == 0) & (F.col("t") + max(horizons) <= F.col("record_end")) & (F.col("t_event").isNull() | (F.col("t") < F.col("t_event"))))
+    ends = ends.withColumn("k", F.row_number().over(Window.partitionBy("series_id").orderBy("i")))
+    ends = ends.where(F.col("k") <= most) if most else ends
+    finite = samples.withColumn("x", F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x")))
+    rows = forecast_samples(finite, horizons).join(ends.select("series_id", "i", "t_event"), ["series_id", "i"])
+    inside = (F.col("t_event") > F.col("t")) & (F.col("t_event") - F.col("t") <= F.col("horizon"))
+    return rows.select("series_id", "i", "t", "horizon", F.when(inside, F.greatest("target", F.lit(float(level)))).otherwise(F.col("target")).alias("target"))
+
+
 def snapshot(rows: DataFrame, t: float) -> DataFrame:
     """Each series' first row at or after t."""
     w = Window.partitionBy("series_id").orderBy("t")
