@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,124 +27,108 @@ def split_bounds(cal: DataFrame, test: DataFrame, alphas: list[float], by: list[
     return joined.withColumn("upper", F.col("bound") + F.col("quantile")).withColumn("miss", (F.col("target") > F.col("upper")).cast("int"))
 
 
-def _level(scores: Column, alpha: Column) -> Column:
-    """Conformal quantile of a sorted array at a level that may leave (0, 1)."""
-    n = F.size(scores)
-    rank = F.ceil(F.round((n + 1) * (1 - alpha), 9)).cast("int")
-    return F.when(alpha <= 0, float("inf")).when(alpha >= 1, float("-inf")).when(rank > n, float("inf")).otherwise(F.get(scores, rank - 1))
-
-
-def aci(forecasts: DataFrame, cal: DataFrame, alpha: float, gamma: float, delay: int = 0) -> DataFrame:
-    """Adaptive level per series: forecasts(series_id, t, bound, target) with level, upper and miss.
-
-    The level moves by gamma (alpha - miss) after each outcome, `delay` steps late, and is not held in [0, 1]. Each
-    series is folded by itself; the sorted calibration scores (one row, as long as the calibration split) are
-    broadcast.
-    """
-    scores = cal.select((F.col("target") - F.col("bound")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("scores"))
-    rows = forecasts.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "bound", "target"))).alias("f")).crossJoin(F.broadcast(scores))
-    start = F.struct(F.lit(float(alpha)).alias("level"), F.expr("cast(array() as array<struct<level double, upper double, miss int>>)").alias("out"))
-
-    def step(s: Column, v: Column) -> Column:
-        if delay:
-            old = F.get(s["out"], F.size(s["out"]) - delay)["miss"]
-            level = s["level"] + F.coalesce(gamma * (alpha - old), F.lit(0.0))
-        else:
-            level = s["level"]
-        upper = v["bound"] + _level(F.col("scores"), level)
-        miss = (v["target"] > upper).cast("int")
-        after = level if delay else level + gamma * (alpha - miss)
-        return F.struct(after.alias("level"), F.concat(s["out"], F.array(F.struct(level.alias("level"), upper.alias("upper"), miss.alias("miss")))).alias("out"))
-
-    folded = rows.select("series_id", "f", F.aggregate("f", start, step, lambda s: s["out"]).alias("o"))
-    return folded.select("series_id", F.explode(F.arrays_zip("f", "o")).alias("z")).select("series_id", "z.f.*", "z.o.*")
-
-
 _BOUNDS = "series_id long, t double, bound double, target double, level double, upper double, miss int"
+#: Rows of forecasts that meet one copy of the calibration scores, on average.
+GROUP_ROWS = 1_000_000
 
 
-def _by_series(forecasts: DataFrame, cal: DataFrame, walk) -> DataFrame:
-    """walk(scores, bounds, targets) -> levels, uppers over each series in order of time. Every series gets the
-    calibration scores in one array, so the fold needs nothing but its own group."""
-    import numpy as np
+def _with_calibration(forecasts: DataFrame, cal: DataFrame, levels) -> DataFrame:
+    """Forecasts in groups of whole series, each group with one copy of the calibration scores.
 
-    packed = cal.select((F.col("target") - F.col("bound")).alias("s"), F.monotonically_increasing_id().alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("a")).select(F.col("a.s").alias("scores"))
-    rows = forecasts.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "bound", "target"))).alias("f")).crossJoin(F.broadcast(packed))
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for series, f, scores in zip(frame.series_id, frame.f, frame.scores, strict=True):
-                t, b, y = (np.array([r[c] for r in f], float) for c in ("t", "bound", "target"))
-                levels, uppers = walk(np.asarray(scores, float), b, y)
-                out += zip([series] * len(t), t, b, y, levels, uppers, (y > uppers).astype(int), strict=True)
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _BOUNDS.split(", ")])
-
-    return rows.mapInPandas(run, _BOUNDS)
+    levels(scores, bounds, targets) gets the scores in the order of (t, series_id) where cal has these, and two
+    matrices, a row for each series of the group and a column for each step, NaN past a series' end. It returns the
+    matrices of levels and uppers. Groups grow in number with the forecasts, and so do the copies.
+    """
+    spark = forecasts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), forecasts.count() // GROUP_ROWS)
+    order = [F.col(c).cast("double").alias(f"k{i}") for i, c in enumerate(("t", "series_id")) if c in cal.columns]
+    scores = cal.select((F.col("target") - F.col("bound")).cast("double").alias("s"), F.struct(*(order or [F.lit(0.0).alias("k0")])).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select("part", "s", "k.*")
+    rows = forecasts.select(F.pmod(F.xxhash64("series_id"), F.lit(parts)).cast("int").alias("part"), F.col("series_id").cast("long").alias("series_id"), *(F.col(c).cast("double").alias(c) for c in ("t", "bound", "target")))
+
+    def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["series_id", "t"], kind="stable")
+        series, row = np.unique(own["series_id"].to_numpy(), return_inverse=True)
+        first = np.searchsorted(row, np.arange(len(series)))
+        step = np.arange(len(own)) - first[row]
+        shape = (len(series), int(step.max()) + 1 if len(own) else 0)
+        bounds, targets = np.full(shape, np.nan), np.full(shape, np.nan)
+        bounds[row, step], targets[row, step] = own["bound"], own["target"]
+        known = known.sort_values([c for c in known.columns if c.startswith("k")], kind="stable")
+        level, upper = levels(known["s"].to_numpy(), bounds, targets) if len(own) else (bounds, bounds)
+        out = own[["series_id", "t", "bound", "target"]].assign(level=level[row, step], upper=upper[row, step])
+        return out.assign(miss=(out["target"] > out["upper"]).astype("int32"))
+
+    return rows.groupBy("part").cogroup(scores.groupBy("part")).applyInPandas(run, _BOUNDS)
+
+
+def _quantiles(ordered: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Conformal quantiles of sorted scores at levels that may leave (0, 1)."""
+    n = len(ordered)
+    rank = np.ceil(np.round((n + 1) * (1 - alpha), 9))
+    inside = ordered[np.clip(np.nan_to_num(rank), 1, n).astype(np.int64) - 1] if n else np.full(alpha.shape, np.inf)
+    return np.where(alpha >= 1, -np.inf, np.where((alpha <= 0) | (rank > n), np.inf, inside))
 
 
-def _rank_quantile(ordered, alpha: float) -> float:
-    import math
+def aci(forecasts: DataFrame, cal: DataFrame, alpha: float, gamma: float, delay: int = 0) -> DataFrame:
+    """Adaptive level per series: forecasts(series_id, t, bound, target) with level, upper and miss.
 
-    n = len(ordered)
-    rank = math.ceil(round((n + 1) * (1 - alpha), 9))
-    return math.inf if alpha <= 0 or (alpha < 1 and rank > n) else -math.inf if alpha >= 1 else float(ordered[rank - 1])
+    The level moves by gamma (alpha - miss) after each outcome, `delay` steps late, and is not held in [0, 1].
+    """
+    return dtaci(forecasts, cal, alpha, [gamma], delay=delay)
 
 
 def sliding_aci(forecasts: DataFrame, cal: DataFrame, alpha: float, gamma: float, window: int, delay: int = 0) -> DataFrame:
-    """Adaptive level whose scores are the last `window` known ones of the series, at first those of cal; columns as aci()."""
-    import numpy as np
-
-    def walk(scores, bounds, targets):
-        recent, level = list(scores[-window:]), alpha
-        levels, uppers = np.empty(len(bounds)), np.empty(len(bounds))
-        known = lambda k: targets[k] > uppers[k]
-        for k, b in enumerate(bounds):
-            if delay and k >= delay:
-                recent = [*recent, targets[k - delay] - bounds[k - delay]][-window:]
-                level += gamma * (alpha - known(k - delay))
-            levels[k], uppers[k] = level, b + _rank_quantile(sorted(recent), level)
-            if not delay:
-                recent = [*recent, targets[k] - b][-window:]
-                level += gamma * (alpha - known(k))
-        return levels, uppers
-
-    return _by_series(forecasts, cal, walk)
+    """Adaptive level whose scores are the last `window` known ones of the series, at first the last ones of cal in
+    order of time; columns as aci(). All series of a group take a step at once; a row of kept scores stays sorted by age."""
+    lag = max(delay, 1)
+
+    def levels(scores, bounds, targets):
+        kept = np.tile(scores[-window:], (len(bounds), 1))
+        level, upper = np.full(bounds.shape, alpha), np.empty(bounds.shape)
+        gained = targets - bounds
+        for k in range(bounds.shape[1]):
+            if k:
+                level[:, k] = level[:, k - 1]
+            if k >= lag:
+                kept = np.concatenate([kept, gained[:, k - lag, None]], axis=1)[:, -window:]
+                level[:, k] += gamma * (alpha - (targets[:, k - lag] > upper[:, k - lag]))
+            ordered = np.sort(kept, axis=1)
+            rank = np.ceil(np.round((ordered.shape[1] + 1) * (1 - level[:, k]), 9))
+            inside = np.take_along_axis(ordered, np.clip(rank, 1, ordered.shape[1]).astype(np.int64)[:, None] - 1, 1)[:, 0]
+            upper[:, k] = bounds[:, k] + np.where(level[:, k] >= 1, -np.inf, np.where((level[:, k] <= 0) | (rank > ordered.shape[1]), np.inf, inside))
+        return level, upper
+
+    return _with_calibration(forecasts, cal, levels)
 
 
 def dtaci(forecasts: DataFrame, cal: DataFrame, alpha: float, gammas: list[float], interval: int = 500, delay: int = 0) -> DataFrame:
     """Adaptive level averaged over experts of several rates, by exponential weights with a little mixing; columns as
-    aci(). With one rate it is aci()."""
-    import numpy as np
+    aci(). With one rate it is aci().
 
-    rates, mixing = np.array(gammas, float), 1 / (2 * interval)
+    All series of a group take a step at once, as rows of matrices of series x experts. What a step's outcome teaches
+    follows from its score's rank among the calibration scores, which is known for all steps beforehand, and from the
+    experts' levels at that step.
+    """
+    rates, mixing, lag = np.array(gammas, float), 1 / (2 * interval), max(delay, 1)
     eta = np.sqrt((np.log(2 * len(rates) * interval) + 1) / (interval * (1 - alpha) ** 2 * alpha**2 / 3))
 
-    def walk(scores, bounds, targets):
-        ordered = np.sort(scores)
-        experts, weights = np.full(len(rates), alpha), np.ones(len(rates))
-        levels, uppers, waiting = np.empty(len(bounds)), np.empty(len(bounds)), []
-
-        def learn(loss, missed):
-            nonlocal experts, weights
-            fresh = weights * np.exp(-eta * (loss - loss.min()))
-            weights = (1 - mixing) * fresh + mixing * fresh.mean()
-            experts = experts + rates * (alpha - missed)
-
-        for k, (b, y) in enumerate(zip(bounds, targets, strict=True)):
-            if delay and len(waiting) >= delay:
-                learn(*waiting.pop(0))
-            levels[k] = float(weights / weights.sum() @ experts)
-            uppers[k] = b + _rank_quantile(ordered, levels[k])
-            beta = 1 - np.searchsorted(ordered, y - b, "left") / (len(ordered) + 1)
-            loss = alpha * (beta - experts) - np.minimum(0, beta - experts)
-            missed = np.array([y > b + _rank_quantile(ordered, a) for a in experts], float)
-            if delay:
-                waiting.append((loss, missed))
-            else:
-                learn(loss, missed)
-        return levels, uppers
-
-    return _by_series(forecasts, cal, walk)
+    def levels(scores, bounds, targets):
+        ordered, gained = np.sort(scores), targets - bounds
+        rank = 1 - np.searchsorted(ordered, gained) / (len(ordered) + 1)
+        n, steps = bounds.shape
+        experts = np.full((steps, n, len(rates)), alpha)
+        weights, level = np.ones((n, len(rates))), np.empty(bounds.shape)
+        for k in range(steps):
+            if k:
+                experts[k] = experts[k - 1]
+            if k >= lag:
+                then = experts[k - lag]
+                off = rank[:, k - lag, None] - then
+                loss = np.where(off < 0, (alpha - 1) * off, alpha * off)
+                weights = weights * np.exp(eta * (loss.min(axis=1, keepdims=True) - loss))
+                weights += mixing * (weights.mean(axis=1, keepdims=True) - weights)
+                experts[k] += rates * (alpha - (gained[:, k - lag, None] > _quantiles(ordered, then)))
+            level[:, k] = (weights * experts[k]).sum(axis=1) / weights.sum(axis=1)
+        return level, bounds + _quantiles(ordered, level)
+
+    return _with_calibration(forecasts, cal, levels)

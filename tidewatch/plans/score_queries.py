@@ -195,4 +195,4 @@ def sliding_aci(spark, sf_dir):
 @query()
 def dtaci(spark, sf_dir):
     b = bounded(spark, sf_dir)
-    return co.dtaci(b.where("stratum <> 0"), b.where("stratum = 0"), 0.1, [0.001, 0.004, 0.016, 0.064], delay=2).select("series_id", "t", "level", "upper", "miss")
+    return co.dtaci(b.where("stratum <> 0"), b.where("stratum = 0"), 0.1, [0.001 * 2**k for k in range(8)], delay=2).select("series_id", "t", "level", "upper", "miss")
