@@ -221,6 +221,25 @@ def test_mixing_equals_walking_each_leaf(docs, rows, none, total, epochs):
     assert mixing.mix(none, ["lang", "source"], weights).count() == 0
 
 
+def test_planned_table_equals_the_small_tree(spark):
+    rng = random.Random(6)
+    leaves = {(f"d{rng.randrange(4)}", f"l{rng.randrange(3)}", f"s{k}"): rng.choice([0, 1, 7, 50, 400, 3000]) for k in range(60)}
+    weights = {("d0",): 3.0, ("d1",): 0.0, ("d2", "l1"): 5.0, ("d3", "l0", "s4"): 2.5}
+    table = spark.createDataFrame([(list(k), v) for k, v in leaves.items()], "leaf array<string>, held long")
+    held = sum(leaves.values())
+    for total, fraction, epochs in ((1000, 1.0, 1), (None, 0.9, 1), (10**9, 1.0, 3), (20_000, 1.0, 2)):
+        want = mixing.budgets(leaves, weights, fraction * held if total is None else total, epochs)
+        got = {tuple(r.leaf): r.budget for r in mixing.plan(table, 3, weights, total, fraction, epochs).collect()}
+        assert got == want, (total, fraction, epochs)
+
+
+def test_mixing_keeps_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "v", "v", "v", 9)] * 3 + [(None, None, None, "v", "v", "v", 9)], "doc_id long, text string, lang string, leaf string, n string, `left` string, epoch int")
+    out = mixing.mix(docs, ["lang"], total=4)
+    assert out.columns == ["doc_id", "text", "lang", "leaf", "n", "left", "epoch"]
+    assert sorted((r.doc_id or 0, r.leaf, r.left, r.epoch) for r in out.collect()) == [(0, "v", "v", 0), (1, "v", "v", 0), (1, "v", "v", 0)]
+
+
 def test_media_round_trip(docs, rows, none):
     got = {r.doc_id: r for r in jpeg.digests(docs).collect()}
     for k, t, *_ in rows:
