@@ -178,11 +178,32 @@ def test_neighbours_equal_brute_force(spark):
     assert vptree.nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
-def test_relaxed_pruning_keeps_most(spark):
-    df = spark.createDataFrame(vectors()[:300], "vec_id long, embedding array<float>")
-    exact = {(r.query_id, r.vec_id) for r in vptree.nearest(df, "vec_id % 50 = 0", 5).collect()}
-    near = {(r.query_id, r.vec_id) for r in vptree.nearest(df, "vec_id % 50 = 0", 5, factor=0.5).collect()}
-    assert len(exact & near) >= 0.5 * len(exact)
+def test_relaxed_pruning_of_deep_trees(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    ids = np.array([r.vec_id for r in rows])
+    tree = vptree.Tree(x, ids, leaf=8)
+    asked = np.arange(0, len(x), 10)
+    cosine = x[asked] @ x.T
+    cosine[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-cosine, axis=1, kind="stable")[:, :5]
+    for factor, least in ((1.0, 1.0), (0.8, 0.9)):
+        _, found = tree.search(x[asked], ids[asked], 5, factor)
+        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(want, found, strict=True)]) >= least
+
+
+def test_neighbours_of_near_ties_and_clashing_columns(spark):
+    base = np.random.default_rng(2).standard_normal(6)
+    rows = [(k, (base * (1 + k * 1e-13) + np.eye(6)[k % 6] * 1e-14 * k).tolist(), "v", "v") for k in range(40)] + [(0, [1.0] * 6, "v", "v"), (77, [1.0, 2.0], "v", "v")]
+    out = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, h string"), "vec_id = 0", 5).collect()
+    x = [(k, np.array(v)) for k, v, *_ in rows if len(v) == 6]
+    per = {}
+    for r in out:
+        per.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = x[0][1]
+    want = sorted((-float((q * v).sum() / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum()))), k) for k, v in x if k != 0)[:5]
+    assert len(per[0]) == 5 and [s for *_, s in sorted(per[0])] == pytest.approx([-s for s, _ in want], abs=1e-15)
 
 
 def test_share_redistributes_among_siblings():
@@ -347,6 +368,40 @@ def test_shuffled_shards(docs, rows, none):
     assert sharding.shuffle_shards(none, 7).count() == 0
 
 
+def test_shards_by_the_law(spark, docs, rows, tmp_path):
+    import struct
+
+    import xxhash
+
+    def hashed(key, j, seed):
+        h = 42
+        for raw in (struct.pack("<q", key), struct.pack("<i", j), struct.pack("<q", seed)):
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    out = sharding.shuffle_shards(docs, 7, bucket_bytes=2000).cache()
+    for r in out.collect():
+        draws = [hashed(r.doc_id, j, 7) for j in range(8)]
+        assert r.shard == max(range(7), key=lambda j: draws[j]) and r.grown_shard == max(range(8), key=lambda j: draws[j])
+    again = {r.doc_id: r.slot for r in sharding.shuffle_shards(docs.repartition(3), 7, bucket_bytes=2000).collect()}
+    assert len(again) == len(rows)
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r.shard, r.slot, r.doc_id) for r in back.collect()) == sorted((r.shard, r.slot, r.doc_id) for r in out.collect())
+    out.unpersist()
+
+
+def test_shards_of_null_keys_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, f"text {k % 5}", "v", "v") for k in range(20)] + [(1, None, "v", "v"), (1, "", "v", "v")], "doc_id long, text string, part string, row string")
+    out = sharding.shuffle_shards(docs, 3, bucket_bytes=10).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "part", "row", "shard", "slot", "grown_shard"} and {(r.part, r.row) for r in out} == {("v", "v")}
+    assert len({r.shard for r in out if r.doc_id is None}) == 1 and len({r.shard for r in out if r.doc_id == 1}) == 1
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_licences(spark, none):
     texts = ["x\nReleased under the MIT License.\ny", "released   under THE mit licence", "Released under the nice MIT License.", None, "", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License", "word"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -438,6 +493,22 @@ def test_quality_is_learnt_from_text(spark, none):
     assert quality.score(none, model).count() == 0 and quality.score(docs, None).first().score == 1
 
 
+def test_quality_votes_equal_brute_force(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in rows] + [(3, "another text of document three"), (None, "x")], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(0, 60)] + [(7, 1), (7, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    model = quality.train(docs, marks)
+    assert set(model.labels) == {0.0, 1.0} and len(model.labels) <= 60
+    for r in quality.score(docs.withColumn("Score", F.lit("old")), model).collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        own = model.latent(quality.counts(raw, np.array([0, len(raw)])))[0]
+        cosine = [float(sum(a * b for a, b in zip(own, v, strict=True))) for v in model.vectors.astype(np.float64)]
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[:9]
+        weight = [max(cosine[i], 0) ** 4 for i in near]
+        want = sum(w * model.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight) if sum(weight) > 1e-9 else model.prior
+        ties = abs(sorted(cosine)[-9] - sorted(cosine)[-10]) < 1e-5
+        assert ties or r.score == pytest.approx(want, abs=1e-4)
+
+
 @pytest.mark.parametrize("least", [2, 3])
 def test_lines_equal_brute_force(docs, rows, none, least):
     seen, want = set(), {}

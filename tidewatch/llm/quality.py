@@ -89,13 +89,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours:
     """A model from the labelled documents, None if there are none.
 
     Of labels(doc_id, quality) only rows with both values, and with crc32(doc_id) mod 5 other than 0, are used, and of
-    these the `sample` first in the order of a hash of doc_id. The bound keeps what is broadcast the same size for
+    these the `sample` first in the order of a hash of doc_id. Of several labels of a doc_id the smallest counts, of
+    several texts that of the smallest hash, so that the sample is bounded in rows too. The bound keeps what is broadcast the same size for
     every corpus; a labelled text of any length counts whole.
     """
     tune(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
-    picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

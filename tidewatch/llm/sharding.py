@@ -22,8 +22,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
     """docs with shard (int), slot (long, gapless from 0 in each shard, in shuffled order) and grown_shard (int, the
     shard if there were one more).
 
-    The key and the number of shards alone decide the shard. Rows with equal or null keys share a shard; null texts
-    weigh nothing. An empty table stays empty. Columns named as the new ones are replaced, all others stay.
+    The key and the number of shards alone decide the shard. Rows with equal or null keys share a shard, in which
+    their texts deal them over its buckets; null texts weigh nothing. An empty table stays empty. Columns named as the new ones are replaced, all others stay.
 
     Work: one pass adds up bytes to size the buckets, one counts keys by bucket for each bucket's first slot, and one
     scatters whole records over the buckets, which is the only shuffle of texts. A bucket is one array in memory; its
@@ -31,18 +31,22 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
     bucket is shuffled in one task, so a task that runs again after a lost executor renumbers whole buckets only.
     """
     docs = without(docs, "shard", "slot", "grown_shard")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     parts = max(1, -(-total // (shards * bucket_bytes)))
-    placed = docs.withColumn("shard", F.expr(shard_of(f"`{key}`", shards, seed)).cast("int"))
-    placed = placed.withColumns({"_part": F.pmod(F.xxhash64(key, F.lit(seed), F.lit("bucket")), F.lit(parts)), "_grown": F.when(F.expr(f"xxhash64(`{key}`, {shards}, {seed}L) > array_max(transform(sequence(0, {shards - 1}), j -> xxhash64(`{key}`, j, {seed}L)))"), shards).otherwise(F.col("shard"))})
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "_part").agg(F.count("*").alias("n")).select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("_first"))
-    record = F.struct(F.xxhash64(key, F.lit(seed), F.lit("order")).alias("_h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("_grown"))
-    buckets = placed.groupBy("shard", "_part").agg(F.collect_list(record).alias("rows"))
-    drawn = buckets.join(offsets, ["shard", "_part"]).select("shard", "_first", F.posexplode(F.shuffle(F.array_sort("rows", lambda a, b: F.when(a["_h"] < b["_h"], -1).when(a["_h"] > b["_h"], 1).otherwise(0)), seed)).alias("_at", "_r"))
-    return drawn.select("_r.row.*", F.col("shard"), (F.col("_first") + F.col("_at")).alias("slot"), F.col("_r._grown").cast("int").alias("grown_shard"))
-
-
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes each shard to its folder, rows in the order of their slots."""
-    shuffled.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("content"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    new = f"xxhash64(key, {shards}, {seed}L) > array_max(transform(sequence(0, {shards - 1}), j -> xxhash64(key, j, {seed}L)))"
+    placed = rows.withColumn("shard", F.expr(shard_of("key", shards, seed)).cast("int"))
+    placed = placed.withColumns({"part": F.pmod(F.xxhash64("key", F.lit(seed), F.lit("bucket"), "content"), F.lit(parts)), "grown": F.when(F.expr(new), shards).otherwise(F.col("shard"))})
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first"))
+    record = F.struct(F.xxhash64("key", F.lit(seed), F.lit("order")).alias("h"), "content", "row", "grown")
+    buckets = placed.groupBy("shard", "part").agg(F.collect_list(record).alias("rows"))
+    sorted_rows = F.array_sort("rows", lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).when(a["content"] < b["content"], -1).when(a["content"] > b["content"], 1).otherwise(0))
+    drawn = buckets.join(offsets, ["shard", "part"]).select("shard", "first", F.posexplode(F.shuffle(sorted_rows, seed)).alias("at", "r"))
+    return drawn.select(*(F.col("r.row").getField(c).alias(c) for c in docs.columns), "shard", (F.col("first") + F.col("at")).alias("slot"), F.col("r.grown").cast("int").alias("grown_shard"))
+
+
+def write_shards(shuffled: DataFrame, path: str, pieces: int = 16) -> None:
+    """Writes each shard to its folder, in `pieces` files or fewer of consecutive slots, rows in the order of slots."""
+    most = F.max("slot").over(Window.partitionBy("shard"))
+    shuffled.withColumn("piece", F.floor(F.col("slot") * pieces / (most + 1)).cast("int")).repartition("shard", "piece").sortWithinPartitions("shard", "slot").drop("piece").write.partitionBy("shard").parquet(path)

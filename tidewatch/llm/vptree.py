@@ -16,6 +16,8 @@ from tidewatch.llm.common import shuffle_parts
 
 #: Vectors in a shard, queries in a block, and vectors in a leaf, at most on average.
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 65_536, 8_192, 256
+#: Rows kept beyond the k nearest, so that rounding in the tree can't decide between near ties.
+SLACK = 8
 
 
 class Tree:
@@ -47,7 +49,7 @@ class Tree:
         rows = np.full((len(unit), k), -1)
 
         def offer(q: np.ndarray, own: np.ndarray, cosine: np.ndarray) -> None:
-            cosine = np.where(self.ids[own][None, :] == ids[q][:, None], -np.inf, np.round(cosine, 12))
+            cosine = np.where(self.ids[own][None, :] == ids[q][:, None], -np.inf, cosine)
             use = cosine.max(axis=1) >= best[q, -1]
             if not use.any():
                 return
@@ -124,10 +126,25 @@ def nearest(vectors: DataFrame, query: str, k: int = 5, factor: float = 1.0, id:
         length = np.sqrt((given * given).sum(axis=1))
         asked_ids, wanted = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"))
         wanted_length = np.sqrt((wanted * wanted).sum(axis=1))
-        best, found = Tree(given / length[:, None], ids).search(wanted / wanted_length[:, None], asked_ids, k, factor)
+        best, found = Tree(given / length[:, None], ids).search(wanted / wanted_length[:, None], asked_ids, k + SLACK, factor)
+        exact = lambda q, r: (wanted[q] * given[r]).sum(axis=1) / (wanted_length[q] * length[r])
         q, c = np.nonzero(found >= 0)
         r = found[q, c]
-        score = (wanted[q] * given[r]).sum(axis=1) / (wanted_length[q] * length[r])
+        # A query whose spare rows are all as near as its k-th is settled against the whole shard
+        close = np.flatnonzero((found[:, -1] >= 0) & (best[:, k - 1] - best[:, -1] < 1e-11))
+        if len(close):
+            q, r = q[~np.isin(q, close)], r[~np.isin(q, close)]
+            every = np.arange(len(ids))
+            q = np.concatenate([q, np.repeat(close, len(ids))])
+            r = np.concatenate([r, np.tile(every, len(close))])
+            other = ids[r] != asked_ids[q]
+            q, r = q[other], r[other]
+        score = exact(q, r)
+        order = np.lexsort((ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        first = np.searchsorted(q, q)
+        near = np.arange(len(q)) - first < k
+        q, r, score = q[near], r[near], score[near]
         return pa.table([pa.array(asked_ids[q]), pa.array(ids[r]), pa.array(score)], names=names)
 
     key = ["dim", "shard", "block"]
