@@ -86,12 +86,22 @@ def window_labels(scores: DataFrame, units: DataFrame, horizon: float, buffer: f
 
 def auc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """Mann-Whitney AUC with half credit for ties, per group; null with one class only. Rows are first summed by
-    distinct score, so only distinct scores are ordered."""
+    distinct score, so only distinct scores are ordered: each group by itself, or, without groups, by 200 ranges of
+    scores, whose totals are then added up."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1.0)
     sums = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = sums.withColumn("below", below).groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    earlier = lambda *parts: Window.partitionBy(*parts).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    if by:
+        sums = sums.withColumn("below", F.coalesce(F.sum("neg").over(earlier(*by)), F.lit(0.0)))
+    else:
+        cuts = df.agg(F.percentile_approx(score, [k / 200 for k in range(1, 200)], 1000)).first()[0] or []
+        sums = sums.withColumn("range", F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c <= F.col("s"))) if cuts else F.lit(0))
+        totals = sums.groupBy("range").agg(F.sum("neg").alias("neg"))
+        before = totals.select("range", F.coalesce(F.sum("neg").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+        inside = F.coalesce(F.sum("neg").over(earlier("range")), F.lit(0.0))
+        sums = sums.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("below", F.col("inside") + F.col("before"))
+    out = sums.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 

@@ -22,11 +22,17 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that a finite stream gives, through a table in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='stream-')}"
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out/{'all' if mode == 'complete' else f'batch={batch}'}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/all" if mode == "complete" else f"{base}/out/*")
