@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidewatch.operators import conformal, dataset, events, metrics, rates, resampling, scores, windows
@@ -417,3 +418,55 @@ def test_rate_draws_and_quantile_steps_are_those_of_production(spark, sf_dir, mo
     registry.QUERIES["rate_draws"](spark, sf_dir)
     registry.QUERIES["fit_linear_quantile"](spark, sf_dir)
     assert asked == {"draws": 512, "steps": 200}
+
+
+def test_described_groups(spark):
+    from tidewatch.functions import signal as fn
+    from tidewatch.operators import signal
+
+    t = np.arange(600) * 0.5
+    x = (0.2 + np.exp(-(((t - 80) / 25) ** 2)) + np.exp(-(((t - 220) / 25) ** 2))) * np.cos(2 * np.pi * t / 8)
+    series = spark.createDataFrame([(1, x.tolist()), (2, (0.1 * x).tolist()), (3, [9.0, 9.0])], "series_id long, x array<double>")
+    got = sorted(signal.describe_groups(series, 0.5, 2.0, 8.0).collect(), key=lambda r: r.i_start)
+    assert [r.series_id for r in got] == [1, 1]
+    height = 2 * fn.envelope(x)
+    high = np.flatnonzero(height >= 1.5)
+    cuts = np.flatnonzero(np.diff(high) > 17)
+    for r, part in zip(got, np.split(high, cuts + 1), strict=True):
+        own = height[part[0] : part[-1] + 1]
+        assert (r.i_start, r.i_end, r.i_top) == (part[0], part[-1], part[0] + int(own.argmax()))
+        assert r.carrier_period == pytest.approx(8.0, abs=0.05)
+        assert r.height == pytest.approx(own.max())
+        assert r.cycles == pytest.approx(len(own) * 0.5 / r.carrier_period)
+        assert r["shape"] == pytest.approx(np.interp(np.linspace(0, len(own) - 1, 9), np.arange(len(own)), own / own.max()).tolist())
+
+
+def test_counts_captured_by_draws(spark):
+    units = spark.createDataFrame([(1, 0.0, 10.0, 5.0, 0), (2, 0.0, 10.0, None, 0)], "series_id long, record_start double, record_end double, t_event double, stratum int")
+    emitted = spark.createDataFrame([(1, 2.0, [0.1, 0.2]), (1, 6.0, [0.0, 0.5]), (2, 4.0, [0.0, 0.1])], "series_id long, t double, draws array<double>")
+    drawn = rates.integrate_draws(emitted, units)
+    assert {(r.series_id, r.draw): pytest.approx(r.expected) for r in drawn.collect()} == {(1, 0): 0.4, (1, 1): 2.8, (2, 0): 0.0, (2, 1): 0.6}
+    expected = spark.createDataFrame([(1, 1.0), (2, 0.5)], "series_id long, expected double")
+    (r,) = rates.count_capture(expected, drawn, units, ["stratum"]).collect()
+    assert (r.n, r.predicted, r.realized, r.captured) == (2, 1.5, 1, True)
+    assert (r.lo, r.hi) == pytest.approx((0.475, 3.325))
+    (r,) = rates.count_capture(expected, drawn, units, ["stratum"], absorbing=True).collect()
+    assert r.predicted == pytest.approx(2 - np.exp(-1) - np.exp(-0.5))
+
+
+def test_coverage_cells_and_worst(spark):
+    rows = spark.createDataFrame([(f, 0.1, int(k < m)) for f, m in ((0, 1), (1, 4)) for k in range(10)], "family int, alpha double, miss int")
+    cells = metrics.coverage_cells(rows, ["family"])
+    got = {r.family: r for r in cells.collect()}
+    assert (got[0].n, got[0].covered, got[0].coverage) == (10, 9, 0.9)
+    assert (got[0].lo, got[0].hi) == pytest.approx((0.554984, 0.997471), abs=1e-5)
+    (worst,) = metrics.coverage_errors(cells, ["family"]).collect()
+    assert (worst.cells, worst.worst_family) == (2, 1)
+    assert (worst.mean_error, worst.max_error) == pytest.approx((0.15, 0.3))
+
+
+def test_parts_by_quantiles(spark):
+    rows = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5, 6, 7)], "age double")
+    assert [r.part for r in rates.by_parts(rows, "age").orderBy("age").collect()] == [0, 0, 1, 1, 2, 2, 2]
+    same = rates.by_parts(spark.createDataFrame([(1.0,), (1.0,)], "age double"), "age")
+    assert {r.part for r in same.collect()} == {1}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.events import episodes, merge_episodes
+from tidewatch.operators.resampling import proportion_bounds
 
 
 def _at_risk(scores: DataFrame, units: DataFrame, keys: list[str], debounce: int, horizon: float) -> tuple[DataFrame, DataFrame]:
@@ -158,3 +159,21 @@ def compare_guards(metrics: DataFrame, base: str, material: float = 0.1, surviva
     other = metrics.where(F.col("method") == base).select(F.col("false_per_hour").alias("b"), F.col("sensitivity").alias("sb"))
     reduction = F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b"))
     return metrics.crossJoin(F.broadcast(other)).select("method", reduction.alias("reduction"), F.coalesce(reduction >= material, F.lit(False)).alias("material"), (F.col("sensitivity") >= survival * F.col("sb")).alias("survives"), ((F.col("false_per_hour") > most) & (F.col("false_per_hour") > times * F.col("b"))).alias("explodes"))
+
+
+def coverage_cells(bounded: DataFrame, by: list[str], alpha: str = "alpha", confidence: float = 0.95) -> DataFrame:
+    """by, alpha, n, covered, coverage, its exact interval lo and hi, and error (coverage less 1 - alpha), for rows
+    with `miss` (0 or 1). by tells cells apart: family, horizon, model."""
+    keys = [*by, alpha]
+    cells = bounded.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(1 - F.col("miss")).alias("covered"))
+    lo, hi = proportion_bounds("covered", "n", confidence)
+    coverage = F.col("covered") / F.col("n")
+    return cells.select(*keys, "n", "covered", coverage.alias("coverage"), lo.alias("lo"), hi.alias("hi"), (coverage - (1 - F.col(alpha))).alias("error"))
+
+
+def coverage_errors(cells: DataFrame, by: list[str], within: list[str] | None = None) -> DataFrame:
+    """within, cells, mean_error and max_error of coverage_cells() in absolute value, and the columns `by` of the worst
+    cell as worst_*, ties (to nine places) to the smaller key."""
+    worst = F.max_by(F.struct(*by), F.struct(F.round(F.abs("error"), 9), *(-F.col(c) for c in by)))
+    out = cells.groupBy(*(within or [])).agg(F.count("*").alias("cells"), F.avg(F.abs("error")).alias("mean_error"), F.max(F.abs("error")).alias("max_error"), worst.alias("worst"))
+    return out.select(*(within or []), "cells", "mean_error", "max_error", *(F.col(f"worst.{c}").alias(f"worst_{c}") for c in by))

@@ -175,8 +175,8 @@ def rate_draws(emissions: DataFrame, draws: int, seed: int) -> DataFrame:
         make = lambda s, at, k, e: np.random.default_rng([seed, zlib.crc32(f"{s}|{at:.6f}".encode())]).poisson(k, draws) / max(e, 1e-9)
         return pd.Series([make(*r) for r in zip(series, t, n, exposure, strict=True)])
 
-    out = emissions.withColumn("draws", F.array_sort(run("series_id", "t", "n", "exposure")))
-    at = lambda q: F.get("draws", F.lit(round(q * (draws - 1))))
+    out = emissions.withColumn("draws", run("series_id", "t", "n", "exposure"))
+    at = lambda q: F.get(F.array_sort("draws"), F.lit(round(q * (draws - 1))))
     return out.withColumns({"lo": at(0.025), "hi": at(0.975)})
 
 
@@ -188,3 +188,34 @@ def history_counts(crossings: DataFrame, emissions: DataFrame, trailing: float)
     w = Window.partitionBy("series_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(trailing * 1e6), 0)
     seen = both.withColumns({"n": F.sum(1 - F.col("asks")).over(w), "top": F.max("severity").over(w)})
     return seen.where("asks = 1").select("series_id", "t", "n", F.col("top").alias("severity"))
+
+
+def integrate_draws(emissions: DataFrame, units: DataFrame, draws: str = "draws") -> DataFrame:
+    """series_id, draw, expected: integrate_rate() of every draw of a rate, each emission's array held to the next."""
+    w = Window.partitionBy("series_id").orderBy("t")
+    joined = emissions.join(units.select("series_id", "record_end"), "series_id")
+    span = F.greatest(F.coalesce(F.lead("t").over(w), "record_end") - F.col("t"), F.lit(0.0))
+    # The window comes first, by itself: in one projection the rows would be exploded before it
+    flat = joined.withColumn("_span", span).select("series_id", F.col("_span").alias("span"), F.posexplode(draws).alias("draw", "rate"))
+    return flat.groupBy("series_id", "draw").agg(F.sum(F.col("rate") * F.col("span")).alias("expected"))
+
+
+def count_capture(expected: DataFrame, drawn: DataFrame, units: DataFrame, by: list[str], absorbing: bool = False) -> DataFrame:
+    """by, n, predicted and realized counts, the 95% interval lo, hi of the predicted count over draws, and whether it
+    holds the realized one. expected(series_id, expected), drawn(series_id, draw, expected), units(series_id, t_event,
+    by). With absorbing, a series counts by the probability of one event or more. Sums of draws are grouped twice,
+    so a campaign's rows meet only as one number for each draw."""
+    share = -F.expm1(-F.col("expected")) if absorbing else F.col("expected")
+    own = units.select("series_id", "t_event", *by)
+    point = expected.join(own, "series_id").groupBy(*by).agg(F.count("*").alias("n"), F.sum(share).alias("predicted"), F.count("t_event").alias("realized"))
+    totals = drawn.join(own, "series_id").groupBy(*by, "draw").agg(F.sum(share).alias("total"))
+    bands = totals.groupBy(*by).agg(F.percentile("total", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return point.join(bands, by, "left").withColumn("captured", F.col("realized").between(F.col("lo"), F.col("hi")))
+
+
+def by_parts(df: DataFrame, column: str, parts: int = 3) -> DataFrame:
+    """df with `part`, which of `parts` quantile ranges of a column holds the row (from 0); quantiles that coincide
+    count once. The quantiles are one row."""
+    cuts = F.array_distinct(F.percentile(column, F.array(*(F.lit(k / parts) for k in range(1, parts)))))
+    joined = df.crossJoin(F.broadcast(df.agg(cuts.alias("_cuts"))))
+    return joined.withColumn("part", F.size(F.filter("_cuts", lambda c: F.col(column) >= c))).drop("_cuts")

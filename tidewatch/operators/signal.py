@@ -45,11 +45,24 @@ def window_normalize(rows: DataFrame, w: str = "w") -> DataFrame:
     return out.withColumn(w, F.transform("_r", lambda v: v / F.col("_s"))).drop("_m", "_b", "_r", "_s")
 
 
+def window_moments(rows: DataFrame, w: str = "w") -> DataFrame:
+    """rows with `variance` (ddof 1) of each window and `ac1`, the correlation of its values with those one before; 0
+    where either part is constant."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    less_mean = lambda a: F.transform(a, lambda v: v - total(a) / F.size(a))
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    n = F.size(w)
+    out = rows.withColumns({"_c": less_mean(F.col(w)), "_l": less_mean(F.slice(w, F.lit(1), n - 1)), "_r": less_mean(F.slice(w, F.lit(2), n - 1))})
+    out = out.withColumns({"_d": F.sqrt(dot("_l", "_l") * dot("_r", "_r")), "variance": dot("_c", "_c") / (n - 1)})
+    return out.withColumn("ac1", F.when(F.col("_d") > 1e-12 * (n - 1), dot("_l", "_r") / F.col("_d")).otherwise(0.0)).drop("_c", "_l", "_r", "_d")
+
+
 def engineered_features(rows: DataFrame, dt: float, natural: float, radius: float, length: int, vanishing: float, growth: float, eq: float) -> DataFrame:
-    """rows with the feature table of each window: trends of variance and autocorrelation, envelope, period, danger at
-    the end point, neighbours, band power and the end point itself. One projection, no join."""
+    """rows with the feature table of each window: variance and autocorrelation, their trends, envelope, period, danger
+    at the end point, neighbours, band power and the end point itself. One projection, no join."""
     skip = round(natural / dt)
-    out = sc.ews_score(rows, "variance", 0.35, 12, length).withColumnRenamed("ews", "variance_trend")
+    out = window_moments(rows)
+    out = sc.ews_score(out, "variance", 0.35, 12, length).withColumnRenamed("ews", "variance_trend")
     out = sc.ews_score(out, "ac1", 0.35, 12, length).withColumnRenamed("ews", "ac1_trend")
     out = dominant_period(envelope_features(out), dt, natural)
     out = band_power_score(sc.neighbor_score(out, radius, skip), skip)
@@ -79,6 +92,54 @@ def wave_groups(series: DataFrame, level: float, least: float, dt: float) -> Dat
     return runs.where((F.col("i_end") - F.col("i_start") + 1) * dt >= least).select("series_id", F.col("t_start").alias("lo"), (F.col("t_end") + dt).alias("hi"), F.col("top").alias("height"))
 
 
+def _median(a):
+    """Median of an array column."""
+    s = F.array_sort(a)
+    return (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+
+
+def _steps(a):
+    """Differences of neighbours of an array column."""
+    return F.zip_with(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), lambda y, x: y - x)
+
+
+def describe_groups(series: DataFrame, dt: float, significant: float, period: float, share: float = 0.75, periods: float = 1.5, ordinates: int = 9) -> DataFrame:
+    """Wave groups of series(series_id, x): series_id, i_start, i_end, i_top, carrier_period, height, cycles and shape.
+
+    A group is a run of samples whose envelope height (twice the envelope) reaches `share` of the significant height,
+    runs at most one peak period apart being one; it lasts `periods` peak periods or more. The carrier period is the
+    median time between whole turns of the phase, in its prevailing direction, or, with fewer than two turns, that of
+    its mean speed. Groups of half a cycle or less, and those whose phase doesn't advance, are left out. shape holds
+    the height over its maximum at `ordinates` evenly spaced places. Series of fewer than three samples have no group.
+    """
+    from pyspark.sql import Window
+
+    wave = series.where(F.size("x") >= 3).select("series_id", F.transform(fn.array_udf(fn.envelope, "array<double>")("x"), lambda v: 2 * v).alias("h"), fn.array_udf(fn.turns, "array<double>")("x").alias("p"))
+    w = Window.partitionBy("series_id").orderBy("i")
+    high = wave.select("series_id", F.posexplode("h").alias("i", "v")).where(F.col("v") >= share * significant)
+    begins = F.coalesce(F.col("i") - F.lag("i").over(w) - 1 > round(period / dt), F.lit(True))
+    runs = high.withColumn("begins", begins.cast("int")).withColumn("g", F.sum("begins").over(w)).groupBy("series_id", "g").agg(F.min("i").alias("i_start"), F.max("i").alias("i_end"))
+    n = F.col("i_end") - F.col("i_start") + 1
+    own = runs.where(n * dt >= periods * period).join(wave, "series_id").select("series_id", "i_start", "i_end", F.slice("h", F.col("i_start") + 1, n).alias("h"), F.slice("p", F.col("i_start") + 1, n).alias("p"))
+    own = own.withColumn("p", F.when(_median(_steps(F.col("p"))) < 0, F.transform("p", lambda v: -v)).otherwise(F.col("p")))
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), n - 1).alias("a"), F.slice("p", F.lit(2), n - 1).alias("b"))
+    passed = F.transform(pairs, lambda s, k: F.when(F.floor(s["b"]) > F.floor(s["a"]), (k + (F.floor(s["a"]) + 1 - s["a"]) / (s["b"] - s["a"])) * dt))
+    own = own.withColumn("at", F.filter(passed, lambda t: t.isNotNull()))
+    span = F.get("p", n - 1) - F.get("p", F.lit(0))
+    carrier = F.when(F.size("at") >= 2, _median(_steps(F.col("at")))).when(span > 0, (n - 1) * dt / span)
+    top = F.array_max("h")
+
+    def ordinate(k):
+        place = k * (n - 1) / F.lit(float(max(ordinates - 1, 1)))
+        below = F.floor(place).cast("int")
+        lower = F.get("h", below)
+        return (lower + (place - below) * (F.coalesce(F.get("h", below + 1), lower) - lower)) / F.col("height")
+
+    out = own.withColumns({"carrier_period": carrier, "height": top, "i_top": (F.col("i_start") + F.array_position("h", top) - 1).cast("int")})
+    out = out.withColumn("cycles", n * dt / F.col("carrier_period")).where("cycles > 0.5")
+    return out.select("series_id", "i_start", "i_end", "i_top", "carrier_period", "height", "cycles", F.transform(F.sequence(F.lit(0), F.lit(ordinates - 1)), ordinate).alias("shape"))
+
+
 def ensemble_acf(series: DataFrame, lags: list[int], x: str = "x") -> DataFrame:
     """lag and the mean over series of the biased autocorrelation at it."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)

@@ -176,6 +176,27 @@ def rate_draws(spark, sf_dir):
     return ra.rate_draws(emitted(spark, sf_dir), 512, 9).select("series_id", "t", "n", "lo", "hi")
 
 
+@query()
+def count_capture(spark, sf_dir):
+    units = views(spark, sf_dir)[1]
+    drawn = ra.rate_draws(emitted(spark, sf_dir), 512, 9)
+    return ra.count_capture(expected(spark, sf_dir), ra.integrate_draws(drawn, units), units, ["stratum"], absorbing=True)
+
+
+@query(f"""{WITH}, h AS (SELECT round(severity, 9) AS severity, round(k.t - u.record_start, 3) AS age, CASE WHEN k.t <= t_event AND t_event - k.t <= {2 * DAY} THEN 1 ELSE 0 END AS hit FROM kept k JOIN units u USING (series_id)),
+thirds AS (SELECT list_distinct(quantile_cont(age, [1 / 3.0, 2 / 3.0])) AS c FROM h), p AS (SELECT severity, hit, (SELECT count(*) FROM (SELECT unnest(c) AS v) WHERE h.age >= v) AS part FROM h, thirds),
+cuts AS (SELECT part, list_distinct(quantile_cont(severity, [0.2, 0.4, 0.6, 0.8])) AS cuts FROM p GROUP BY part),
+b AS (SELECT part, bin, count(*) AS n, sum(hit) AS hits, CAST(sum(hit) AS DOUBLE) / count(*) AS raw FROM (SELECT p.*, (SELECT count(*) FROM (SELECT unnest(cuts) AS c) WHERE p.severity >= c) AS bin FROM p JOIN cuts USING (part)) GROUP BY part, bin),
+m AS (SELECT p.part, p.bin AS a, q.bin AS z, (SELECT sum(r.n * r.raw) / sum(r.n) FROM b r WHERE r.part = p.part AND r.bin BETWEEN p.bin AND q.bin) AS m FROM b p JOIN b q ON p.part = q.part AND p.bin <= q.bin),
+low AS (SELECT p.part, p.bin AS a, b.bin, min(m.m) AS l FROM b p JOIN b ON p.part = b.part AND p.bin <= b.bin JOIN m ON m.part = p.part AND m.a = p.bin AND m.z >= b.bin GROUP BY 1, 2, 3)
+SELECT CAST(part AS INTEGER) AS part, CAST(bin AS INTEGER) AS bin, n, CAST(hits AS BIGINT) AS hits, (SELECT max(l) FROM low WHERE low.part = b.part AND low.bin = b.bin) AS p FROM b""", "p")
+def fit_conditional_terciles(spark, sf_dir):
+    """A curve for each third of the crossings by their age in the record."""
+    joined = kept(spark, sf_dir).join(views(spark, sf_dir)[1].select("series_id", "record_start", "t_event"), "series_id")
+    rows = joined.select(F.round("severity", 9).alias("severity"), F.round(F.col("t") - F.col("record_start"), 3).alias("age"), F.coalesce((F.col("t") <= F.col("t_event")) & (F.col("t_event") - F.col("t") <= 2 * DAY), F.lit(False)).alias("hit"))
+    return ra.fit_conditional(ra.by_parts(rows, "age"), 5, ["part"]).select("part", "bin", "n", "hits", "p")
+
+
 @query()
 def tracking_lag(spark, sf_dir):
     path = ra.ensemble_path(paths(spark, sf_dir)).join(ra.kernel_hazard(views(spark, sf_dir)[1], list(GRID), DAY).select("t", "hazard"), "t")

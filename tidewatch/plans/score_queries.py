@@ -133,6 +133,30 @@ def coverage_table(spark, sf_dir):
     return split(spark, sf_dir).groupBy("alpha").agg(F.count("*").alias("n"), (1 - F.avg("miss")).alias("coverage"))
 
 
+CELLS_SQL = f"{SPLIT_SQL}, cells AS (SELECT series_id % 3 AS stratum, alpha, count(*) AS n, CAST(sum(1 - miss) AS BIGINT) AS covered, 1 - avg(miss) AS coverage, 1 - avg(miss) - (1 - alpha) AS error FROM test GROUP BY 1, 2)"
+
+
+def cells(spark, sf_dir):
+    return me.coverage_cells(split(spark, sf_dir).withColumn("stratum", F.col("series_id") % 3), ["stratum"])
+
+
+@query(f"{WITH}, {CELLS_SQL} SELECT * FROM cells", "alpha coverage error")
+def coverage_cells(spark, sf_dir):
+    return cells(spark, sf_dir).drop("lo", "hi")
+
+
+@query()
+def coverage_cell_bands(spark, sf_dir):
+    """coverage_cells with the exact intervals, which SQL lacks."""
+    return cells(spark, sf_dir)
+
+
+@query(f"""{WITH}, {CELLS_SQL} SELECT alpha, count(*) AS cells, avg(abs(error)) AS mean_error, max(abs(error)) AS max_error,
+arg_max(stratum, ROW(round(abs(error), 9), -stratum)) AS worst_stratum FROM cells GROUP BY alpha""", "alpha mean_error max_error")
+def coverage_errors(spark, sf_dir):
+    return me.coverage_errors(cells(spark, sf_dir), ["stratum"], ["alpha"])
+
+
 ROLLING_SQL = f"""{SPLIT_SQL}, days AS (SELECT floor(t / {DAY}) AS t, sum(miss) AS m, count(*) AS n FROM test WHERE round(alpha, 6) = 0.1 GROUP BY 1),
 rolling AS (SELECT t, 1 - sum(m) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS coverage FROM days WINDOW w AS (ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"""
 

@@ -49,6 +49,13 @@ def window_normalize(spark, sf_dir):
     return signal.window_normalize(w).select("series_id", "i_end", F.get("w", F.lit(LENGTH - 1)).alias("z"))
 
 
+@query(f"""WITH {SAMPLES_SQL}, l AS (SELECT series_id, i, x, lag(x) OVER (PARTITION BY series_id ORDER BY i) AS px FROM samples),
+f AS (SELECT series_id, i, count(*) OVER w AS have, var_samp(x) OVER w AS variance, corr(x, px) OVER p AS ac1 FROM l WINDOW w AS ({FRAME}), p AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN {LENGTH - 2} PRECEDING AND CURRENT ROW))
+SELECT series_id, i AS i_end, variance, CASE WHEN isnan(ac1) THEN 0.0 ELSE coalesce(ac1, 0.0) END AS ac1 FROM f WHERE have = {LENGTH} AND (i - {LENGTH - 1}) % 3 = 0""", "variance ac1")
+def window_moments(spark, sf_dir):
+    return signal.window_moments(all_windows(spark, sf_dir)[0]).select("series_id", "i_end", "variance", "ac1")
+
+
 @query()
 def decorrelation_time(spark, sf_dir):
     return signal.decorrelation_time(wi.to_series(views(spark, sf_dir)[0]), DT)
@@ -64,6 +71,11 @@ def wave_groups(spark, sf_dir):
     return signal.wave_groups(wi.to_series(views(spark, sf_dir)[0]), 150.0, 2 * DT, DT)
 
 
+@query()
+def describe_groups(spark, sf_dir):
+    return signal.describe_groups(wi.to_series(views(spark, sf_dir)[0]), DT, 200.0, 2 * DT, 0.75, 1.0)
+
+
 @query(f"""WITH {SAMPLES_SQL}, c AS (SELECT series_id, i, x - avg(x) OVER (PARTITION BY series_id) AS c FROM samples), v AS (SELECT series_id, sum(c * c) AS v FROM c GROUP BY 1),
 p AS (SELECT a.series_id, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series_id = b.series_id AND b.i - a.i IN (1, 2, 4, 8) GROUP BY 1, 2)
 SELECT CAST(lag AS INTEGER) AS lag, avg(s / v) AS acf, count(*) AS n FROM p JOIN v USING (series_id) WHERE v > 0 GROUP BY lag""", "acf")
@@ -71,6 +83,17 @@ def ensemble_acf(spark, sf_dir):
     return signal.ensemble_acf(wi.to_series(views(spark, sf_dir)[0]), [1, 2, 4, 8])
 
 
+@query(f"""WITH {SAMPLES_SQL}, c AS (SELECT series_id, i, x - avg(x) OVER (PARTITION BY series_id) AS c FROM samples), v AS (SELECT series_id, sum(c * c) AS v FROM c GROUP BY 1),
+p AS (SELECT a.series_id, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series_id = b.series_id AND b.i - a.i IN (1, 2, 4, 8) GROUP BY 1, 2),
+r AS (SELECT lag, avg(s / v) AS acf FROM p JOIN v USING (series_id) WHERE v > 0 GROUP BY lag), m AS (SELECT r.acf - pow(one.acf, r.lag) AS d FROM r, (SELECT acf FROM r WHERE lag = 1) one)
+SELECT max(abs(d)) AS largest, sqrt(avg(d * d)) AS rmse FROM m""", "largest rmse")
+def acf_error(spark, sf_dir):
+    """How far the curve of all series is from a geometric one of the same first lag."""
+    curve = signal.ensemble_acf(wi.to_series(views(spark, sf_dir)[0]), [1, 2, 4, 8])
+    first = curve.where("lag = 1").select(F.col("acf").alias("one"))
+    return signal.acf_error(curve, curve.select("lag").crossJoin(first).select("lag", F.pow("one", "lag").alias("acf")))
+
+
 @query()
 def crossing_rates(spark, sf_dir):
     series = wi.to_series(views(spark, sf_dir)[0]).withColumn("stratum", F.col("series_id") % 3)
