@@ -219,3 +219,20 @@ def by_parts(df: DataFrame, column: str, parts: int = 3) -> DataFrame:
     cuts = F.array_distinct(F.percentile(column, F.array(*(F.lit(k / parts) for k in range(1, parts)))))
     joined = df.crossJoin(F.broadcast(df.agg(cuts.alias("_cuts"))))
     return joined.withColumn("part", F.size(F.filter("_cuts", lambda c: F.col(column) >= c))).drop("_cuts")
+
+
+def predicted_count(expected: DataFrame, tail: DataFrame, by: list[str], absorbing: bool = False) -> DataFrame:
+    """predicted: the number of critical events to expect in all. expected(series_id, expected, by) counts events of
+    any severity; of those the share exceedances / n times p_critical of tail_posterior() for `by` is critical. With
+    absorbing, a series counts by the probability of one critical event or more. tail has one row per stratum."""
+    share = F.col("exceedances") / F.col("n") * F.col("p_critical")
+    count = F.col("expected") * F.coalesce("share", F.lit(0.0))
+    return expected.join(tail.select(*by, share.alias("share")), by, "left").agg(F.coalesce(F.sum(-F.expm1(-count) if absorbing else count), F.lit(0.0)).alias("predicted"))
+
+
+def attribution(variants: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """variant, predicted, shift and relative shift against the baseline of variants(variant, predicted) (few rows);
+    relative is null against 0."""
+    base = variants.where(F.col("variant") == baseline).select(F.col("predicted").alias("_b"))
+    shift = F.col("predicted") - F.col("_b")
+    return variants.crossJoin(F.broadcast(base)).select("variant", "predicted", shift.alias("shift"), F.when(F.col("_b") != 0, shift / F.col("_b")).alias("relative"))

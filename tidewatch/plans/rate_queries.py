@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import events as ev
 from tidewatch.operators import rates as ra
 from tidewatch.operators import resampling as re_
-from tidewatch.plans.event_queries import DAY, WITH_CROSSINGS, find_crossings, views
+from tidewatch.plans.event_queries import CHAINS_SQL, CROSSINGS_SQL, DAY, SAMPLES_SQL, UNITS_SQL, WITH_CROSSINGS, find_crossings, views
 from tidewatch.plans.registry import query
 
 KEPT_SQL = """kept AS (SELECT c.*, u.stratum FROM (SELECT series_id, side, t, i_detect, severity FROM (
@@ -197,6 +197,35 @@ def fit_conditional_terciles(spark, sf_dir):
     return ra.fit_conditional(ra.by_parts(rows, "age"), 5, ["part"]).select("part", "bin", "n", "hits", "p")
 
 
+#: Variants of a predicted count: the gap that ends a cluster, in days; the tail's fixed threshold, or none; absorbing.
+VARIANTS = {"baseline": (1, None, False), "absorbing": (1, None, True), "fixed_tail": (1, 0.5, False), "gap_half": (0.5, None, False), "gap_more": (1.5, None, False)}
+
+
+def _variant_sql(name, gap, fixed, absorbing):
+    cut = "least(quantile_cont(severity, 0.75), 1 - 1e-9)" if fixed is None else str(fixed)
+    chains = CHAINS_SQL.replace(f"> {DAY} THEN", f"> {gap * DAY} THEN")
+    return f"""SELECT '{name}' AS variant, (WITH {CROSSINGS_SQL}, {chains}, {KEPT_SQL}, {EMISSIONS_SQL}, {EXPECTED_SQL}, cut AS (SELECT stratum, {cut} AS threshold, count(*) AS n FROM kept GROUP BY stratum),
+s AS (SELECT stratum, any_value(n) AS n, any_value(threshold) AS threshold, count(*) FILTER (severity > threshold) AS exceedances, coalesce(sum(severity - threshold) FILTER (severity > threshold), 0.0) AS excess FROM kept JOIN cut USING (stratum) GROUP BY stratum),
+tail AS (SELECT stratum, {TAIL} FROM s), c AS (SELECT expected * coalesce(exceedances / n * p_critical, 0.0) AS count FROM expected JOIN units USING (series_id) LEFT JOIN tail USING (stratum))
+SELECT coalesce(sum({"1 - exp(-count)" if absorbing else "count"}), 0.0) FROM c) AS predicted"""
+
+
+@query(f"WITH {SAMPLES_SQL}, {UNITS_SQL}, v AS ({' UNION ALL '.join(_variant_sql(k, *v) for k, v in VARIANTS.items())}), b AS (SELECT predicted AS b FROM v WHERE variant = 'baseline') SELECT variant, predicted, predicted - b AS shift, CASE WHEN b <> 0 THEN (predicted - b) / b END AS relative FROM v, b", "predicted shift relative")
+def attribution(spark, sf_dir):
+    units = views(spark, sf_dir)[1]
+    own = find_crossings(spark, sf_dir)
+    parts = []
+    for name, (gap, fixed, absorbing) in VARIANTS.items():
+        marks = ev.decluster(own, gap * DAY).join(units.select("series_id", "stratum"), "series_id")
+        counts = ra.integrate_rate(ra.rate_emissions(marks.select("series_id", "t"), units, STEP, 2.0, 900001.0), units)
+        tail = ra.tail_posterior(marks, 0.75, 2.0, 1.0, ["stratum"], fixed=fixed)
+        parts.append(ra.predicted_count(counts.join(units.select("series_id", "stratum"), "series_id"), tail, ["stratum"], absorbing).withColumn("variant", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ra.attribution(out)
+
+
 @query()
 def tracking_lag(spark, sf_dir):
     path = ra.ensemble_path(paths(spark, sf_dir)).join(ra.kernel_hazard(views(spark, sf_dir)[1], list(GRID), DAY).select("t", "hazard"), "t")
