@@ -168,5 +168,6 @@ def score_hybrid(crossings: DataFrame, emissions: DataFrame, conditional: DataFr
     rows = crossings.select("series_id", "t", "severity").join(chance.select("series_id", "severity", "rate").distinct(), ["series_id", "severity"]).select("series_id", "t", F.col("rate").alias("y"), F.lit(None).cast("double").alias("exposure"), F.lit(0).alias("asks"))
     both = rows.unionByName(emissions.select("series_id", "t", F.lit(0.0).alias("y"), "exposure", F.lit(1).alias("asks")))
     w = Window.partitionBy("series_id").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns({"n": F.sum(1 - F.col("asks")).over(w), "s": F.sum("y").over(w)}).where("asks = 1")
+    # Chances are added as decimals of twelve places, so that their order doesn't matter
+    seen = both.withColumns({"n": F.sum(1 - F.col("asks")).over(w), "s": F.sum(F.col("y").cast("decimal(20,12)")).over(w).cast("double")}).where("asks = 1")
     return seen.select("series_id", "t", "n", (F.col("s") / F.col("exposure") + background).alias("rate"))
