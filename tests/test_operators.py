@@ -470,3 +470,14 @@ def test_parts_by_quantiles(spark):
     assert [r.part for r in rates.by_parts(rows, "age").orderBy("age").collect()] == [0, 0, 1, 1, 2, 2, 2]
     same = rates.by_parts(spark.createDataFrame([(1.0,), (1.0,)], "age double"), "age")
     assert {r.part for r in same.collect()} == {1}
+
+
+def test_predicted_counts_and_their_attribution(spark):
+    expected = spark.createDataFrame([(1, 2.0, 0), (2, 1.0, 0), (3, 4.0, 1), (4, 9.0, 2)], "series_id long, expected double, stratum int")
+    tail = spark.createDataFrame([(0, 10, 5, 0.5), (1, 4, 1, 1.0)], "stratum int, n long, exceedances long, p_critical double")
+    (total,) = rates.predicted_count(expected, tail, ["stratum"]).collect()
+    assert total.predicted == pytest.approx(0.5 + 0.25 + 1.0)
+    (total,) = rates.predicted_count(expected, tail, ["stratum"], absorbing=True).collect()
+    assert total.predicted == pytest.approx(3 - math.exp(-0.5) - math.exp(-0.25) - math.exp(-1))
+    got = rates.attribution(spark.createDataFrame([("baseline", 2.0), ("more", 3.0)], "variant string, predicted double")).collect()
+    assert {r.variant: (r.shift, r.relative) for r in got} == {"baseline": (0.0, 0.0), "more": (1.0, 0.5)}
