@@ -481,3 +481,11 @@ def test_predicted_counts_and_their_attribution(spark):
     assert total.predicted == pytest.approx(3 - math.exp(-0.5) - math.exp(-0.25) - math.exp(-1))
     got = rates.attribution(spark.createDataFrame([("baseline", 2.0), ("more", 3.0)], "variant string, predicted double")).collect()
     assert {r.variant: (r.shift, r.relative) for r in got} == {"baseline": (0.0, 0.0), "more": (1.0, 0.5)}
+
+
+def test_forecast_quantiles_do_not_cross(spark):
+    from tidewatch.operators import fits
+
+    rows = spark.createDataFrame([(0.0,), (10.0,), (None,)], "top double")
+    got = fits.predict_quantiles(rows, {0.9: [2.0, 0.5], 0.5: [1.0, 1.0], 0.95: [0.0, 2.0]}, ["top"]).collect()
+    assert [r.quantiles for r in got] == [[1.0, 2.0, 2.0], [11.0, 11.0, 20.0], None]

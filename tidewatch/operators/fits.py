@@ -112,3 +112,14 @@ def trial_counts(entries: DataFrame, groups: DataFrame, multipliers: list[float]
     reached = parts.withColumn("reached", F.sum("entries").over(inside)).join(F.broadcast(starts), [*by, "part"])
     hits = reached.groupBy(*by).agg(F.sum(F.col("groups") * (F.col("before") + F.col("reached"))).alias("hits"))
     return totals.join(hits, by, "left").select(*by, "n", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
+
+
+def predict_quantiles(df: DataFrame, fitted: dict[float, list[float]], columns: list[str]) -> DataFrame:
+    """df with `quantiles`, the forecasts of fit_linear_quantile() in the order of their levels, each at least as high
+    as those of lower levels; null where a column is null."""
+    lines = [F.lit(float(b[0])) + sum((F.lit(float(s)) * F.col(c) for s, c in zip(b[1:], columns, strict=True)), F.lit(0.0)) for _, b in sorted(fitted.items())]
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    rising = [lines[0], *(F.greatest(*lines[: k + 1]) for k in range(1, len(lines)))]
+    return df.withColumn("quantiles", F.when(known, F.array(*rising)))
