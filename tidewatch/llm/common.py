@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on at a time (a longer text is a pass of its own).
@@ -21,14 +21,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one in local mode
-    (one machine) and an error on a cluster, whose executors share no such folder."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder of the running context.
+
+    Where neither is set, a local session (one machine) gets a temporary folder as its checkpoint folder, once; a
+    cluster, whose executors share no such folder, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: corpus operators need a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewatch-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -131,11 +134,19 @@ def passes(at: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         start = min(end, n)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+def gaps(bytes_: bytes) -> np.ndarray:
+    """A table that says of each byte whether it stands between words."""
+    table = np.zeros(256, bool)
+    table[np.frombuffer(bytes_, np.uint8)] = True
+    return table
+
+
+#: What stands between words where nothing else is said.
+SPACE = gaps(b" \t\n\v\f\r")
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes or values that a hash is summed over at a time; the tables of powers are no longer, however long a text is.
+STEP = 1 << 18
 
 
 def _byte_values(fold: bool, seed: int) -> np.ndarray:
@@ -148,14 +159,13 @@ def _byte_values(fold: bool, seed: int) -> np.ndarray:
 _VALUES = {(fold, lane): _byte_values(fold, 1009 + lane) for fold in (False, True) for lane in (0, 1)}
 
 
-def powers(n: int, which: str) -> np.ndarray:
-    """B**i or B**-i modulo 2**64 for i < n, kept between calls."""
-    have = _POWERS[which]
-    if len(have) < n:
-        step = np.full(max(n, 2 * len(have)), _B if which == "up" else _B_INV, np.uint64)
-        step[0] = 1
-        _POWERS[which] = have = np.multiply.accumulate(step)
-    return have[:n]
+def _powers(base: np.uint64) -> np.ndarray:
+    step = np.full(STEP + 1, base, np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
+
+
+_UP, _DOWN = _powers(_B), _powers(_B_INV)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -168,40 +178,80 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, fold: bool = False, lanes: int = 1):
-    """Words (runs of bytes other than 0x20 and 0x09-0x0D) of texts laid end to end.
+def words_in(raw: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that aren't gaps) of texts laid end to end: start and end bytes of each, and the n+1
+    offsets of each text's first word. Looks at STEP bytes at a time."""
+    n = len(raw)
+    cuts = at[(at > 0) & (at < n)]
+    starts, ends = [], []
+    before, word = False, ~gap
+    for x in range(0, n, STEP):
+        y = min(x + STEP, n)
+        dark = word[raw[x:y]]
+        left = np.concatenate([[before], dark[:-1]])
+        own = cuts[np.searchsorted(cuts, x) : np.searchsorted(cuts, y)] - x
+        cut = np.zeros(y - x, bool)
+        cut[own] = True
+        starts.append(np.flatnonzero(dark & (~left | cut)) + x)
+        ends.append(np.flatnonzero(left & (~dark | cut)) + x)
+        before = bool(dark[-1])
+    first = np.concatenate([np.zeros(0, np.int64), *starts])
+    last = np.concatenate([np.zeros(0, np.int64), *ends, [n] if before else []]).astype(np.int64)
+    return first, last, np.searchsorted(first, at)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of each word's byte values, each times B to the power of its place in the word. A word that goes over the
+    end of a step is taken up in the next."""
+    out = np.zeros(len(starts), np.uint64)
+    for x in range(0, len(raw), STEP):
+        y = min(x + STEP, len(raw))
+        total = np.zeros(y - x + 1, np.uint64)
+        np.cumsum(values[raw[x:y]] * _UP[: y - x], out=total[1:])
+        a, b = int(np.searchsorted(ends, x, "right")), int(np.searchsorted(starts, y))
+        if a == b:
+            continue
+        s, e = np.maximum(starts[a:b] - x, 0), np.minimum(ends[a:b] - x, y - x)
+        part = (total[e] - total[s]) * _DOWN[s]
+        if starts[a] < x:
+            part[:1] *= np.uint64(pow(int(_B), int(x - starts[a]), 1 << 64))
+        out[a:b] += part
+    return out
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, fold: bool = False, lanes: int = 1, gap: np.ndarray = SPACE):
+    """Words of texts laid end to end.
 
     Returns the words' start and end bytes, n+1 offsets of each text's first word, and a 64-bit hash of each word
     (a list of `lanes` independent ones). A word's hash depends on its bytes only; with fold, A-Z count as a-z.
+    Besides what it returns, 24 bytes for each word and 8 for each further lane, it takes the same memory for every text.
     """
-    n = len(raw)
-    dark = ~_SPACE[raw]
-    first = np.zeros(n + 1, bool)
-    first[at] = True
-    edge = dark.copy()
-    edge[1:] &= ~dark[:-1] | first[1:n]
-    starts = np.flatnonzero(edge)
-    last = dark
-    last[:-1] &= ~dark[1:] | first[1:n]
-    ends = np.flatnonzero(last) + 1
-    of = np.searchsorted(starts, at)
-    hashes = []
-    for lane in range(lanes):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[fold, lane][raw] * powers(n, "up"), out=total[1:])
-        h = (total[ends] - total[starts]) * powers(n + 1, "down")[starts]
-        hashes.append(mix(h ^ (ends - starts).astype(np.uint64)))
-    return starts, ends, of, hashes
+    starts, ends, of = words_in(raw, at, gap)
+    size = (ends - starts).astype(np.uint64)
+    return starts, ends, of, [mix(_hashes(raw, starts, ends, _VALUES[fold, lane]) ^ size) for lane in range(lanes)]
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of every `width` consecutive values; empty when there are fewer."""
-    n = len(h)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * powers(n, "up"), out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(n - width + 1, "down"))
+    n = len(h) - width + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    step = max(STEP - width, 1)
+    if step < width:
+        raise ValueError(f"at most {STEP // 2} values are hashed together")
+    for x in range(0, n, step):
+        y = min(x + step, n)
+        total = np.zeros(y - x + width, np.uint64)
+        np.cumsum(h[x : y + width - 1] * _UP[: y - x + width - 1], out=total[1:])
+        out[x:y] = mix((total[width:] - total[: y - x]) * _DOWN[: y - x])
+    return out
+
+
+def top(rows: DataFrame, key: list[str], order: list, k: int, salt: int = 64) -> DataFrame:
+    """The first k rows of each key, with their rank: first of each of `salt` parts of a key (Spark keeps k of each task
+    before it shuffles), then of what these leave."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(salt))
+    some = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))).where(F.col("_rank") <= k).drop("_part", "_rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

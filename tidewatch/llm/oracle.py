@@ -71,4 +71,41 @@ d AS (SELECT doc_id, line, template, licence, 2.0 * count(*) / (any_value(ln) +
 best AS (SELECT doc_id, CAST(max(dice) AS DOUBLE) AS dice, count(DISTINCT line) AS n, first(licence ORDER BY dice DESC, licence) AS licence FROM d WHERE dice >= 0.8 GROUP BY doc_id)
 SELECT o.doc_id, licence, round(dice, 6) AS dice, coalesce(n, 0) AS licence_lines FROM documents o LEFT JOIN best USING (doc_id)"""
 
-ORACLE = {"op2_minhash": OP2, "op7_licences": OP7, "op9_lines": OP9, "op9_repeated_lines": OP9_REPEATED, "op10_substring": OP10}
+#: A text with A-Z folded.
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT lang, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+f1 AS (SELECT lang, a, count(*) AS f FROM s GROUP BY ALL),
+f2 AS (SELECT lang, a, b, count(*) AS f FROM s WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, a, b, c, count(*) AS f FROM s WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY ALL),
+cover AS (SELECT lang, a, b, max(f) AS most FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY ALL),
+two AS (SELECT f2.lang, concat(f2.a, ' ', f2.b) AS phrase, f2.f AS a, x.f AS l, y.f AS r, ((1000000::HUGEINT * f2.f * f2.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b
+  LEFT JOIN cover ON cover.lang = f2.lang AND cover.a = f2.a AND cover.b = f2.b WHERE cover.most IS NULL OR 100 * cover.most < 50 * f2.f),
+cuts AS (SELECT f3.lang, concat(f3.a, ' ', f3.b, ' ', f3.c) AS phrase, f3.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+    ((1000000::HUGEINT * f3.f * f3.f) // (x.f::HUGEINT * yz.f))::BIGINT AS s1, ((1000000::HUGEINT * f3.f * f3.f) // (xy.f::HUGEINT * z.f))::BIGINT AS s2
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f1 z ON z.lang = f3.lang AND z.a = f3.c
+  JOIN f2 xy ON xy.lang = f3.lang AND xy.a = f3.a AND xy.b = f3.b JOIN f2 yz ON yz.lang = f3.lang AND yz.a = f3.b AND yz.b = f3.c),
+every AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a, l, r, n, score FROM every JOIN n USING (lang))
+SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({LOW}, '{TERM}')) AS term FROM documents),
+d AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM d GROUP BY ALL),
+s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM l),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOW}, '{TERM}')) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w FROM f, s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))))::BIGINT AS score FROM q JOIN w USING (term) JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50"""
+
+ORACLE = {"op2_minhash": OP2, "op7_licences": OP7, "op9_lines": OP9, "op9_repeated_lines": OP9_REPEATED, "op10_substring": OP10, "op11_phrases": OP11, "op13_search": OP13}

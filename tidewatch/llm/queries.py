@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, jpeg, licences, lines, minhash, mixing, quality, sharding, substring, vptree
+from tidewatch.llm import bpe, jpeg, licences, lines, minhash, mixing, phrases, quality, search, sharding, substring, toxicity, vptree
 from tidewatch.llm.common import read
 from tidewatch.llm.oracle import ORACLE  # noqa: F401
 from tidewatch.session import ship
@@ -91,6 +91,20 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"), width=35, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -99,4 +113,4 @@ def _shipped(query):
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op7_licence_runs, op8_quality, op9_lines, op9_repeated_lines, op9_maximal_runs, op10_substring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _shipped(f) for f in (op1_bpe, op2_minhash, op3_vptree, op4_mixing, op5_jpeg, op6_sharding, op7_licences, op7_licence_runs, op8_quality, op9_lines, op9_repeated_lines, op9_maximal_runs, op10_substring, op11_phrases, op12_toxicity, op13_search)}
