@@ -489,3 +489,164 @@ def test_forecast_quantiles_do_not_cross(spark):
     rows = spark.createDataFrame([(0.0,), (10.0,), (None,)], "top double")
     got = fits.predict_quantiles(rows, {0.9: [2.0, 0.5], 0.5: [1.0, 1.0], 0.95: [0.0, 2.0]}, ["top"]).collect()
     assert [r.quantiles for r in got] == [[1.0, 2.0, 2.0], [11.0, 11.0, 20.0], None]
+
+
+def test_bounds_of_counts_of_any_size():
+    """Against the Poisson tail added up term by term, and against known values where that is out of reach."""
+    from tidewatch.functions import special
+
+    def at_most(m, mean):
+        return math.fsum(math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(m + 1))
+
+    for k in (0, 1, 7, 400, 10_000, 30_000):
+        hi = special.gamma_quantile(0.975, np.array([k + 1.0]))[0]
+        assert at_most(k, hi) == pytest.approx(0.025, rel=1e-9)
+        if k:
+            lo = special.gamma_quantile(0.025, np.array([float(k)]))[0]
+            assert 1 - at_most(k - 1, lo) == pytest.approx(0.025, rel=1e-8)
+    large = np.array([1e5, 1e6, 1e7, 1e9])
+    hi, lo = special.gamma_quantile(0.975, large + 1), special.gamma_quantile(0.025, large)
+    # the Cornish-Fisher expansion of a gamma quantile is as good as 1e-9 from counts of a hundred thousand on
+    z = 1.959963984540054
+    for found, a, s in ((hi, large + 1, z), (lo, large, -z)):
+        near = a + s * np.sqrt(a) + (s * s - 1) / 3 + (s**3 - 7 * s) / (36 * np.sqrt(a)) - (3 * s**4 + 7 * s * s - 16) / (810 * a)
+        assert np.abs(found / near - 1).max() < 1e-9
+    # both branches of the gamma distribution agree where they meet
+    a = np.full(5, special.LARGE * 1.0001)
+    x = a + np.array([-250.0, -90.0, 0.0, 90.0, 250.0])
+    wide = special.gamma_cdf(x, a)
+    before, special.LARGE = special.LARGE, 1e12
+    try:
+        assert np.abs(special.gamma_cdf(x, a) - wide).max() < 1e-12
+    finally:
+        special.LARGE = before
+
+
+def test_beta_and_negative_binomial_quantiles():
+    from tidewatch.functions import special
+
+    for n, k in ((10, 3), (1000, 1), (5000, 4999)):
+        q = special.beta_quantile(0.975, np.array([k + 1.0]), np.array([float(n - k)]))[0]
+        tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(q) + (n - j) * math.log1p(-q)) for j in range(k + 1))
+        assert tail == pytest.approx(0.025, rel=1e-9)
+    for r, share in ((0.5, 0.9), (12.5, 0.2), (3000.5, 0.6)):
+        total, walk = 0.0, []
+        for j in range(40_000):
+            total += math.exp(math.lgamma(j + r) - math.lgamma(r) - math.lgamma(j + 1) + r * math.log(share) + j * math.log1p(-share))
+            walk.append(total)
+        for p in (0.025, 0.975):
+            assert special.negative_binomial_quantile(p, np.array([r]), np.array([share]))[0] == sum(v < p for v in walk)
+    q = special.negative_binomial_quantile(0.975, np.array([1e9 + 0.5]), np.array([0.5]))[0]
+    assert abs(q - (1e9 + 1.959964 * math.sqrt(2e9))) < 10
+    u, mean = np.array([0.0001, 0.3, 0.5, 0.999, 0.5]), np.array([3.0, 3.0, 250.0, 250.0, 0.0])
+    for got, p, m in zip(special.poisson_quantile(u, mean), u, mean, strict=True):
+        total, j = 0.0, 0
+        while m and (total := total + math.exp(j * math.log(m) - m - math.lgamma(j + 1))) < p:
+            j += 1
+        assert got == j
+
+
+def test_predicted_counts_have_no_cap(spark):
+    from tidewatch.operators import counts
+
+    df = spark.createDataFrame([("a", True, 2.0), ("b", False, 5.0)], "g string, hit boolean, h double").unionByName(spark.range(200_000).selectExpr("'c' as g", "true as hit", "1e-4D as h"))
+    got = {r.g: (r.events, r.lo, r.hi) for r in counts.count_predictive(df, ["g"], "hit", "h", future=40.0).collect()}
+    assert got["b"][0] == 0 and got["b"][1] == 0
+    assert got["c"][0] == 200_000 and 397_000 < got["c"][1] < 400_000 < got["c"][2] < 403_500
+
+
+def test_ranks_and_running_sums_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, rng.random() * 5, float("inf")]), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, id long").repartition(7)
+    key = lambda r: (r[1] is not None, r[1] or 0.0, r[2])
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=key)
+        want |= {r[2]: (k + 1, len(own)) for k, r in enumerate(own)}
+    got = ranks.ranked(df, ["g"], ["x", "id"], ranks.range_of(df, "x", 16), "k", "n").collect()
+    assert len(got) == len(rows) and {r.id: (r.k, r.n) for r in got} == want
+    everything = ranks.ranked(df, [], ["id"], ranks.range_of(df, "id", 8), "k").collect()
+    assert all(r.k == r.id + 1 for r in everything)
+    none = ranks.ranked(df.where("false"), ["g"], ["x", "id"], ranks.range_of(df.where("false"), "x"), "k").collect()
+    assert none == []
+    values = df.where("x is not null").groupBy("g", "x").agg(F.count("*").alias("c"))
+    for r in ranks.running(values, ["g"], "x", "c", ranks.range_of(values, "x", 5)).collect():
+        own = [v for g, v, _ in rows if g == r.g and v is not None]
+        assert (r.before, r.total) == (sum(v < r.x for v in own), len(own))
+
+
+def test_largest_task_of_ranks_is_a_range(spark):
+    """Three strata don't make three tasks: no window sorts more than a few ranges of one."""
+    from tidewatch.operators import ranks
+
+    df = spark.range(30_000).selectExpr("id", "id % 3 as g")
+    own = df.withColumn("part", ranks.range_of(df, "id"))
+    sizes = [r["count"] for r in own.groupBy("g", "part").count().collect()]
+    assert len(sizes) >= 3 * 200 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_stratified_sample_shares_out_in_turns(spark):
+    rng = random.Random(6)
+    sizes = {"a": 3, "b": 40, "c": 7, "d": 1, "e": 22}
+    rows = [(f"{s}{k}", s) for s, n in sizes.items() for k in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, s string")
+    for n in (1, 4, 5, 17, 33, 60, 73, 200):
+        take, turn, left = dict.fromkeys(sizes, 0), 0, n
+        while left and any(take[s] < sizes[s] for s in sizes):
+            turn += 1
+            for s in sorted(sizes):
+                if left and sizes[s] >= turn:
+                    take[s], left = take[s] + 1, left - 1
+        got = resampling.stratified_sample(df, ["s"], n, 9, "id").collect()
+        assert {s: sum(r.s == s for r in got) for s in sizes} == take
+        assert sum(r.weight for r in got) == pytest.approx(sum(sizes[s] for s in sizes if take[s]))
+
+
+def test_threshold_sweep_equals_one_threshold_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows, units_ = [], []
+    for s in range(12):
+        x = 0.0
+        for k in range(rng.choice([1, 2, 30, 60])):
+            x += rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0, 3.0])
+            rows.append(("m" if s % 2 else "q", s, float(k), x if rng.random() > 0.05 else float("nan")))
+        units_.append((s, 0.0, 60.0, rng.choice([None, 20.0, 41.0]), s % 3))
+    sc = spark.createDataFrame(rows, "method string, series_id long, t double, score double")
+    u = unit(spark, units_)
+    grid = spark.createDataFrame([(m, v) for m in ("m", "q") for v in (-1e300, -2.0, 0.0, 0.5, 1.0, 4.0, 1e9)], "method string, threshold double")
+    for d, r, gap in ((1, 1, 0.0), (2, 2, 3.0), (3, 2, 0.0)):
+        crossed = sc.join(grid, "method")
+        keys = ["method", "threshold"]
+        want = metrics.alarm_metrics(metrics.contributions(crossed, u, F.col("threshold"), d, r, 10.0, gap, keys), keys)
+        got = metrics.operating_curve(sc, u, grid, d, r, 10.0, gap).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_component_bootstrap_against_brute_force(spark):
+    from tidewatch.operators import composed
+
+    rng = np.random.default_rng(3)
+    groups = [(int(i // 3), int(rng.integers(2)), float(rng.integers(0, 12))) for i in range(40)]
+    entries = [(i, int(rng.integers(3))) for i in range(30)]
+    responses = [(i, int(rng.integers(2)), int(rng.integers(3)), float(rng.integers(0, 12))) for i in range(90)]
+    draws = composed.component_draws(spark.createDataFrame(groups, "source long, kind int, height double"), spark.createDataFrame(entries, "entry_id long, stratum int"), spark.createDataFrame(responses, "response_id long, kind int, stratum int, height double"), 2.0, 600, 5, 4.0)
+    rows = draws.toPandas().sort_values("replicate")
+    point = sum(sum(e == s for _, e in entries) / 30 * np.mean([r[3] <= h for r in responses if r[1] == k and r[2] == s]) for _, k, h in groups for s in range(3)) / 2.0
+    assert len(rows) == 600 and np.allclose(rows["point"], point)
+    # each source of uncertainty has the mean of the point rate, and their variances add up to about the joint one
+    for c in ("joint", "groups", "entries", "responses"):
+        assert abs(rows[c].mean() - point) < 4 * rows[c].std() / 600**0.5 + 1e-12
+    parts = rows[["groups", "entries", "responses"]].var().sum()
+    assert 0.75 < parts / rows["joint"].var() < 1.25
+    assert abs(rows["count"].mean() - 4 * point) < 5 * (4 * point) ** 0.5 / 600**0.5 + 4 * rows["joint"].std() / 5
+    summary = {r.component: r for r in composed.component_bootstrap(draws).collect()}
+    assert summary["joint"].count_lo == sorted(rows["count"])[14] and summary["groups"].count_lo is None
+    assert summary["entries"].lo == pytest.approx(np.quantile(rows["entries"], 0.025))

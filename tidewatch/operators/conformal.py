@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import range_of, running
+
 
 def conformal_quantile(cal: DataFrame, alphas: list[float], by: list[str] | None = None, score: str = "score") -> DataFrame:
-    """by, alpha, quantile: the score of rank ceil((n + 1)(1 - alpha)); infinite where that rank is outside."""
+    """by, alpha, quantile: the score of rank ceil((n + 1)(1 - alpha)); infinite where that rank is outside.
+
+    Scores are first counted by value, then counted up by ranges of values, so that neither ties nor a group without
+    `by` are one task. Nulls are no scores."""
     by = by or []
-    table = F.broadcast(cal.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double"))
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = cal.select(*by, F.col(score).alias("s")).withColumns({"k": F.row_number().over(w.orderBy("s")), "n": F.count("*").over(w)})
+    table = cal.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
+    values = cal.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("c"))
+    summed = running(values, by, "s", "c", range_of(values, "s"), "below", "n")
+    sizes = summed.groupBy(*by).agg(F.first("n").alias("n"))
     rank = F.ceil(F.round((F.col("n") + 1) * (1 - F.col("alpha")), 9))
-    crossed = ranked.crossJoin(table).groupBy(*by, "alpha").agg(F.first("n").alias("n"), F.max(F.when(F.col("k") == rank, F.col("s"))).alias("q"))
+    hit = (F.col("below") < rank) & (rank <= F.col("below") + F.col("c"))
+    found = summed.crossJoin(F.broadcast(table)).where(hit).groupBy(*by, "alpha").agg(F.max("s").alias("q"))
+    asked = sizes.crossJoin(F.broadcast(table))
+    crossed = asked.join(found, [*by, "alpha"], "left")
     q = F.when(F.col("alpha") <= 0, float("inf")).when(F.col("alpha") >= 1, float("-inf")).otherwise(F.coalesce("q", F.lit(float("inf"))))
     return crossed.select(*by, "alpha", "n", q.alias("quantile"))
 

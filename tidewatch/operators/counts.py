@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.special import negative_binomial_quantile
 from tidewatch.operators.metrics import auc
 from tidewatch.operators.resampling import bootstrap_draws, poisson_bounds, proportion_bounds
 
@@ -39,22 +41,24 @@ def fit_intercept(observations: DataFrame, by: list[str] | None = None) -> DataF
     return out.select(*(by or []), "events", "hours", (F.col("events") / F.col("hours")).alias("rate"), (F.col("a") / F.col("hours")).alias("lo"), (F.col("b") / F.col("hours")).alias("hi"))
 
 
-def count_predictive(df: DataFrame, by: list[str], event: str, hours: str, future: float = 1.0, most: int = 10_000) -> DataFrame:
+def count_predictive(df: DataFrame, by: list[str], event: str, hours: str, future: float = 1.0) -> DataFrame:
     """by, events, hours, lo, hi: the central 95% of the negative binomial count of the next `future` hours, of shape
-    events + 1/2 (Jeffreys). The distribution is walked on the grouped rows, to a count of `most`, beyond which it is
-    an error."""
+    events + 1/2 (Jeffreys). Its quantiles come from the incomplete beta function, on the grouped rows; null without
+    exposure."""
     sums = df.groupBy(*by).agg(F.count_if(F.col(event)).alias("events"), F.sum(hours).alias("hours"))
-    r, p = F.col("events") + 0.5, F.col("hours") / (F.col("hours") + future)
-    last = F.least(F.lit(most), F.ceil(r / F.col("hours") * future + 12 * F.sqrt(r * (1 - p)) / p + 60)).cast("int")
-    start = F.struct(F.lit(0.0).alias("cdf"), (r * F.log(p)).alias("log"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
 
-    def step(s: Column, j: Column) -> Column:
-        cdf = s["cdf"] + F.exp(s["log"])
-        return F.struct(cdf.alias("cdf"), (s["log"] + F.log((j + r) / (j + 1)) + F.log(1 - p)).alias("log"), (s["lo"] + (cdf < 0.025).cast("int")).alias("lo"), (s["hi"] + (cdf < 0.975).cast("int")).alias("hi"))
+    def bound(p: float):
+        @F.pandas_udf("long")
+        def run(events: pd.Series, watched: pd.Series) -> pd.Series:
+            k, h = events.to_numpy(np.float64), watched.to_numpy(np.float64)
+            good = h > 0
+            out = pd.Series([pd.NA] * len(k), dtype="Int64")
+            out[good] = negative_binomial_quantile(p, k[good] + 0.5, h[good] / (h[good] + future)).astype(np.int64)
+            return out
 
-    out = sums.withColumn("last", last).withColumn("w", F.aggregate(F.sequence(F.lit(0), "last"), start, step))
-    hi = F.when(F.col("w.hi") > F.col("last"), F.raise_error(F.lit("a predictive count beyond the walk")).cast("int")).otherwise(F.col("w.hi"))
-    return out.select(*by, "events", "hours", F.col("w.lo").alias("lo"), hi.alias("hi"))
+        return run("events", "hours")
+
+    return sums.select(*by, "events", "hours", bound(0.025).alias("lo"), bound(0.975).alias("hi"))
 
 
 def _percentiles(replicates: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

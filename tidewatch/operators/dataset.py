@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import range_of, ranked
+
 
 def read_series(spark: SparkSession, root: str, split: str | None = None, limit: int | None = None, config_hash: str | None = None, key: str = "series_id") -> DataFrame:
     """Series of a folder, of one split (a partition column) and configuration; a limit takes the smallest keys."""
@@ -79,9 +81,10 @@ def restrict(scores: DataFrame, units: DataFrame, lo: Column, hi: Column) -> tup
 
 
 def take_rows(units: DataFrame, quota: int) -> DataFrame:
-    """All units without an event and the `quota` with one of smallest id."""
-    w = Window.partitionBy(F.col("t_event").isNotNull()).orderBy("series_id")
-    return units.withColumn("_k", F.row_number().over(w)).where((F.col("t_event").isNull()) | (F.col("_k") <= quota)).drop("_k")
+    """All units without an event and the `quota` with one of smallest id, ranked by ranges of ids."""
+    with_event = units.where("t_event is not null")
+    first = ranked(with_event, [], ["series_id"], range_of(with_event, "series_id"), "_k").where(F.col("_k") <= quota).drop("_k")
+    return units.where("t_event is null").unionByName(first)
 
 
 def take_half(units: DataFrame, second: bool = False) -> DataFrame:

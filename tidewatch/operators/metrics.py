@@ -43,14 +43,22 @@ def contributions(scores: DataFrame, units: DataFrame, threshold, debounce: int,
     return out.select(*own, "stratum", "exposure", zero("opportunities"), F.col("observable").cast("long").alias("observable"), zero("detected"), zero("false_episodes"), "lead")
 
 
-def alarm_metrics(contribution: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Sums and rates of contributions(), with median lead and a Wilson interval of the sensitivity."""
+def _alarm_rates(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates of exposure_hours, opportunities, events, detected, false_episodes and q (quantiles of the lead)."""
     z = 1.959963984540054
-    grouped = contribution.groupBy(*(keys or []))
-    out = grouped.agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum("opportunities").alias("opportunities"), F.sum("observable").alias("events"), F.sum("detected").alias("detected"), F.sum("false_episodes").alias("false_episodes"), F.expr("percentile(lead, array(0.1D, 0.5D, 0.9D))").alias("q"))
     n, p = F.col("events"), F.col("detected") / F.col("events")
     middle, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return out.select(*(keys or []), "exposure_hours", "opportunities", "events", "detected", "false_episodes", F.when(n > 0, p).otherwise(0.0).alias("sensitivity"), F.when(n > 0, middle - half).alias("sensitivity_lo"), F.when(n > 0, middle + half).alias("sensitivity_hi"), F.when(F.col("exposure_hours") > 0, F.col("false_episodes") / F.col("exposure_hours")).otherwise(0.0).alias("false_per_hour"), F.col("q")[0].alias("lead_q10"), F.col("q")[1].alias("lead_q50"), F.col("q")[2].alias("lead_q90"))
+    return sums.select(*keys, "exposure_hours", "opportunities", "events", "detected", "false_episodes", F.when(n > 0, p).otherwise(0.0).alias("sensitivity"), F.when(n > 0, middle - half).alias("sensitivity_lo"), F.when(n > 0, middle + half).alias("sensitivity_hi"), F.when(F.col("exposure_hours") > 0, F.col("false_episodes") / F.col("exposure_hours")).otherwise(0.0).alias("false_per_hour"), F.col("q")[0].alias("lead_q10"), F.col("q")[1].alias("lead_q50"), F.col("q")[2].alias("lead_q90"))
+
+
+_LEADS = "percentile(lead, array(0.1D, 0.5D, 0.9D))"
+
+
+def alarm_metrics(contribution: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sums and rates of contributions(), with median lead and a Wilson interval of the sensitivity."""
+    grouped = contribution.groupBy(*(keys or []))
+    out = grouped.agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum("opportunities").alias("opportunities"), F.sum("observable").alias("events"), F.sum("detected").alias("detected"), F.sum("false_episodes").alias("false_episodes"), F.expr(_LEADS).alias("q"))
+    return _alarm_rates(out, keys or [])
 
 
 def threshold_grid(scores: DataFrame, n: int = 41, extra: dict[str, float] | None = None) -> DataFrame:
@@ -64,10 +72,54 @@ def threshold_grid(scores: DataFrame, n: int = 41, extra: dict[str, float] | Non
     return out.distinct()
 
 
+def sweep_episodes(scores: DataFrame, grid: DataFrame, debounce: int, refractory: int, gap: float) -> DataFrame:
+    """Merged alarm episodes of scores(method, series_id, t, score) at every threshold of grid(method, threshold): method,
+    threshold, series_id, t_start, t_end.
+
+    One pass over each series finds, for every sample, how many of its method's thresholds it reaches. As that number
+    rises or falls by one, a flagged run begins or ends at the threshold passed; only these turns become rows, not
+    every sample at every threshold. Runs are put together to episodes as episodes() and merge_episodes() do. All
+    windows keep the series together, so that the scores are shuffled once. A method's thresholds are one array.
+    """
+    levels = grid.groupBy("method").agg(F.array_sort(F.collect_set("threshold")).alias("levels"))
+    series = Window.partitionBy("method", "series_id").orderBy("t")
+    rows = scores.select("method", "series_id", "t", "score").join(levels, "method").withColumn("level", F.size(F.filter("levels", lambda v: v <= F.col("score"))))
+    rows = rows.withColumns({"k": F.row_number().over(series), "was": F.coalesce(F.lag("level").over(series), F.lit(0)), "before": F.lag("t").over(series), "opens": F.lead("t", debounce - 1).over(series) if debounce > 1 else F.col("t"), "last": F.lead("t").over(series).isNull()})
+
+    def turns(low, high, k, up: bool, t):
+        """A turn at each level above low, up to high."""
+        one = lambda j: F.struct(j.cast("int").alias("j"), k.cast("int").alias("k"), F.lit(up).alias("up"), t.alias("t"))
+        return F.when(high > low, F.transform(F.sequence(low + 1, high), one)).otherwise(F.array().cast("array<struct<j:int,k:int,up:boolean,t:double>>"))
+
+    level, was = F.col("level"), F.col("was")
+    ends = F.when(F.col("last"), level).otherwise(F.lit(0))
+    flat = rows.where("level <> was or (last and level > 0)").select("method", "series_id", "levels", F.inline(F.concat(turns(was, level, F.col("k"), True, F.col("opens")), turns(level, was, F.col("k"), False, F.col("before")), turns(F.lit(0), ends, F.col("k") + 1, False, F.col("t")))))
+    own = ["method", "series_id", "j"]
+    by = Window.partitionBy(*own).orderBy("k")
+    # each end of a run has its beginning before it, and the end of the run before that one
+    runs = flat.withColumns({"begins": F.lag("k").over(by), "opens": F.lag("t").over(by), "quiet": F.lag("k").over(by) - F.lag("k", 2).over(by)}).where("not up")
+    runs = runs.withColumn("segment", F.sum(F.when(F.col("quiet") >= refractory, 1).otherwise(0)).over(by))
+    first = Window.partitionBy(*own, "segment").orderBy("k")
+    runs = runs.withColumn("open", F.max((F.col("k") - F.col("begins") >= debounce).cast("int")).over(first)).where("open = 1")
+    found = runs.groupBy(*own, "segment").agg(F.min_by("opens", "k").alias("t_start"), F.max("t").alias("t_end"), F.element_at(F.first("levels"), F.col("j")).alias("threshold"))
+    chained = Window.partitionBy(*own).orderBy("t_start", "t_end")
+    fresh = F.when(F.col("t_start") - F.lag("t_end").over(chained) > gap, 1).otherwise(0)
+    merged = found.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(chained))
+    return merged.groupBy(*own, "chain").agg(F.first("threshold").alias("threshold"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end")).select("method", "threshold", "series_id", "t_start", "t_end")
+
+
 def operating_curve(scores: DataFrame, units: DataFrame, grid: DataFrame, debounce: int, refractory: int, horizon: float, gap: float) -> DataFrame:
-    """alarm_metrics() for every threshold of each method, as one plan over scores x thresholds of the method."""
-    crossed = scores.join(F.broadcast(grid), "method")
-    return alarm_metrics(contributions(crossed, units, F.col("threshold"), debounce, refractory, horizon, gap, ["method", "threshold"]), ["method", "threshold"])
+    """alarm_metrics() for every threshold of each method. What doesn't depend on the threshold (exposure, opportunities,
+    events) is summed once for a method; episodes of all thresholds come from one sweep."""
+    base, risk = _at_risk(scores.select("method", "series_id", "t", "score"), units, ["method"], debounce, horizon)
+    counted = risk.groupBy("method").agg(F.count("*").alias("opportunities"))
+    whole = base.groupBy("method").agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum(F.col("observable").cast("long")).alias("events")).join(counted, "method", "left")
+    held = sweep_episodes(risk, grid, debounce, refractory, gap).join(base.select("method", "series_id", "observable", "t_event"), ["method", "series_id"])
+    associated = F.coalesce(F.col("observable") & (F.col("t_start") < F.col("t_event")) & (F.col("t_end") >= F.col("t_event") - horizon), F.lit(False))
+    each = held.withColumn("a", associated).groupBy("method", "threshold", "series_id").agg(F.sum((~F.col("a")).cast("long")).alias("false_episodes"), F.max(F.col("a").cast("long")).alias("detected"), F.max(F.when(F.col("a"), F.col("t_event") - F.col("t_start"))).alias("lead"))
+    sums = each.groupBy("method", "threshold").agg(F.sum("detected").alias("detected"), F.sum("false_episodes").alias("false_episodes"), F.expr(_LEADS).alias("q"))
+    out = grid.select("method", "threshold").distinct().join(whole, "method").join(sums, ["method", "threshold"], "left")
+    return _alarm_rates(out.fillna(0, ["opportunities", "detected", "false_episodes"]), ["method", "threshold"])
 
 
 def matched_point(curve: DataFrame, least: float = 0.9) -> DataFrame:

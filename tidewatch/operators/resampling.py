@@ -7,27 +7,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.special import beta_quantile, gamma_quantile
+from tidewatch.operators.ranks import digest_range, range_of, ranked
+
+
+def _slots(units: DataFrame, replicates: int, seed: int, stratum: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """stratum, replicate, k: the rank that each slot draws; and the units with their ranks."""
+    own = units.select("series_id", F.col(stratum).alias("stratum"), *carry)
+    numbered = ranked(own, ["stratum"], ["series_id"], range_of(own, "series_id"), "k", "n").withColumn("k", F.col("k") - 1)
+    slots = numbered.select("stratum", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("stratum").cast("string"), F.col("replicate").cast("string"), F.col("k").cast("string"))
+    return slots.select("stratum", "replicate", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("k")), numbered.drop("n")
+
 
 def bootstrap_draws(units: DataFrame, replicates: int, seed: int, stratum: str = "stratum") -> DataFrame:
     """replicate, series_id, times: how often each replicate draws each series, with replacement within its stratum.
 
     Slot k of a stratum in a replicate draws the series whose rank is a seeded hash modulo the stratum's size, so
-    draws don't depend on partitions and can be replayed. Draws are summed before they meet anything else.
+    draws don't depend on partitions and can be replayed. Ranks are found by ranges of series_id (a number), so that a
+    stratum is no task. Draws are summed before they meet anything else.
     """
-    w = Window.partitionBy(stratum)
-    ranked = units.select("series_id", F.col(stratum).alias("stratum")).withColumns({"k": F.row_number().over(w.partitionBy(stratum).orderBy("series_id")) - 1, "n": F.count("*").over(w)})
-    slots = ranked.select("stratum", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("stratum").cast("string"), F.col("replicate").cast("string"), F.col("k").cast("string"))
-    drawn = slots.withColumn("k", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n"))
-    times = drawn.groupBy("stratum", "replicate", "k").agg(F.count("*").alias("times"))
-    return times.join(ranked.select("stratum", F.col("k").cast("long").alias("k"), "series_id"), ["stratum", "k"]).select("replicate", "series_id", "times")
+    slots, numbered = _slots(units, replicates, seed, stratum, [])
+    times = slots.groupBy("stratum", "replicate", "k").agg(F.count("*").alias("times"))
+    return times.join(numbered, ["stratum", "k"]).select("replicate", "series_id", "times")
 
 
 def bootstrap_ratio(contribution: DataFrame, units: DataFrame, top: str, bottom: str, replicates: int, seed: int) -> DataFrame:
     """estimate and 95% percentile interval of sum(top) / sum(bottom) under bootstrap_draws(); replicates whose bottom
-    is 0 are left out. Contributions are one row per series, so nothing larger is resampled."""
-    draws = bootstrap_draws(units, replicates, seed)
-    sums = draws.join(contribution.select("series_id", F.col(top).alias("a"), F.col(bottom).alias("b")), "series_id").groupBy("replicate").agg(F.sum(F.col("a") * F.col("times")).alias("a"), F.sum(F.col("b") * F.col("times")).alias("b"))
+    is 0 are left out. Contributions are one row per series; they are joined to the ranks before anything is drawn, so that
+    a slot meets its numbers in one join and only sums by replicate are shuffled after it."""
+    own = units.select("series_id", "stratum").join(contribution.select("series_id", F.col(top).alias("a"), F.col(bottom).alias("b")), "series_id", "left")
+    slots, numbered = _slots(own, replicates, seed, "stratum", ["a", "b"])
+    sums = slots.join(numbered, ["stratum", "k"]).groupBy("replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     spread = sums.where("b > 0").agg(F.expr("percentile(a / b, array(0.025D, 0.975D))").alias("q"), F.count("*").alias("replicates"))
     whole = contribution.agg((F.sum(top) / F.sum(bottom)).alias("estimate"))
     return whole.crossJoin(spread).select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates")
@@ -53,53 +64,6 @@ def proportion_wilson(df: DataFrame, by: list[str], hit: str, z: float = 1.95996
     return out.select(*by, "hits", "n", p.alias("share"), (middle - half).alias("lo"), (middle + half).alias("hi"))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument to 10 or more."""
-    shift = np.zeros_like(x)
-    y = x.astype(np.float64).copy()
-    while (y < 10).any():
-        low = y < 10
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
-
-
-def _quantile(cdf, p: float, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        below = cdf(mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
-
-
-def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    flip = x > (a + 1) / (a + b + 2)
-    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
-    x = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
-    out = d.copy()
-    for m in range(1, 300):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / np.where(np.abs(1 + term * d) < tiny, tiny, 1 + term * d)
-            c = np.where(np.abs(1 + term / c) < tiny, tiny, 1 + term / c)
-            out = out * d * c
-    return np.where(flip, 1 - front * out, front * out)
-
-
-def _gamma_cdf(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function by its power series."""
-    term = 1 / a
-    total = term.copy()
-    for k in range(1, 2000):
-        term = term * x / (a + k)
-        total = total + term
-    return total * np.exp(-x + a * np.log(np.maximum(x, 1e-300)) - _log_gamma(a))
-
-
 def proportion_bounds(hits: str, n: str, confidence: float = 0.95) -> tuple:
     """Columns lo and hi: the exact Clopper-Pearson interval of hits of n; NaN for n = 0. For grouped rows."""
     tail = (1 - confidence) / 2
@@ -109,8 +73,7 @@ def proportion_bounds(hits: str, n: str, confidence: float = 0.95) -> tuple:
         def run(k: pd.Series, n: pd.Series) -> pd.Series:
             k, n = k.to_numpy(np.float64), n.to_numpy(np.float64)
             a, b = (k + 1, n - k) if upper else (k, n - k + 1)
-            safe_a, safe_b = np.maximum(a, 1e-3), np.maximum(b, 1e-3)
-            q = _quantile(lambda x: _beta_cdf(x, safe_a, safe_b), 1 - tail if upper else tail, np.zeros_like(k), np.ones_like(k))
+            q = beta_quantile(1 - tail if upper else tail, np.maximum(a, 1e-3), np.maximum(b, 1e-3))
             q = np.where(k == n, 1.0, q) if upper else np.where(k == 0, 0.0, q)
             return pd.Series(np.where(n == 0, np.nan, q))
 
@@ -127,8 +90,7 @@ def poisson_bounds(events: str, confidence: float = 0.95) -> tuple:
         @F.pandas_udf("double")
         def run(k: pd.Series) -> pd.Series:
             k = k.to_numpy(np.float64)
-            a = k + 1 if upper else np.maximum(k, 1e-3)
-            q = _quantile(lambda x: _gamma_cdf(x, a), 1 - tail if upper else tail, np.zeros_like(k), k + 10 * np.sqrt(k + 1) + 20)
+            q = gamma_quantile(1 - tail if upper else tail, k + 1 if upper else np.maximum(k, 1e-3))
             return pd.Series(q if upper else np.where(k == 0, 0.0, q))
 
         return run
@@ -152,11 +114,23 @@ def rate_ci(df: DataFrame, by: list[str], event: str, exposure: str, confidence:
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, seed: int, key: str) -> DataFrame:
     """n rows shared out over strata in turns, none beyond its size, with weight N / n of the stratum. Rows of a
-    stratum come in the order of a seeded hash of the key."""
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(order, key)), "_size": F.count("*").over(w)})
+    stratum come in the order of a seeded hash of the key, and are ranked by ranges of it, so that a stratum is no task.
+
+    Turns aren't walked: a stratum gives its size or the level that fills n, and of what is left one more to the first
+    strata that have it. Strata are few rows beside the table; the join with them is Spark's choice.
+    """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("size"))
-    slots = sizes.select(*strata, F.explode(F.sequence(F.lit(1).cast("long"), F.least("size", F.lit(n).cast("long")))).alias("turn"))
-    taken = slots.withColumn("slot", F.row_number().over(Window.orderBy("turn", *strata))).where(F.col("slot") <= n).groupBy(*strata).agg(F.count("*").alias("_take"))
-    return ranked.join(F.broadcast(taken), strata).where("_k <= _take").withColumn("weight", F.col("_size") / F.col("_take")).drop("_k", "_size", "_take")
+    every = Window.partitionBy(F.lit(0)).orderBy("size")
+    count = F.count("*").over(Window.partitionBy(F.lit(0)))
+    # if the level is `size`, smaller strata are used up and all others give `size`
+    filled = sizes.withColumns({"less": F.coalesce(F.sum("size").over(every.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)), "more": count - F.count("*").over(every.rangeBetween(Window.unboundedPreceding, 0))})
+    filled = filled.withColumn("at", F.col("less") + F.col("more") * F.col("size"))
+    step = filled.where(F.col("at") <= n).agg(F.max_by(F.struct("size", "at", "more"), "size").alias("s"), F.count("*").alias("c")).crossJoin(sizes.agg(F.count("*").alias("all")))
+    base, more, used = F.when(F.col("c") > 0, F.col("s.size")).otherwise(0), F.when(F.col("c") > 0, F.col("s.more")).otherwise(F.col("all")), F.when(F.col("c") > 0, F.col("s.at")).otherwise(0)
+    level = F.when(more > 0, base + F.floor((n - used) / more)).otherwise(base)
+    level = step.select(level.alias("level"), F.when(more > 0, n - used - F.floor((n - used) / more) * more).otherwise(0).alias("left"))
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("size") > F.col("level")), *strata))
+    taken = sizes.crossJoin(level).withColumn("_turn", turn).select(*strata, (F.least("size", "level") + F.when((F.col("size") > F.col("level")) & (F.col("_turn") <= F.col("left")), 1).otherwise(0)).alias("_take")).where("_take > 0")
+    rows = df.withColumn("_digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    out = ranked(rows, strata, ["_digest", key], digest_range(F.col("_digest")), "_k", "_size").drop("_digest")
+    return out.join(taken, strata).where("_k <= _take").select(*df.columns, (F.col("_size") / F.col("_take")).alias("weight"))

@@ -36,4 +36,4 @@ def query(sql: str | None = None, doubles: str = ""):
     return add
 
 
-from tidewatch.plans import count_queries, dataset_queries, event_queries, rate_queries, score_queries, signal_queries, stream_queries, study_queries, window_queries  # noqa: E402, F401
+from tidewatch.plans import composed_queries, count_queries, dataset_queries, event_queries, rate_queries, score_queries, signal_queries, stream_queries, study_queries, window_queries  # noqa: E402, F401
