@@ -650,3 +650,89 @@ def test_component_bootstrap_against_brute_force(spark):
     summary = {r.component: r for r in composed.component_bootstrap(draws).collect()}
     assert summary["joint"].count_lo == sorted(rows["count"])[14] and summary["groups"].count_lo is None
     assert summary["entries"].lo == pytest.approx(np.quantile(rows["entries"], 0.025))
+
+
+def walked(t, x, crossings, c):
+    """The rules of an emission, one at a time, in plain Python."""
+    from tidewatch.functions.signal import decorrelation_time
+
+    out, begin, dt = [], t[0], float(np.median(np.diff(t)))
+    raw = math.ceil(c.least / (1 - c.quantile))
+    k = 1 if c.gated else 0
+    while (now := begin + k * c.cadence) < t[-1] + c.cadence / 2:
+        k += 1
+        known = [e for e in crossings if e[0] <= now]
+        if c.gated and (len([v for v in t if v <= now]) < 3 or len(known) < raw):
+            continue
+        first = begin if c.window is None else max(begin, now - c.window)
+        back = first > begin and len([e for e in known if e[0] >= first]) < raw
+        while True:
+            start = begin if back else first
+            past = [v for s, v in zip(t, x, strict=True) if start <= s <= now]
+            gap = c.gap if c.gap is not None else decorrelation_time(np.array(past), dt) if len(past) >= 3 else dt
+            own, chains = [e for e in known if e[0] >= start], []
+            for e in own:
+                if chains and e[0] - chains[-1][-1][0] <= gap:
+                    chains[-1].append(e)
+                else:
+                    chains.append([e])
+            kept = [max(chain, key=lambda e: (e[1], -e[0])) for chain in chains]
+            level = c.threshold if c.threshold is not None else min(float(np.quantile([e[1] for e in kept], c.quantile)), float(np.nextafter(1, 0))) if kept else None
+            beyond = [e[1] - level for e in kept if e[1] > level] if level is not None else []
+            if not c.gated or len(beyond) >= c.least or back or first == begin:
+                break
+            back = True
+        if level is None or (c.gated and len(beyond) < c.least):
+            continue
+        b = c.rate + sum(beyond)
+        p = (c.exceedance if c.threshold is not None else len(beyond) / len(kept)) * (b / (b + 1 - level)) ** (c.shape + len(beyond))
+        exposure = max(now - start, dt)
+        out.append((round(now, 6), len(kept), len(beyond), round(exposure, 6), round(gap, 6), sum(e[2] > 0 for e in kept), round(level, 9), round(p, 9), round(len(kept) / exposure * p * 3600, 9), "full_history" if back else ""))
+    return out
+
+
+@pytest.mark.parametrize("changes", [{}, {"gap": None}, {"window": None, "gap": None}, {"gated": False, "threshold": 0.4, "exceedance": 0.2}, {"gated": False, "threshold": 0.4, "exceedance": 0.2, "gap": None}, {"least": 4}])
+def test_emissions_equal_walking_each(spark, changes):
+    from tidewatch.functions.emission import Config
+    from tidewatch.operators.emissions import emission_paths
+
+    rng = random.Random(12)
+    config = Config(**{"cadence": 7.0, "shape": 3.0, "rate": 2.0, "window": 40.0, "least": 1, "refresh": 21.0, "gap": 2.5, "draws": 500} | changes)
+    series, rows, events_ = {}, [], []
+    for s in range(9):
+        n = rng.choice([2, 3, 40, 200, 260])
+        t = [0.5 * k for k in range(n)]
+        x = [math.sin(k / 3) + rng.gauss(0, 0.4) for k in range(n)]
+        cut = n if s != 4 else n // 2
+        own = sorted((rng.random() * t[-1], rng.choice([0.2, 0.5, 0.9, 1.3, rng.random()]), rng.choice([-1, 1])) for _ in range(rng.choice([0, 3, 30, 60])))
+        own = [e for e in own if e[0] <= (t[cut - 1] if cut else 0)]
+        series[s] = (t[:cut], x[:cut], own)
+        rows += [(s, k, a, v if k < cut else float("nan"), 0.0) for k, (a, v) in enumerate(zip(t, x, strict=True))]
+        events_ += [(s, e[0], k, e[1], e[2]) for k, e in enumerate(own)]
+    got = emission_paths(spark.createDataFrame(rows, "series_id long, i long, t double, x double, dx double"), spark.createDataFrame(events_, "series_id long, t double, i_detect long, severity double, side int"), config, draws=True).collect()
+    for s, (t, x, own) in series.items():
+        mine = sorted((r for r in got if r.series_id == s), key=lambda r: r.t)
+        want = walked(t, x, own, config) if len(t) >= 3 else []
+        assert [(round(r.t, 6), r.n, r.exceedances, round(r.exposure, 6), round(r.gap, 6), r.positive, round(r.threshold, 9), round(r.p_critical, 9), round(r.rate, 9), "full_history" if "full_history" in r.flags else "") for r in mine] == want
+        held = None
+        for r in mine:  # draws and intervals are renewed after `refresh` seconds only
+            if held is None or r.t - held.t >= 21 - 1e-9:
+                held = r
+                assert r.drawn_at == r.t
+            assert (r.lo, r.hi, r.draws) == (held.lo, held.hi, held.draws) and r.n == r.positive + r.negative and ("prior_dominated" in r.flags) == (r.exceedances < 3)
+    assert got
+
+
+def test_draws_of_a_rate_have_their_moments():
+    from tidewatch.functions.emission import Config, Tail, draw_rates
+
+    tail = Tail(40, 10, 0.6, False, 13.0, 5.0, 0.25, 0.0)
+    for gated in (True, False):
+        config = Config(cadence=1.0, shape=3.0, rate=2.0, gated=gated, draws=200_000)
+        drawn = draw_rates(tail, 1800.0, config, [1, 2])
+        chance, square = (5.0 / 5.4) ** 13, (5.0 / 5.8) ** 13
+        # thinned Poisson counts are Poisson; unthinned ones are scaled
+        second = 10 + 100 if gated else 0.0625 * (40 + 1600)
+        mean, var = 10 * chance * 2, 4 * (second * square - 100 * chance**2)
+        assert drawn.mean() == pytest.approx(mean, rel=0.01) and drawn.var() == pytest.approx(var, rel=0.03)
+        assert np.array_equal(drawn, draw_rates(tail, 1800.0, config, [1, 2]))
