@@ -736,3 +736,67 @@ def test_draws_of_a_rate_have_their_moments():
         mean, var = 10 * chance * 2, 4 * (second * square - 100 * chance**2)
         assert drawn.mean() == pytest.approx(mean, rel=0.01) and drawn.var() == pytest.approx(var, rel=0.03)
         assert np.array_equal(drawn, draw_rates(tail, 1800.0, config, [1, 2]))
+
+
+def test_isotonic_equals_pooling_in_one_go(spark):
+    rng = random.Random(9)
+    for n, values, session_parts in ((3000, 700, "4"), (60, 60, "4"), (500, 3, "4"), (1, 1, "4")):
+        rows = [(float(rng.randrange(values)), rng.choice([0.0, 1.0, rng.random()]), rng.choice([1.0, 2.5])) for _ in range(n)]
+        points = {}
+        for x, y, w in rows:
+            a, b = points.get(x, (0.0, 0.0))
+            points[x] = (a + w, b + w * y)
+        stack = []
+        for x in sorted(points):
+            w, wy = points[x]
+            stack.append([[x], w, wy])
+            while len(stack) > 1 and stack[-2][2] / stack[-2][1] >= stack[-1][2] / stack[-1][1] - 1e-15:
+                xs, w, wy = stack.pop()
+                stack[-1] = [stack[-1][0] + xs, stack[-1][1] + w, stack[-1][2] + wy]
+        want = {x: wy / w for xs, w, wy in stack for x in xs}
+        got = {r.x: r.fit for r in rates.isotonic(spark.createDataFrame(rows, "x double, y double, w double").repartition(5), "x", "y", "w", fan=3).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+    assert rates.isotonic(spark.createDataFrame([], "x double, y double, w double"), "x", "y", "w").count() == 0
+
+
+def test_tiled_pairs_equal_all_pairs(spark):
+    rng = random.Random(10)
+
+    def intervals(n):
+        out = []
+        for k in range(n):
+            lo = rng.choice([rng.random() * 100, float(rng.randrange(100)), -float(rng.randrange(30))])
+            length = rng.choice([0.0, 0.01, 1.0, rng.random() * 5, 64.0, 5000.0, float("inf"), -3.0])
+            out.append((rng.choice(["a", "b", None]), k, rng.choice([lo, None]) if rng.random() < 0.05 else lo, lo + length))
+        return out
+
+    a, b = intervals(120), intervals(150)
+    schema = "key string, name long, lo double, hi double"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for keys, touching in ((["key"], True), ([], False), ([], True)):
+        meets = lambda x, y: x <= y if touching else x < y  # noqa: E731, B023
+        want = sorted((p[1], q[1]) for p in a for q in b if None not in (p[2], q[2]) and (not keys or (p[0] is not None and p[0] == q[0])) and meets(p[2], q[3]) and meets(q[2], p[3]))
+        met = events.tiled_pairs(left, right, "lo", "hi", keys, touching)
+        assert sorted((r.a.name, r.b.name) for r in met.collect()) == want
+    plan = events.interval_conflicts(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert events.tiled_pairs(left.where("false"), right, "lo", "hi", []).count() == 0
+
+
+def test_online_levels_of_one_long_series_among_short_ones(spark):
+    """Memory goes by rows: one series of 60,000 beside 12,000 of five would be 720 million cells as a matrix."""
+    from pyspark.sql import functions as F
+
+    long = spark.range(60_000).selectExpr("-1L as series_id", "double(id) as t")
+    short = spark.range(60_000).selectExpr("id div 5 as series_id", "double(id % 5) as t")
+    rows = long.unionByName(short).withColumns({"bound": F.lit(0.0), "target": F.expr("double(xxhash64(series_id, t) % 1000) / 100")})
+    cal = spark.range(2000).selectExpr("0.0D as bound", "double(xxhash64(id) % 1000) / 100 as target", "double(id) as t")
+    for out in (conformal.aci(rows, cal, 0.1, 0.01, 1), conformal.dtaci(rows, cal, 0.1, [0.01, 0.05]), conformal.sliding_aci(rows, cal, 0.1, 0.01, 50)):
+        got = out.groupBy().agg(F.count("*").alias("n"), F.avg(F.when(F.col("series_id") == -1, F.col("miss"))).alias("miss"), F.avg((F.col("upper").isNull()).cast("int")).alias("none")).first()
+        assert got.n == 120_000 and got.none == 0 and abs(got.miss - 0.1) < 0.02
+
+
+def test_quota_of_first_rows(spark):
+    units_ = spark.createDataFrame([(k, 0.0, 9.0, 1.0 if k % 3 else None, 0) for k in range(50)], "series_id long, record_start double, record_end double, t_event double, stratum long").repartition(4)
+    got = sorted(r.series_id for r in dataset.take_rows(units_, 7).collect())
+    assert got == sorted([k for k in range(50) if k % 3 == 0] + [k for k in range(50) if k % 3][:7])

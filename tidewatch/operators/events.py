@@ -100,11 +100,50 @@ def merge_episodes(found: DataFrame, gap: float, keys: list[str] | None = None)
     return found.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(w)).groupBy(*keys, "chain").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("max_score").alias("max_score")).drop("chain")
 
 
+#: The coarsest level of tiles, which one tile fills.
+TOP_LEVEL = 64
+
+
+def tiled_pairs(a: DataFrame, b: DataFrame, lo: str, hi: str, keys: list[str], touching: bool = True) -> DataFrame:
+    """Rows of a and b, as structs a and b, whose intervals [lo, hi] overlap (touching: ends included) under equal keys.
+
+    Intervals lie on tiles of their level, the first power of two (of the median length) that is no shorter than they are, so on
+    two at most. A pair meets at the coarser of its two levels: each interval is put on tiles of its own level for the finer ones of the other side,
+    and on tiles of each coarser level that the other side has. A pair counts in the tile that holds the later beginning, which both
+    lie on, and so once. An interval whose ends are the wrong way round overlaps those that hold both, as the comparison of ends
+    has it; null ends overlap nothing. Rows are multiplied by twice the number of levels at most; there are no pairs but those of a tile.
+    """
+    def lengths(df):
+        return df.agg(F.percentile_approx(F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)), 0.5)).first()[0]
+
+    base = float(lengths(a) or lengths(b) or 1.0)
+    span = F.abs(F.col(hi) - F.col(lo)).cast("double")
+    near = F.greatest(F.abs(F.col(lo)), F.abs(F.col(hi))).cast("double") < 2.0**52 * base
+    level = F.when(~near | span.isNull(), TOP_LEVEL).when(span <= base, 0).otherwise(F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(span / base)).cast("int")))
+    level_of = lambda df: df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(F.struct(*df.columns).alias("row"), *(F.col(c).alias(f"_{c}") for c in keys), F.least(lo, hi).cast("double").alias("_lo"), F.greatest(lo, hi).cast("double").alias("_hi"), level.alias("own"))
+    left, right = level_of(a), level_of(b)
+    levels = [sorted(r[0] for r in side.select("own").distinct().collect()) for side in (left, right)]
+    tile = lambda v, at: F.when(at >= TOP_LEVEL, F.lit(0)).otherwise(F.floor(v / (F.lit(base) * F.pow(F.lit(2.0), at)))).cast("long")
+
+    def placed(side: DataFrame, others: list[int], name: str) -> DataFrame:
+        """Tiles of own level, and of each coarser level of the other side."""
+        more = F.filter(F.array(*(F.lit(x) for x in others)).cast("array<int>"), lambda x: x > F.col("own"))
+        on = side.withColumn("at", F.explode(F.array_union(F.array("own"), more)))
+        on = on.withColumn("tile", F.explode(F.sequence(tile(F.col("_lo"), F.col("at")), tile(F.col("_hi"), F.col("at")))))
+        return on.select(F.col("row").alias(name), *(F.col(f"_{c}").alias(f"{name}_{c}") for c in keys), F.col("_lo").alias(f"{name}lo"), F.col("own").alias(f"{name}own"), F.col("at").alias(f"{name}at"), F.col("tile").alias(f"{name}tile"))
+
+    x, y = placed(left, levels[1], "a"), placed(right, levels[0], "b")
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in keys] + [F.col("aat") == F.col("bat"), F.col("atile") == F.col("btile")]
+    met = x.join(y, same).where(F.col("aat") == F.greatest("aown", "bown"))
+    ends = [F.col(f"{side}.{c}") for side, c in (("a", lo), ("b", hi), ("b", lo), ("a", hi))]
+    over = (ends[0] <= ends[1]) & (ends[2] <= ends[3]) if touching else (ends[0] < ends[1]) & (ends[2] < ends[3])
+    return met.where(over & (F.col("atile") == tile(F.greatest("alo", "blo"), F.col("aat")))).select("a", "b")
+
+
 def overlap_join(a: DataFrame, b: DataFrame, key: str = "series_id") -> DataFrame:
     """Pairs of closed intervals (lo, hi) of a key that touch: key, a_lo, a_hi, b_lo, b_hi."""
-    left = a.select(key, F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    right = b.select(key, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return left.join(right, key).where("a_lo <= b_hi and b_lo <= a_hi")
+    met = tiled_pairs(a.select(key, "lo", "hi"), b.select(key, "lo", "hi"), "lo", "hi", [key])
+    return met.select(F.col(f"a.{key}").alias(key), F.col("a.lo").alias("a_lo"), F.col("a.hi").alias("a_hi"), F.col("b.lo").alias("b_lo"), F.col("b.hi").alias("b_hi"))
 
 
 def preceded_by(units: DataFrame, groups: DataFrame, horizon: float) -> DataFrame:
@@ -135,4 +174,5 @@ def merge_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def interval_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of half-open ranges (name, lo, hi) of a and b that overlap: a_name, b_name, lo, hi of the overlap."""
-    return a.alias("a").join(b.alias("b"), F.expr("a.lo < b.hi and b.lo < a.hi")).select(F.col("a.name").alias("a_name"), F.col("b.name").alias("b_name"), F.greatest("a.lo", "b.lo").alias("lo"), F.least("a.hi", "b.hi").alias("hi"))
+    met = tiled_pairs(a.select("name", "lo", "hi"), b.select("name", "lo", "hi"), "lo", "hi", [], touching=False)
+    return met.select(F.col("a.name").alias("a_name"), F.col("b.name").alias("b_name"), F.greatest("a.lo", "b.lo").alias("lo"), F.least("a.hi", "b.hi").alias("hi"))

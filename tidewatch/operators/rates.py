@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import range_of
+
 
 def tail_posterior(severities: DataFrame, q: float, shape: float, rate: float, by: list[str] | None = None, fixed: float | None = None) -> DataFrame:
     """Exponential tail above a threshold (quantile q, below 1, or fixed): by, n, threshold, exceedances, excess, the
@@ -84,22 +86,46 @@ def reliability(df: DataFrame, bins: int, expected: str = "expected", hit: str =
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
 
 
-def isotonic(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
-    """Weighted monotone least-squares fit over the groups of a small binned table: x, y, w, fit.
+def _pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring blocks (lo, w, wy), in order of lo, pooled until their means rise."""
+    rows = rows.sort_values("lo", kind="stable")
+    lo, weight, total = [], [], []
+    for x, w, wy in zip(rows["lo"].tolist(), rows["w"].tolist(), rows["wy"].tolist(), strict=True):
+        while lo and total[-1] * w >= wy * weight[-1]:
+            x, w, wy = lo.pop(), w + weight.pop(), wy + total.pop()
+        lo.append(x)
+        weight.append(w)
+        total.append(wy)
+    return pd.DataFrame({"part": rows["part"].iloc[:1].tolist() * len(lo), "lo": lo, "w": weight, "wy": total})
+
+
+def isotonic(df: DataFrame, x: str, y: str, w: str, fan: int = 16) -> DataFrame:
+    """Weighted monotone least-squares fit: x, y, w, fit, one row for each distinct x; weights are positive.
 
-    By the max-min formula: the fit at x is the largest, over starts a <= x, of the least, over ends b >= x, weighted
-    mean of [a, b]. Meant for binned tables (rows enter squared); pre-aggregate by bins first.
+    Values of x are cut into ranges. Within a range neighbours are pooled until means rise; the blocks that are left, of `fan` ranges
+    at a time, are pooled again, and so on up to one stack: pooling what is pooled already gives the same blocks, so the order of merging
+    doesn't matter. The last stack holds one row for each step of the fit. Rows then take the last block that begins
+    at or before them, range by range, so no two rows are paired.
     """
     rows = df.groupBy(F.col(x).alias("x")).agg((F.sum(F.col(y) * F.col(w)) / F.sum(w)).alias("y"), F.sum(w).alias("w"))
-    so_far = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.withColumns({"sw": F.sum("w").over(so_far), "sy": F.sum(F.col("w") * F.col("y")).over(so_far)})
-    a = sums.select(F.col("x").alias("ax"), (F.col("sw") - F.col("w")).alias("aw"), (F.col("sy") - F.col("w") * F.col("y")).alias("ay"))
-    b = sums.select(F.col("x").alias("bx"), F.col("sw").alias("bw"), F.col("sy").alias("by"))
-    means = a.join(b, F.col("ax") <= F.col("bx")).select("ax", "bx", ((F.col("by") - F.col("ay")) / (F.col("bw") - F.col("aw"))).alias("m"))
-    after = Window.partitionBy("ax").orderBy(F.desc("bx")).rowsBetween(Window.unboundedPreceding, 0)
-    least = means.withColumn("least", F.min("m").over(after))
-    fit = least.groupBy("bx").agg(F.max("least").alias("fit"))
-    return rows.join(fit.withColumnRenamed("bx", "x"), "x").select("x", "y", "w", "fit")
+    part = range_of(rows, "x")
+    rows = rows.withColumn("part", part)
+    stacks = rows.select("part", F.col("x").cast("double").alias("lo"), F.col("w").cast("double").alias("w"), (F.col("y") * F.col("w")).cast("double").alias("wy"))
+    schema, parts = "part int, lo double, w double, wy double", max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        stacks = stacks.groupBy("part").applyInPandas(_pool, schema)
+        if parts <= 1:
+            break
+        parts = -(-parts // fan)
+        stacks = stacks.withColumn("part", (F.col("part") / fan).cast("int") if parts > 1 else F.lit(0))
+    blocks = stacks.select(F.col("lo").alias("x"), (F.col("wy") / F.col("w")).alias("fit")).withColumn("part", part)
+    marks = blocks.select("x", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("w"), "part", "fit", F.lit(0).alias("given"))
+    both = rows.select("x", "y", "w", "part", F.lit(None).cast("double").alias("fit"), F.lit(1).alias("given")).unionByName(marks)
+    own = F.last("fit", ignorenulls=True).over(Window.partitionBy("part").orderBy("x", "given").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.select("part").distinct().join(blocks.groupBy("part").agg(F.max_by("fit", "x").alias("end")), "part", "left")
+    before = ends.select("part", F.last("end", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    fitted = both.withColumn("own", own).where("given = 1").join(before, "part", "left")
+    return fitted.select("x", "y", "w", F.coalesce("own", "before").alias("fit"))
 
 
 def step_predict(df: DataFrame, knots: DataFrame, column: str) -> DataFrame:
