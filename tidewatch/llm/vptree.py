@@ -18,6 +18,8 @@ from tidewatch.llm.common import shuffle_parts
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 65_536, 8_192, 256
 #: Rows kept beyond the k nearest, so that rounding in the tree can't decide between near ties.
 SLACK = 8
+#: Rows of a shard that a query with near ties is held against at a time.
+BLOCK_ROWS = 4096
 
 
 class Tree:
@@ -89,6 +91,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _settle(wanted: np.ndarray, wanted_length: float, own: int, given: np.ndarray, length: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k nearest of one query by its cosines with all of a shard, BLOCK_ROWS rows at a time, so that ties of
+    any number take the memory of a block."""
+    rows, score = np.zeros(0, np.int64), np.zeros(0)
+    for a in range(0, len(ids), BLOCK_ROWS):
+        b = min(a + BLOCK_ROWS, len(ids))
+        got = np.arange(a, b)[ids[a:b] != own]
+        rows = np.concatenate([rows, got])
+        score = np.concatenate([score, (wanted * given[got]).sum(axis=1) / (wanted_length * length[got])])
+        best = np.lexsort((ids[rows], -score))[:k]
+        rows, score = rows[best], score[best]
+    return rows
+
+
 def nearest(vectors: DataFrame, query: str, k: int = 5, factor: float = 1.0, id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest other rows of every row for which `query` holds.
 
@@ -134,11 +150,9 @@ def nearest(vectors: DataFrame, query: str, k: int = 5, factor: float = 1.0, id:
         close = np.flatnonzero((found[:, -1] >= 0) & (best[:, k - 1] - best[:, -1] < 1e-11))
         if len(close):
             q, r = q[~np.isin(q, close)], r[~np.isin(q, close)]
-            every = np.arange(len(ids))
-            q = np.concatenate([q, np.repeat(close, len(ids))])
-            r = np.concatenate([r, np.tile(every, len(close))])
-            other = ids[r] != asked_ids[q]
-            q, r = q[other], r[other]
+            settled = [_settle(wanted[i], wanted_length[i], asked_ids[i], given, length, ids, k) for i in close]
+            q = np.concatenate([q, np.repeat(close, [len(x) for x in settled])])
+            r = np.concatenate([r, *settled])
         score = exact(q, r)
         order = np.lexsort((ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
