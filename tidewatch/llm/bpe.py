@@ -25,8 +25,8 @@ from tidewatch.llm.common import lean, passes, texts_of, tune, without
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE, with \\s written as the White_Space property.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 _WIDE, _LONE_SPACE = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
-#: Pieces kept encoded in each of a worker's two generations of memory.
-KEPT_PIECES = 120_000
+#: Pieces kept encoded in each of a worker's two generations of memory, their characters and bytes of ids, and the longest that is kept.
+KEPT_PIECES, KEPT_BYTES, LONG_PIECE = 120_000, 8 << 20, 512
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,18 +52,22 @@ class _Pairs(dict):
 
 
 class _Kept(dict):
-    """Strings already encoded: a young generation, which is this dictionary, and the one before it."""
+    """Strings already encoded: a young generation, which is this dictionary, and the one before it. Each is bounded in
+    number and in bytes, and long strings, which hardly come again, aren't kept."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.size = encode, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         if (got := self.old.get(piece)) is None:
             got = self.encode(piece)
-        if len(self) >= KEPT_PIECES:
-            self.old = dict(self)
+        if len(piece) > LONG_PIECE:
+            return got
+        if len(self) >= KEPT_PIECES or self.size >= KEPT_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += len(piece) + len(got)
         self[piece] = got
         return got
 
