@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import without
+from tidewatch.llm.common import Scratch, without
 
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 4 << 20
@@ -27,7 +27,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
 
     Work: one pass adds up bytes to size the buckets, one counts keys by bucket for each bucket's first slot, and one
     scatters whole records over the buckets, which is the only shuffle of texts. A bucket is one array in memory; its
-    number of rows is chosen by hash, so hot sources are spread. Nothing follows the random step but the write, and a
+    number of rows is chosen by hash, so hot sources are spread. No shuffle follows the random step (write_shards() cuts before its own), and a
     bucket is shuffled in one task, so a task that runs again after a lost executor renumbers whole buckets only.
     """
     docs = without(docs, "shard", "slot", "grown_shard")
@@ -47,6 +47,10 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 7, text: str =
 
 
 def write_shards(shuffled: DataFrame, path: str, pieces: int = 16) -> None:
-    """Writes each shard to its folder, in `pieces` files or fewer of consecutive slots, rows in the order of slots."""
+    """Writes each shard to its folder, in `pieces` files or fewer of consecutive slots, rows in the order of slots. The
+    shuffled rows are written to the shared folder first: a task that runs again must find the slots already drawn."""
+    scratch = Scratch(shuffled.sparkSession, "sharding")
+    shuffled = scratch.cut(shuffled)
     most = F.max("slot").over(Window.partitionBy("shard"))
     shuffled.withColumn("piece", F.floor(F.col("slot") * pieces / (most + 1)).cast("int")).repartition("shard", "piece").sortWithinPartitions("shard", "slot").drop("piece").write.partitionBy("shard").parquet(path)
+    scratch.drop(shuffled)
