@@ -645,3 +645,39 @@ def test_pipeline_stages(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_neighbours_among_many_multiples_of_one_vector(spark):
+    """20,000 multiples of one vector tie with each other: settled block by block, not all with all."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(16)
+    rows = [(k, [float(v) for v in base * (k + 1)]) for k in range(20_000)]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id % 500 = 0", k=5).collect()
+    given = np.array([r[1] for r in rows])
+    length = np.sqrt((given * given).sum(axis=1))
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(found) == 40
+    for q in (0, 500, 19_500):
+        score = (given[q] * given).sum(axis=1) / (length[q] * length)
+        best = [k for k in np.lexsort((np.arange(len(score)), -score)) if k != q][:5]
+        assert [v for _, v, _ in sorted(found[q])] == best
+
+
+def test_pieces_of_long_texts_are_not_all_kept():
+    kept = bpe._Kept(lambda piece: piece.encode() * 2)
+    for k in range(40):
+        assert kept[f"{k}" * 400_000] and kept[f"word{k}" * 80]
+    assert len(kept) == 40 and kept.size < bpe.KEPT_BYTES
+    for k in range(60_000):
+        assert kept[f"{k:060d}" * 4]
+    assert sum(len(p) + len(v) for d in (kept, kept.old) for p, v in d.items()) <= 2 * (bpe.KEPT_BYTES + 2000)
+
+
+def test_written_shards_hold_each_slot_once(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shuffle_shards(docs, shards=3, bucket_bytes=500), f"file://{tmp_path}/out", pieces=2)
+    slots = {}
+    for r in spark.read.parquet(f"file://{tmp_path}/out").select("shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, slots.values())) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())

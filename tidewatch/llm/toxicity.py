@@ -211,7 +211,7 @@ def _fit(texts: DataFrame, share: float) -> Model | float:
     sums = texts.select("toxic", "fold", "text").mapInArrow(lean(counted), "toxic int, fold int, kind string, what binary, n long")
     wide = sums.groupBy("kind", "what").agg(*(F.coalesce(F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == p), F.col("n"))), F.lit(0)).alias(f"n{t}{p}") for t in (0, 1) for p in (0, 1))).cache()
     totals = {r["kind"]: r for r in wide.where("kind in ('bytes', 'texts')").collect()}
-    if totals["texts"]["n10"] + totals["texts"]["n11"] < 2 or totals["texts"]["n00"] + totals["texts"]["n01"] < 2:
+    if "texts" not in totals or totals["texts"]["n10"] + totals["texts"]["n11"] < 2 or totals["texts"]["n00"] + totals["texts"]["n01"] < 2:
         wide.unpersist()
         return share
     most = ORDINARY_BYTES // 2
