@@ -175,3 +175,62 @@ def score_hybrid(crossings: DataFrame, emissions: DataFrame, conditional: DataFr
     # Chances are added as decimals of twelve places, so that their order doesn't matter
     seen = both.withColumns({"n": F.sum(1 - F.col("asks")).over(w), "s": F.sum(F.col("y").cast("decimal(20,12)")).over(w).cast("double")}).where("asks = 1")
     return seen.select("series_id", "t", "n", (F.col("s") / F.col("exposure") + background).alias("rate"))
+
+
+def bootstrap_tracking(paths: DataFrame, units: DataFrame, grid: list[float], bandwidth: float, most: int, replicates: int, seed: int, scale: float = 1.0) -> DataFrame:
+    """lag (in steps of the grid), bias, their 95% intervals lag_lo, lag_hi, bias_lo, bias_hi, estimable and replicates of the tracking of
+    events by rates, whole series drawn within strata.
+
+    paths(series_id, t, rate) are rates at the times of the grid (null after the record), units as in kernel_hazard(). A series is first packed
+    into arrays over the grid: its rate and 1 at the times at risk, its kernel density of the event and 1 where that is still ahead. Replicates add up
+    these arrays, each as often as the series is drawn, to a mean rate and a hazard path. The lag is the shift, of at most `most` steps, whose
+    correlation is largest over 3 points or more (to nine places; the smallest of equal ones), rate later than hazard for positive ones,
+    0 where a path doesn't vary; bias is the mean of rate less hazard, which is multiplied by `scale` to have the rate's unit.
+    """
+    n = len(grid)
+    times = F.array(*(F.lit(float(g)) for g in grid))
+    place = F.map_from_entries(F.collect_list(F.struct(F.col("t"), F.col("rate"))))
+    rates_ = paths.where("rate is not null").groupBy("series_id").agg(place.alias("at"))
+    joined = units.join(rates_, "series_id", "left")
+    density = lambda g: F.coalesce(F.exp(-((g - F.col("t_event")) ** 2) / (2 * bandwidth**2)) / (bandwidth * 2.5066282746310002), F.lit(0.0)) * scale
+    risk = lambda g: ((F.col("record_end") >= g) & (F.coalesce("t_event", F.lit(float("inf"))) >= g)).cast("double")
+    own = joined.select("series_id", F.transform(times, lambda g: F.coalesce(F.try_element_at("at", g), F.lit(0.0))).alias("r"), F.transform(times, lambda g: F.try_element_at("at", g).isNotNull().cast("double")).alias("rn"), F.transform(times, density).alias("d"), F.transform(times, risk).alias("dn"))
+    sums = lambda weight: [F.sum(F.get(c, F.lit(k)) * weight).alias(f"{c}{k}") for c in ("r", "rn", "d", "dn") for k in range(n)]
+    every = own.groupBy().agg(*sums(F.lit(1))).select(F.lit(-1).alias("replicate"), "*")
+    drawn = own.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate").agg(*sums(F.col("times"))).unionByName(every)
+    mean = lambda top, bottom: F.array(*(F.when(F.col(f"{bottom}{k}") > 0, F.col(f"{top}{k}") / F.col(f"{bottom}{k}")).otherwise(0.0) for k in range(n)))
+    both = drawn.select("replicate", mean("r", "rn").alias("rate"), mean("d", "dn").alias("hazard"))
+
+    def correlation(shift: int):
+        """Of the hazard with the rate `shift` steps later; null if either doesn't vary."""
+        size = n - abs(shift)
+        x = F.slice("hazard", 1 + max(0, -shift), size)
+        y = F.slice("rate", 1 + max(0, shift), size)
+        average = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / size
+        mx, my = average(x), average(y)
+        product = lambda a, b, ma, mb: F.aggregate(F.zip_with(a, b, lambda u, v: (u - ma) * (v - mb)), F.lit(0.0), lambda s, v: s + v)
+        sx, sy = product(x, x, mx, mx), product(y, y, my, my)
+        return F.when((sx > 1e-24) & (sy > 1e-24), F.round(product(x, y, mx, my) / F.sqrt(sx * sy), 9))
+
+    shifts = [k for k in range(-most, most + 1) if n - abs(k) >= 3]
+    best = F.array_max(F.filter(F.array(*(F.struct(correlation(k).alias("c"), F.lit(-k).alias("k")) for k in shifts)), lambda s: s["c"].isNotNull()))
+    bias = F.aggregate(F.zip_with("rate", "hazard", lambda a, b: a - b), F.lit(0.0), lambda s, v: s + v) / n
+    each = both.select("replicate", best.alias("best"), bias.alias("bias")).select("replicate", F.coalesce(-F.col("best.k"), F.lit(0)).cast("double").alias("lag"), F.col("best").isNotNull().alias("estimable"), "bias")
+    q = lambda c: F.percentile(F.when(F.col("replicate") >= 0, F.col(c)), F.array(F.lit(0.025), F.lit(0.975)))
+    whole = lambda c: F.max(F.when(F.col("replicate") < 0, F.col(c)))
+    out = each.agg(whole("lag").alias("lag"), whole("bias").alias("bias"), whole("estimable").alias("estimable"), q("lag").alias("ql"), q("bias").alias("qb"), F.count_if(F.col("replicate") >= 0).alias("replicates"))
+    return out.select("lag", "bias", "estimable", *(F.col(c)[i].alias(f"{name}_{side}") for c, name in (("ql", "lag"), ("qb", "bias")) for i, side in enumerate(("lo", "hi"))), "replicates")
+
+
+def bootstrap_vector(df: DataFrame, units: DataFrame, p: str, label: str, edges: list[float], replicates: int, seed: int) -> DataFrame:
+    """metric, estimate and 95% interval of auc, brier and reliability_error of metric_vector(), all from the same draws of
+    whole series. Rows of a series are summed by score and label before they are drawn, once for all three."""
+    packed = df.select("series_id", F.col(p).alias("p"), F.col(label).alias("label")).groupBy("series_id", "p", "label").agg(F.count("*").alias("c"))
+    drawn = packed.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate", "p", "label").agg(F.sum(F.col("c") * F.col("times")).cast("double").alias("w"))
+    ranks = auc(drawn, ["replicate"], label="label", score="p", weight="w").select("replicate", F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    brier = drawn.groupBy("replicate").agg((F.sum(F.col("w") * (F.col("p") - F.col("label")) ** 2) / F.sum("w")).alias("value")).select("replicate", F.lit("brier").alias("metric"), "value")
+    error = reliability_error(reliability(drawn, "p", "label", edges, ["replicate"], F.col("w")), ["replicate"]).select("replicate", F.lit("reliability_error").alias("metric"), F.col("error").alias("value"))
+    spread = _percentiles(ranks.unionByName(brier).unionByName(error).where("value is not null"), "value", ["metric"])
+    names = ("auc", "brier", "reliability_error")
+    estimate = metric_vector(df, p, label, edges).select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate")) for m in names))))
+    return estimate.join(spread, "metric").select("metric", "estimate", "lo", "hi", "replicates")
