@@ -800,3 +800,45 @@ def test_quota_of_first_rows(spark):
     units_ = spark.createDataFrame([(k, 0.0, 9.0, 1.0 if k % 3 else None, 0) for k in range(50)], "series_id long, record_start double, record_end double, t_event double, stratum long").repartition(4)
     got = sorted(r.series_id for r in dataset.take_rows(units_, 7).collect())
     assert got == sorted([k for k in range(50) if k % 3 == 0] + [k for k in range(50) if k % 3][:7])
+
+
+def test_audit_finds_each_planted_fault(spark):
+    nan, inf = float("nan"), float("inf")
+    good = lambda s, event=None: [(s, k, 10.0 * k, nan if event is not None and 10.0 * k > event else 1.0, nan if event is not None and 10.0 * k > event else 0.0) for k in range(5)]
+    rows = {s: good(s) for s in range(8)} | {8: good(8, 20.0), 9: good(9, 20.0), 10: good(10)}
+    rows[1][2] = (1, 2, 5.0, 1.0, 0.0)
+    rows[2][1] = (2, 1, 10.0, inf, 0.0)
+    rows[3][1] = (3, 1, 10.0, None, 0.0)
+    rows[4] = rows[4][:4]
+    rows[5].append((5, 4, 40.0, 1.0, 0.0))
+    rows[9][4] = (9, 4, 40.0, nan, 0.0)
+    units_ = [(s, 0.0, 40.0, {8: 20.0, 9: 20.0, 7: 50.0}.get(s), 0) for s in range(10)] + [(6, 0.0, 40.0, None, 0)]
+    got = sorted((r.rule, r.series_id) for r in dataset.audit_records(spark.createDataFrame([r for s in rows.values() for r in s], "series_id long, i long, t double, x double, dx double").repartition(3), unit(spark, units_)).collect())
+    assert got == sorted([("time", 1), ("grid", 1), ("before", 2), ("before", 3), ("grid", 4), ("unique", 5), ("grid", 5), ("time", 5), ("unique", 6), ("event", 7), ("after", 9), ("unit", 10)])
+    whole = [r for r in good(0) + good(8, 20.0)]
+    clean = dataset.audit_records(spark.createDataFrame(whole, "series_id long, i long, t double, x double, dx double"), unit(spark, [(0, 0.0, 40.0, None, 0), (8, 0.0, 40.0, 20.0, 0)]))
+    assert clean.count() == 0
+
+
+def test_scan_checks_each_row(spark, tmp_path):
+    path = f"file://{tmp_path}/series"
+    spark.createDataFrame([(k, "train" if k % 2 else "test", '{"config_hash": "%s"}' % ("b" if k == 7 else "a")) for k in range(10)], "series_id long, split string, meta string").write.partitionBy("split").parquet(path)
+    keys = lambda **a: sorted(r.series_id for r in dataset.read_series(spark, path, **a).select("series_id", "meta").collect())
+    assert keys() == list(range(10)) and keys(split="train") == [1, 3, 5, 7, 9] and keys(split="train", limit=2) == [1, 3]
+    assert keys(split="train", config_hash="a") == [1, 3, 5, 9] and keys(split="test", config_hash="a", checked=True) == [0, 2, 4, 6, 8]
+    with pytest.raises(Exception, match="another configuration, series_id 7"):
+        keys(split="train", config_hash="a", checked=True)
+
+
+def test_tracking_follows_a_shift(spark):
+    """A rate path that is the hazard two steps later has lag 2, in every draw of alike series."""
+    from tidewatch.operators import counts
+
+    grid = [float(k) for k in range(12)]
+    hazard = [math.exp(-((g - 4.0) ** 2) / 2) / 2.5066282746310002 for g in grid]
+    units_ = [(s, 0.0, 99.0, 4.0 if s % 2 else None, s % 2) for s in range(10)]
+    paths = [(s, g, 3 * (hazard[k - 2] if k >= 2 else 0.0)) for s in range(10) for k, g in enumerate(grid)]
+    got = counts.bootstrap_tracking(spark.createDataFrame(paths, "series_id long, t double, rate double"), unit(spark, units_), grid, 1.0, 4, 100, 3).first()
+    assert (got.lag, got.lag_lo, got.lag_hi, got.replicates, got.estimable) == (2.0, 2.0, 2.0, 100, True)
+    flat = counts.bootstrap_tracking(spark.createDataFrame([(s, g, 1.0) for s in range(10) for g in grid], "series_id long, t double, rate double"), unit(spark, units_), grid, 1.0, 4, 20, 3).first()
+    assert (flat.lag, flat.estimable) == (0.0, False)

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ranks import range_of, ranked
 
 
-def read_series(spark: SparkSession, root: str, split: str | None = None, limit: int | None = None, config_hash: str | None = None, key: str = "series_id") -> DataFrame:
-    """Series of a folder, of one split (a partition column) and configuration; a limit takes the smallest keys."""
+def read_series(spark: SparkSession, root: str, split: str | None = None, limit: int | None = None, config_hash: str | None = None, key: str = "series_id", checked: bool = False) -> DataFrame:
+    """Series of a folder, of one split (a partition column) and configuration; a limit takes the smallest keys.
+
+    Rows of another configuration are passed over, or with `checked` fail the scan at the first, as do rows without one.
+    """
     out = spark.read.parquet(root)
     if split is not None:
         out = out.where(F.col("split") == split)
     if config_hash is not None:
-        out = out.where(F.get_json_object("meta", "$.config_hash") == config_hash)
+        own = F.get_json_object("meta", "$.config_hash")
+        if checked:
+            wrong = F.raise_error(F.concat(F.lit(f"a row of another configuration, {key} "), F.col(key).cast("string"))).cast("string")
+            out = out.withColumn("meta", F.when(own == config_hash, F.col("meta")).otherwise(wrong))
+        else:
+            out = out.where(own == config_hash)
     return out if limit is None else out.orderBy(key).limit(limit)
 
 
@@ -50,6 +58,38 @@ def audit_samples(samples: DataFrame, units: DataFrame) -> DataFrame:
     return stuck.unionByName(wild).unionByName(outside).unionByName(twice).distinct()
 
 
+def audit_records(samples: DataFrame, units: DataFrame) -> DataFrame:
+    """rule, series_id of violations in samples(series_id, i, t, x, dx) and units(series_id, record_start, record_end, t_event):
+
+    time: a time that isn't finite, or doesn't increase with i (samples of one i go by time); before: x or dx that isn't finite at or before the event (anywhere
+    without one); after: x or dx that isn't NaN after the event; event: an event outside the record; unique: a series with several
+    units, or a place i with several samples; unit: samples without a unit; grid: times other than those of the smallest series_id. Times are compared by
+    their number and a digest of places and times, so no series meets another. Nulls count as not finite.
+    """
+    w = Window.partitionBy("series_id").orderBy("i", "t")
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    one = units.groupBy("series_id").agg(F.min("t_event").alias("t_event"), F.count("*").alias("n"), F.max(((F.col("t_event") < F.col("record_start")) | (F.col("t_event") > F.col("record_end"))).cast("int")).alias("outside"))
+    rows = samples.withColumns({"pt": F.lag("t").over(w), "pi": F.lag("i").over(w)}).join(one.select("series_id", "t_event", F.lit(True).alias("known")), "series_id", "left")
+    later = F.coalesce(F.col("t") > F.col("t_event"), F.lit(False))
+    nan = lambda c: F.coalesce(F.isnan(c), F.lit(False))
+    tests = {
+        "time": ~finite("t") | (F.col("t") <= F.col("pt")),
+        "before": ~later & ~(finite("x") & finite("dx")),
+        "after": later & ~(nan("x") & nan("dx")),
+        "unique": F.col("i") == F.col("pi"),
+        "unit": F.col("known").isNull(),
+    }
+    flags = rows.groupBy("series_id").agg(*(F.max(F.coalesce(t, F.lit(False)).cast("int")).alias(rule) for rule, t in tests.items()), F.count("*").alias("n"), F.bit_xor(F.xxhash64("i", "t")).alias("digest"))
+    first = flags.agg(F.min_by(F.struct("n", "digest"), "series_id").alias("g"))
+    flags = flags.crossJoin(F.broadcast(first)).withColumn("grid", (F.struct("n", "digest") != F.col("g")).cast("int"))
+    found = [flags.where(F.col(rule) == 1).select(F.lit(rule).alias("rule"), "series_id") for rule in [*tests, "grid"]]
+    found += [one.where("outside = 1").select(F.lit("event").alias("rule"), "series_id"), one.where("n > 1").select(F.lit("unique").alias("rule"), "series_id")]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def outcome_counts(units: DataFrame, by: list[str]) -> DataFrame:
     """by, n, events and the share of units with an event."""
     return units.groupBy(*by).agg(F.count("*").alias("n"), F.count("t_event").alias("events"), F.avg(F.col("t_event").isNotNull().cast("double")).alias("share"))

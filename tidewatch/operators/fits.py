@@ -64,11 +64,11 @@ def _scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def medoids(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """key, medoid, distance: k rows chosen farthest first (the first is that of smallest key; the smaller key wins
+def medoids(df: DataFrame, key: str, vector: str, k: int, first=None) -> DataFrame:
+    """key, medoid, distance: k rows chosen farthest first (the first is that of smallest key, unless a row with key and v is given; the smaller key wins
     ties) and each row's nearest of them. Each round is one aggregate over the rows and k rows on the driver."""
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    chosen = [rows.orderBy("key").select("key", "v").first()]
+    chosen = [first or rows.orderBy("key").select("key", "v").first()]
 
     def distances(found):
         table = [F.sqrt(F.aggregate(F.zip_with("v", F.array(*(F.lit(float(x)) for x in r.v)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)) for r in found]
@@ -82,6 +82,25 @@ def medoids(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return rows.withColumn("n", distances(chosen)).select(F.col("key").alias(key), F.col("n.m").alias("medoid"), F.col("n.d").alias("distance"))
 
 
+def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with `scaled`, an array of columns less their median, over the median of the absolute differences from it; where
+    that is 0, over the standard deviation (of the population), and where that is 0 too, over 1. Two passes, each one row."""
+    middle = df.agg(*(F.median(c).alias(c) for c in columns)).first()
+    off = {c: F.abs(F.col(c) - F.lit(middle[c])) for c in columns}
+    spread = df.agg(*(F.median(off[c]).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns))).first()
+    unit = [spread[f"m{i}"] or spread[f"s{i}"] or 1.0 for i in range(len(columns))]
+    return df.withColumn("scaled", F.array(*((F.col(c) - F.lit(middle[c])).cast("double") / F.lit(float(u)) for c, u in zip(columns, unit, strict=True))))
+
+
+def cluster_medoids(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
+    """key, medoid, distance: k medoids of robust_scale(), the first farthest from the centre, each next one farthest from those
+    before, the smaller key on ties (to nine places), and each row's nearest."""
+    rows = robust_scale(df.dropna(subset=columns), columns)
+    length = F.round(F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, v: s + v * v)), 9)
+    first = rows.agg(F.min_by(F.struct(F.col(key).alias("key"), F.col("scaled").alias("v")), F.struct(-length, F.col(key))).alias("x")).first()
+    return medoids(rows, key, "scaled", k, None if first is None else first.x)
+
+
 def trial_grid(entries: DataFrame, groups: DataFrame, multipliers: list[float]) -> DataFrame:
     """Trials (entry x group of the same class x multiplier) with label 1 where the scaled height reaches the entry's
     critical height. entries(entry_id, kind, critical), groups(group_id, kind, height)."""

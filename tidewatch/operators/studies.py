@@ -61,6 +61,25 @@ def observe(units: DataFrame, clusters: DataFrame, partition: DataFrame, varianc
     return out.select("series_id", "stratum", exposure.alias("exposure"), n.alias("clusters"), F.when(exposure > 0, n / exposure * 3600).alias("rate"), "variance", outcome.alias("outcome"))
 
 
+def sampling_gap(observations: DataFrame, samples: DataFrame, units: DataFrame, high: float, low: float, middle: float) -> DataFrame:
+    """observations with `gap`: whether an unheralded event can have come between two samples: the last sample before it lies
+    within the level of its side (high from the middle on, else low) and no more than the series' median step before the event."""
+    w = Window.partitionBy("series_id").orderBy("i")
+    events = units.where("t_event is not null").select("series_id", "t_event")
+    steps = samples.withColumn("step", F.col("t") - F.lag("t").over(w)).join(events, "series_id")
+    last = steps.groupBy("series_id").agg(F.median("step").alias("dt"), F.max_by(F.when(F.col("t") < F.col("t_event"), F.struct("t", "x")), F.when(F.col("t") < F.col("t_event"), F.col("i"))).alias("s"), F.first("t_event").alias("t_event"))
+    within = F.when(F.col("s.x") >= middle, F.col("s.x") < high).otherwise(F.col("s.x") > low)
+    near = F.col("t_event") - F.col("s.t") <= F.col("dt") + 1e-12
+    out = observations.join(last.select("series_id", (within & near).alias("_gap")), "series_id", "left")
+    return out.withColumn("gap", (F.col("outcome") == "unheralded") & F.coalesce("_gap", F.lit(False))).drop("_gap")
+
+
+def trailing_rms(samples: DataFrame, window: float) -> DataFrame:
+    """series_id, i and rms: the root of the mean square of x over the last `window` seconds up to each sample, ends included."""
+    w = Window.partitionBy("series_id").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-round(window * 1e6), 0)
+    return samples.select("series_id", "i", F.sqrt(F.avg(F.col("x") * F.col("x")).over(w)).alias("rms"))
+
+
 def partition_summary(observations: DataFrame, by: list[str]) -> DataFrame:
     """by, n and counts of the three outcomes."""
     return observations.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("heralded", "unheralded", "none")))

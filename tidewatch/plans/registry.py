@@ -36,4 +36,4 @@ def query(sql: str | None = None, doubles: str = ""):
     return add
 
 
-from tidewatch.plans import composed_queries, count_queries, dataset_queries, emission_queries, event_queries, rate_queries, score_queries, signal_queries, stream_queries, study_queries, tracking_queries, window_queries  # noqa: E402, F401
+from tidewatch.plans import composed_queries, count_queries, dataset_queries, emission_queries, event_queries, rate_queries, record_queries, score_queries, signal_queries, stream_queries, study_queries, tracking_queries, window_queries  # noqa: E402, F401
