@@ -14,9 +14,14 @@ from tidewatch.operators.resampling import bootstrap_draws
 COMPONENTS = ("joint", "groups", "entries", "responses")
 
 
-@F.pandas_udf("long")
-def _poisson(u: pd.Series, mean: pd.Series) -> pd.Series:
-    return pd.Series(poisson_quantile(u.to_numpy(np.float64), mean.to_numpy(np.float64)).astype(np.int64))
+def _poisson(u, mean):
+    """The Poisson count of a mean at a uniform number, for grouped rows."""
+
+    @F.pandas_udf("long")
+    def run(u: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series(poisson_quantile(u.to_numpy(np.float64), mean.to_numpy(np.float64)).astype(np.int64))
+
+    return run(u, mean)
 
 
 def component_draws(groups: DataFrame, entries: DataFrame, responses: DataFrame, exposure: float, replicates: int, seed: int, count_exposure: float | None = None) -> DataFrame:
