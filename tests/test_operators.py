@@ -842,3 +842,30 @@ def test_tracking_follows_a_shift(spark):
     assert (got.lag, got.lag_lo, got.lag_hi, got.replicates, got.estimable) == (2.0, 2.0, 2.0, 100, True)
     flat = counts.bootstrap_tracking(spark.createDataFrame([(s, g, 1.0) for s in range(10) for g in grid], "series_id long, t double, rate double"), unit(spark, units_), grid, 1.0, 4, 20, 3).first()
     assert (flat.lag, flat.estimable) == (0.0, False)
+
+
+def test_timed_streams_take_rows_out_of_order(spark, tmp_path):
+    """Rows spread over micro-batches, up to a minute late, give the batch operators' rows; what is open closes by timer."""
+    import datetime as dt
+
+    from tidewatch.streaming import sources, timed
+
+    rng, base = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(k % 3, base + dt.timedelta(seconds=10 * (k // 3), microseconds=rng.randrange(1000)), rng.choice([0.0, 1.0, 2.0, 3.0])) for k in range(120)]
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(60)))
+    path, schema = f"file://{tmp_path}/in", "series_id long, ts timestamp, score double"
+    for b in range(4):
+        spark.createDataFrame(late[b * 30 : (b + 1) * 30], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(99, base + dt.timedelta(days=1), 0.0)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    zero = round(base.replace(tzinfo=dt.UTC).timestamp() * 1e6)
+    own = spark.createDataFrame([(s, float(round((ts - base).total_seconds() * 1e6)), v) for s, ts, v in rows], "series_id long, t double, score double")
+    got = sources.run_to_end(timed.timed_episodes(stream, 2.0, 2, 2, "10 minutes", 1000.0)).collect()
+    want = events.episodes(own, 2.0, 2, 2).collect()
+    assert want and sorted(map(tuple, got)) == sorted((r.series_id, int(r.t_start) + zero, int(r.t_end) + zero, r.max_score) for r in want)
+    # a short idle time splits a series where it is silent
+    far = spark.createDataFrame([(1, base + dt.timedelta(seconds=s), 3.0) for s in (0, 10, 500, 510)] + [(2, base + dt.timedelta(days=1), 0.0)], schema).coalesce(1)
+    far.write.parquet(f"file://{tmp_path}/far")
+    stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/far")
+    split = sources.run_to_end(timed.timed_episodes(stream, 2.0, 2, 2, "0 seconds", 100.0)).collect()
+    assert sorted((r.t_start - zero, r.t_end - zero) for r in split) == [(10_000_000, 10_000_000), (510_000_000, 510_000_000)]

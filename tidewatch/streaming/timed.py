@@ -163,7 +163,7 @@ def timed_crossings(stream: DataFrame, high: float, low: float, critical: float,
             if not open_ or severity > best:
                 best_at, side_, best = at, side, severity
             open_, last = True, at
-        elif open_ and t - last > wide:
+        if open_ and t - last > wide:  # crossings to come lie at this row's time or later
             out.append((round(best_at), side_, best))
             open_ = False
         return (True, t, x, dx, open_, last, best_at, side_, best), out
