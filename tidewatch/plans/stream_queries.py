@@ -70,4 +70,4 @@ SELECT r.series_id, round(at_t, 3) AS t, side, severity FROM r JOIN ends e ON e.
 def timed_crossings(spark, sf_dir):
     rows = event_stream(spark, sf_dir).select("series_id", "ts", "x")
     out = run_to_end(crossings_by_time(rows, HIGH, LOW, CRITICAL, DAY, "0 seconds", IDLE))
-    return out.select("series_id", F.round((F.col("at") - EPOCH_MICROS) / 1e6, 3).alias("t"), "side", "severity")
+    return out.select("series_id", F.round((F.col("before") - EPOCH_MICROS) / 1e6 + F.col("after") / 1e6, 3).alias("t"), "side", "severity")

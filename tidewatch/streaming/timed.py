@@ -143,12 +143,12 @@ def timed_episodes(stream: DataFrame, threshold: float, debounce: int, refractor
 
 def timed_crossings(stream: DataFrame, high: float, low: float, critical: float, gap: float, late: str, idle: float) -> DataFrame:
     """Declustered crossings of stream(series_id, ts, x), as crossings() and decluster() have them with difference quotients: series_id,
-    at (microseconds), side, severity of the largest of each chain, once a row comes more than `gap` seconds after its last crossing, or
+    before (microseconds, of the sample before it), after (microseconds from that to the crossing), side, severity of the largest of each chain, once a row comes more than `gap` seconds after its last crossing, or
     the series has been silent for `idle` seconds; a series that goes on after that begins anew."""
     wide = gap * 1e6
 
     def step(s, row):
-        seen, pt, px, pdx, open_, last, best_at, side_, best = s
+        seen, pt, px, pdx, open_, last, before, after, side_, best = s
         t, x = row
         dx = (x - px) / ((t - pt) / 1e6) if seen and t > pt else 0.0
         side, out = 0, []
@@ -158,19 +158,19 @@ def timed_crossings(stream: DataFrame, high: float, low: float, critical: float,
             f = ((high if side == 1 else low) - px) / (x - px)
             at, severity = pt + f * (t - pt), side * (pdx + f * (dx - pdx)) / critical
             if open_ and at - last > wide:
-                out.append((round(best_at), side_, best))
+                out.append((before, after, side_, best))
                 open_ = False
             if not open_ or severity > best:
-                best_at, side_, best = at, side, severity
+                before, after, side_, best = pt, f * (t - pt), side, severity
             open_, last = True, at
         if open_ and t - last > wide:  # crossings to come lie at this row's time or later
-            out.append((round(best_at), side_, best))
+            out.append((before, after, side_, best))
             open_ = False
-        return (True, t, x, dx, open_, last, best_at, side_, best), out
+        return (True, t, x, dx, open_, last, before, after, side_, best), out
 
     def close(s):
-        return None, [(round(s[6]), s[7], s[8])] if s[4] else []
+        return None, [tuple(s[6:])] if s[4] else []
 
-    start = (False, 0, 0.0, 0.0, False, 0.0, 0.0, 0, 0.0)
-    state = "seen boolean, pt long, px double, pdx double, open boolean, last_t double, best_at double, side int, best double"
-    return _timed(stream, ["x"], (step, close, start, "at long, x double", state), "series_id long, at long, side int, severity double", late, idle)
+    start = (False, 0, 0.0, 0.0, False, 0.0, 0, 0.0, 0, 0.0)
+    state = "seen boolean, pt long, px double, pdx double, open boolean, last_t double, before long, after double, side int, best double"
+    return _timed(stream, ["x"], (step, close, start, "at long, x double", state), "series_id long, before long, after double, side int, severity double", late, idle)
