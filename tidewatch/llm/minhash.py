@@ -2,8 +2,9 @@
 
 Each text's shingle set is reduced to a MinHash signature; every (coordinate, value) of it is a posting. Pairs whose
 sets are alike share at least `matches` of the coordinates, so, with postings ordered from rare to frequent, they
-meet in a prefix: a text with m postings that any other text shares needs only its m - matches + 1 rarest. In the
-lists of the prefix collisions are counted by pair; the longer lists are skipped and settled from the two signatures.
+meet in a prefix: a text with m postings that any other text shares needs only its m - matches + 1 rarest. The
+lists of the prefix nominate pairs, each once however often it meets there; the longer lists are skipped, and the
+collisions of a nominated pair are counted on the two signatures.
 Merging skips what lies near a common text: a list's leader is compared with all of the list, and what matches it
 falls into its cluster; then only pairs across clusters are counted. Links are confirmed on the full sets. Inside a
 cluster, where a third of all texts may match each other and yet be no links, full sets are compared by what tells
@@ -118,16 +119,15 @@ def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, with the collisions that met in prefix lists."""
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
+def _nominated(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that met in a prefix list, once each."""
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(met: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
-    """Of pairs that met, those above the match threshold: collisions are counted over the prefix lists, then, for
-    the lists that were skipped, on both signatures."""
+    """Of pairs that met, those above the match threshold, by the collisions of both signatures."""
     sig = reps.select("id", "sig")
-    both = _counted(met).join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    both = _nominated(met).join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     count = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     return both.where(count >= matches).select("a", "b").distinct()
 
