@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidewatch.operators import conformal, dataset, events, metrics, rates, resampling, scores, windows
@@ -869,3 +870,56 @@ def test_timed_streams_take_rows_out_of_order(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/far")
     split = sources.run_to_end(timed.timed_episodes(stream, 2.0, 2, 2, "0 seconds", 100.0)).collect()
     assert sorted((r.t_start - zero, r.t_end - zero) for r in split) == [(10_000_000, 10_000_000), (510_000_000, 510_000_000)]
+
+
+def test_md5_heads_match_hashlib():
+    import hashlib
+
+    from tidewatch.functions.digest import md5_heads
+
+    for prefix, start, stop in ((b"17|0|5|", 0, 1234), (b"", 8, 12), (b"x" * 49, 0, 12), (b"x" * 60, 95, 105), (b"a", 3, 3)):
+        assert md5_heads(prefix, start, stop).tolist() == [int(hashlib.md5(prefix + b"%d" % k).hexdigest()[:8], 16) for k in range(start, stop)]
+
+
+def _many_series(spark, n=9000):
+    units = spark.range(n).selectExpr("id AS series_id", "id % 2 AS stratum")
+    rows = spark.range(2 * n).selectExpr(f"id % {n} AS series_id", "CAST(id * 7 % 5 AS DOUBLE) AS score", "CAST(id * 13 % 3 = 0 AS INT) AS label")
+    return units, rows
+
+
+def test_draws_leave_blocks_as_one_row_for_each_key(spark):
+    # 4,500 series a stratum are two blocks each; rows don't grow with replicates
+    units, rows = _many_series(spark)
+    packed = rows.groupBy("series_id", "score").agg(F.count("*").alias("c"))
+    got = resampling.drawn_vectors(packed, units, ["score"], ["c"], 20, 3).collect()
+    assert len(got) == 4 * 5
+    times = {(r.replicate, r.series_id): r.times for r in resampling.bootstrap_draws(units, 20, 3).collect()}
+    want = np.zeros((5, 20))
+    for r in packed.collect():
+        want[int(r.score)] += [r.c * times.get((k, r.series_id), 0) for k in range(20)]
+    sums = np.zeros((5, 20))
+    for r in got:
+        sums[int(r.score)] += resampling.unpack(r.c, 20)
+    assert (sums == want).all()
+
+
+def test_drawn_ranks_against_brute_force(spark):
+    units, rows = _many_series(spark)
+    draws = pd.DataFrame([r.asDict() for r in resampling.bootstrap_draws(units, 5, 3).collect()])
+    all_rows = pd.DataFrame([r.asDict() for r in rows.collect()]).merge(draws, on="series_id")
+    for r in resampling.drawn_ranks(rows, units, 5, 3, [-1.0, 1.0, 3.0, 9.0]).collect():
+        own = all_rows[all_rows.replicate == r.replicate]
+        pos, neg = (own[own.label == y].groupby("score").times.sum() for y in (1, 0))
+        assert r.u == sum(p * n * (1.0 if a > b else 0.5 if a == b else 0.0) for a, p in pos.items() for b, n in neg.items())
+        assert (r.p, r.n) == (pos.sum(), neg.sum())
+        bins = own.groupby(np.searchsorted([1.0, 3.0], own.score, "right"))
+        assert [b.n for b in r.bins] == bins.times.sum().tolist()
+        assert [b.sq for b in r.bins] == bins.apply(lambda g: ((g.score - g.label) ** 2 * g.times).sum()).tolist()
+
+
+def test_sums_of_draws_leave_out_what_is_not_drawn(spark):
+    units = spark.createDataFrame([(k, 0) for k in range(4)], "series_id long, stratum int")
+    rows = spark.createDataFrame([(0, "a", 1.0), (1, "b", float("inf")), (9, "c", 1.0)], "series_id long, g string, v double")
+    times = {(r.replicate, r.series_id): r.times for r in resampling.bootstrap_draws(units, 30, 5).collect()}
+    got = {(r.g, r.replicate): r.v for r in resampling.drawn_sums(rows, units, ["g"], ["v"], 30, 5).collect()}
+    assert got == {(g, k): v * times[k, s] for k in range(30) for s, g, v in ((0, "a", 1.0), (1, "b", float("inf"))) if (k, s) in times}
