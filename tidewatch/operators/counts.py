@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.special import negative_binomial_quantile
 from tidewatch.operators.metrics import auc
-from tidewatch.operators.resampling import bootstrap_draws, poisson_bounds, proportion_bounds
+from tidewatch.operators.resampling import bootstrap_draws, drawn_ranks, poisson_bounds, proportion_bounds
 
 
 def alarm_intervals(contribution: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -224,13 +224,17 @@ def bootstrap_tracking(paths: DataFrame, units: DataFrame, grid: list[float], ba
 
 def bootstrap_vector(df: DataFrame, units: DataFrame, p: str, label: str, edges: list[float], replicates: int, seed: int) -> DataFrame:
     """metric, estimate and 95% interval of auc, brier and reliability_error of metric_vector(), all from the same draws of
-    whole series. Rows of a series are summed by score and label before they are drawn, once for all three."""
-    packed = df.select("series_id", F.col(p).alias("p"), F.col(label).alias("label")).groupBy("series_id", "p", "label").agg(F.count("*").alias("c"))
-    drawn = packed.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate", "p", "label").agg(F.sum(F.col("c") * F.col("times")).cast("double").alias("w"))
-    ranks = auc(drawn, ["replicate"], label="label", score="p", weight="w").select("replicate", F.lit("auc").alias("metric"), F.col("auc").alias("value"))
-    brier = drawn.groupBy("replicate").agg((F.sum(F.col("w") * (F.col("p") - F.col("label")) ** 2) / F.sum("w")).alias("value")).select("replicate", F.lit("brier").alias("metric"), "value")
-    error = reliability_error(reliability(drawn, "p", "label", edges, ["replicate"], F.col("w")), ["replicate"]).select("replicate", F.lit("reliability_error").alias("metric"), F.col("error").alias("value"))
-    spread = _percentiles(ranks.unionByName(brier).unionByName(error).where("value is not null"), "value", ["metric"])
+    whole series, drawn once for all three by drawn_ranks()."""
+    drawn = drawn_ranks(df.select("series_id", F.col(p).alias("score"), F.col(label).alias("label")), units, replicates, seed, edges)
+    over = lambda value: F.aggregate("bins", F.lit(0.0), lambda s, b: s + value(b))
+    n = over(lambda b: b["n"])
+    one = {
+        "auc": F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))),
+        "brier": over(lambda b: b["sq"]) / F.nullif(n, F.lit(0.0)),
+        "reliability_error": over(lambda b: F.abs(b["sp"] - b["sy"])) / F.nullif(n, F.lit(0.0)),
+    }
+    each = drawn.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in one.items()))))
+    spread = _percentiles(each.where("value is not null"), "value", ["metric"])
     names = ("auc", "brier", "reliability_error")
     estimate = metric_vector(df, p, label, edges).select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate")) for m in names))))
     return estimate.join(spread, "metric").select("metric", "estimate", "lo", "hi", "replicates")
