@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.special import poisson_quantile
-from tidewatch.operators.ranks import range_of, ranked, running
-from tidewatch.operators.resampling import bootstrap_draws
+from tidewatch.operators.ranks import range_of, running
+from tidewatch.operators.resampling import drawn_sums, drawn_vectors, unpack
 
 COMPONENTS = ("joint", "groups", "entries", "responses")
 
@@ -33,37 +33,56 @@ def component_draws(groups: DataFrame, entries: DataFrame, responses: DataFrame,
     stratum, each from slots of its own (seed, seed + 1, seed + 2), all three or one at a time; count is a Poisson draw of the joint
     rate over count_exposure (default: exposure).
 
-    Every group's height becomes a position in the ECDF once, by running counts over distinct heights. A replicate then re-reads the ECDF at these
-    positions, from running sums of how often responses were drawn, and weighs positions by how often sources were; no group
-    meets a response. Rows are replicates x distinct positions, and split by replicate, kind and stratum.
+    Each kind and stratum numbers the heights that its groups ask for, and every response counts from the first of them at or above its own. Draws are
+    summed by that number for all replicates at once (drawn_vectors()), of sources and of responses, and a range of numbers meets its
+    sums as two matrices of numbers and replicates; what lies below a range is added from the totals of the ranges before it.
+    No group meets a response, and rows are ranges x replicates, not heights x replicates.
     """
     strata = responses.select("kind", "stratum").distinct()
-    heights = responses.groupBy("kind", "stratum", "height").agg(F.count("*").alias("c")).unionByName(groups.select("kind", "height").distinct().join(strata, "kind").select("kind", "stratum", "height", F.lit(0).cast("long").alias("c")))
-    heights = heights.groupBy("kind", "stratum", "height").agg(F.sum("c").alias("c"))
-    upto = running(heights, ["kind", "stratum"], "height", "c", range_of(heights, "height"), "below", "n").select("kind", "stratum", "height", (F.col("below") + F.col("c")).alias("b"), "n")
-    weights = groups.groupBy("source", "kind", "height").agg(F.count("*").alias("w")).join(upto, ["kind", "height"]).groupBy("source", "kind", "stratum", "b", "n").agg(F.sum("w").alias("w"))
-    fixed = weights.groupBy("kind", "stratum", "b", "n").agg(F.sum("w").alias("w0"))
+    none = lambda name: F.lit(0).cast("long").alias(name)
+    heights = responses.groupBy("kind", "stratum", "height").agg(F.count("*").alias("c")).select("*", none("a")).unionByName(groups.select("kind", "height").distinct().join(strata, "kind").select("kind", "stratum", "height", none("c"), F.lit(1).cast("long").alias("a")))
+    heights = heights.groupBy("kind", "stratum", "height").agg(F.sum("c").alias("c"), F.max("a").alias("a"))
+    part = range_of(heights, "height")
+    upto = running(running(heights, ["kind", "stratum"], "height", "c", part, "below", "n"), ["kind", "stratum"], "height", "a", part, "at", "asked").withColumn("f0", (F.col("below") + F.col("c")) / F.col("n"))
+    weights = groups.groupBy("source", "kind", "height").agg(F.count("*").alias("w")).join(upto.where("a = 1").select("kind", "stratum", "height", "at", "f0", "n"), ["kind", "height"])
+    fixed = weights.groupBy("kind", "stratum", "at", "f0", "n").agg(F.sum("w").alias("w0"))
 
     one = lambda df, key: df.select(F.col(key).alias("series_id"), F.lit(0).alias("stratum"))
-    sources = bootstrap_draws(one(groups.select("source").distinct(), "source"), replicates, seed).withColumnRenamed("series_id", "source")
-    drawn_w = weights.join(sources, "source").groupBy("replicate", "kind", "stratum", "b").agg(F.sum(F.col("w") * F.col("times")).alias("wr"))
+    keys = ["kind", "stratum", "at"]
+    drawn_w = drawn_vectors(weights.select(F.col("source").alias("series_id"), *keys, "w"), one(groups.select("source").distinct(), "source"), keys, ["w"], replicates, seed)
 
     entry0 = entries.groupBy("stratum").agg(F.count("*").alias("m"))
     total = entries.agg(F.count("*").alias("all"))
-    entry_r = bootstrap_draws(one(entries, "entry_id"), replicates, seed + 1).withColumnRenamed("series_id", "entry_id").join(entries.select("entry_id", "stratum"), "entry_id").groupBy("replicate", "stratum").agg(F.sum("times").alias("mr"))
+    entry_r = drawn_sums(entries.select(F.col("entry_id").alias("series_id"), "stratum", F.lit(1).alias("mr")), one(entries, "entry_id"), ["stratum"], ["mr"], replicates, seed + 1)
 
-    places = ranked(responses, ["kind", "stratum"], ["height", "response_id"], range_of(responses, "height"), "k").select("response_id", "kind", "stratum", "k")
     units = responses.select(F.col("response_id").alias("series_id"), F.concat_ws("|", F.col("kind").cast("string"), F.col("stratum").cast("string")).alias("stratum"))
-    seen = bootstrap_draws(units, replicates, seed + 2).withColumnRenamed("series_id", "response_id").join(places, "response_id").select("replicate", "kind", "stratum", F.col("k").alias("at"), F.lit(0).alias("asks"), "times")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    asks = fixed.select(numbers, "kind", "stratum", F.col("b").alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("times"))
-    so_far = Window.partitionBy("replicate", "kind", "stratum").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    read = seen.unionByName(asks).withColumn("cum", F.sum("times").over(so_far)).where("asks = 1").select("replicate", "kind", "stratum", F.col("at").alias("b"), "cum")
-
-    rows = read.join(fixed, ["kind", "stratum", "b"]).join(drawn_w, ["replicate", "kind", "stratum", "b"], "left")
-    rows = rows.withColumns({"wr": F.coalesce("wr", F.lit(0)), "f0": F.col("b") / F.col("n"), "fr": F.col("cum") / F.col("n")})
-    sums = rows.groupBy("replicate", "stratum").agg(*(F.sum(F.col(w) * F.col(f)).alias(name) for name, w, f in (("t00", "w0", "f0"), ("t10", "wr", "f0"), ("t01", "w0", "fr"), ("t11", "wr", "fr"))))
-    parts = sums.join(entry0, "stratum", "left").join(entry_r, ["replicate", "stratum"], "left").crossJoin(F.broadcast(total)).withColumns({"e0": F.coalesce("m", F.lit(0)) / F.col("all"), "er": F.coalesce("mr", F.lit(0)) / F.col("all")})
+    placed = responses.join(upto.where("at < asked").select("kind", "stratum", "height", "at"), ["kind", "stratum", "height"]).select(F.col("response_id").alias("series_id"), *keys, F.lit(1).alias("w"))
+    drawn_r = drawn_vectors(placed, units, keys, ["w"], replicates, seed + 2)
+
+    plain = lambda c: F.lit(None).cast("double").alias(c)
+    own = fixed.select(*keys, F.lit("f").alias("what"), F.col("w0").cast("double").alias("w0"), "f0", F.lit(None).cast("binary").alias("w"))
+    for what, drawn in (("w", drawn_w), ("r", drawn_r)):
+        own = own.unionByName(drawn.select(*keys, F.lit(what).alias("what"), plain("w0"), plain("f0"), "w"))
+    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString() if c == 'kind' else responses.schema[c].dataType.simpleString()}" for c in ("kind", "stratum"))
+
+    def met(own: pd.DataFrame) -> pd.DataFrame:
+        at, row = np.unique(own["at"].to_numpy(), return_inverse=True)
+        what = own["what"].to_numpy()
+        w0, f0, sums = np.zeros(len(at)), np.zeros(len(at)), {"w": np.zeros((len(at), replicates)), "r": np.zeros((len(at), replicates))}
+        known = what == "f"
+        w0[row[known]], f0[row[known]] = own["w0"].to_numpy()[known], own["f0"].to_numpy()[known]
+        for i, name, data in zip(row[~known], what[~known], own["w"][~known]):
+            sums[name][i] += unpack(data, replicates)
+        wr, cum = sums["w"], np.cumsum(sums["r"], axis=0)
+        return pd.DataFrame({"kind": own["kind"].iloc[0], "stratum": own["stratum"].iloc[0], "part": own["part"].iloc[0], "replicate": np.arange(replicates, dtype=np.int32), "t00": w0 @ f0, "t10": f0 @ wr, "t01": w0 @ cum, "t11": (wr * cum).sum(0), "s0": w0.sum(), "sr": wr.sum(0), "d": cum[-1]})
+
+    split = ["kind", "stratum", "part"]
+    found = own.withColumn("part", F.floor(F.col("at") / 256).cast("long")).groupBy(*split).applyInPandas(met, f"{kinds}, part long, replicate int, t00 double, t10 double, t01 double, t11 double, s0 double, sr double, d double")
+    before = F.coalesce(F.sum("d").over(Window.partitionBy("kind", "stratum", "replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sizes = fixed.groupBy("kind", "stratum").agg(F.first("n").alias("n"))
+    rows = found.withColumn("before", before).join(sizes, ["kind", "stratum"])
+    sums = rows.groupBy("replicate", "stratum").agg(F.sum("t00").alias("t00"), F.sum("t10").alias("t10"), F.sum((F.col("t01") + F.col("before") * F.col("s0")) / F.col("n")).alias("t01"), F.sum((F.col("t11") + F.col("before") * F.col("sr")) / F.col("n")).alias("t11"))
+    parts = sums.join(entry0, "stratum", "left").join(entry_r, ["replicate", "stratum"], "left").crossJoin(F.broadcast(total)).withColumns({"e0": F.coalesce("m", F.lit(0)) / F.col("all"), "er": F.coalesce("mr", F.lit(0.0)) / F.col("all")})
     rate = lambda e, t: F.sum(F.col(e) * F.col(t)) / exposure
     out = parts.groupBy("replicate").agg(rate("e0", "t00").alias("point"), rate("er", "t11").alias("joint"), rate("e0", "t10").alias("groups"), rate("er", "t00").alias("entries"), rate("e0", "t01").alias("responses"))
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed + 3)), F.col("replicate").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
