@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.special import negative_binomial_quantile
 from tidewatch.operators.metrics import auc
-from tidewatch.operators.resampling import bootstrap_draws, drawn_ranks, poisson_bounds, proportion_bounds
+from tidewatch.operators.resampling import bootstrap_draws, drawn_ranks, drawn_sums, poisson_bounds, proportion_bounds
 
 
 def alarm_intervals(contribution: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def reliability_error(table: DataFrame, by: list[str] | None = None) -> DataFram
 def bootstrap_reliability(df: DataFrame, units: DataFrame, p: str, label: str, edges: list[float], replicates: int, seed: int) -> DataFrame:
     """estimate and 95% interval of reliability_error(); rows of a series are summed by bin before they are drawn."""
     whole = reliability(df, p, label, edges, ["series_id"]).select("series_id", "bin", "n", (F.col("predicted") * F.col("n")).alias("sp"), (F.col("observed") * F.col("n")).alias("sy"))
-    drawn = whole.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate", "bin").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "sp", "sy")))
+    drawn = drawn_sums(whole, units, ["bin"], ["n", "sp", "sy"], replicates, seed)
     errors = reliability_error(drawn.withColumn("error", F.abs(F.col("sp") - F.col("sy")) / F.col("n")), ["replicate"])
     return reliability_error(reliability(df, p, label, edges)).withColumnRenamed("error", "estimate").crossJoin(_percentiles(errors, "error"))
 
