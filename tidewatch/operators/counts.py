@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.special import negative_binomial_quantile
 from tidewatch.operators.metrics import auc
-from tidewatch.operators.resampling import bootstrap_draws, drawn_ranks, drawn_sums, poisson_bounds, proportion_bounds
+from tidewatch.operators.resampling import drawn_ranks, drawn_sums, poisson_bounds, proportion_bounds
 
 
 def alarm_intervals(contribution: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def bootstrap_total(values: DataFrame, units: DataFrame, value: str, by: str, re
     """by, estimate and 95% interval of the sum of values(series_id, value) over each group of units, whole series
     drawn within strata."""
     own = units.select("series_id", F.col(by).alias("by")).join(values.select("series_id", F.col(value).alias("v")), "series_id")
-    sums = own.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("by", "replicate").agg(F.sum(F.col("v") * F.col("times")).alias("s"))
+    sums = drawn_sums(own.where("v is not null"), units, ["by"], ["v"], replicates, seed).withColumnRenamed("v", "s")
     out = own.groupBy("by").agg(F.sum("v").alias("estimate")).join(_percentiles(sums, "s", ["by"]), "by")
     return out.withColumnRenamed("by", by)
 
@@ -136,7 +136,8 @@ def response_curve(outcomes: DataFrame, units: DataFrame, level: str, hit: str,
     own = outcomes.select("series_id", F.col(level).alias("level"), F.col(hit).cast("double").alias("y"))
     table = own.groupBy("level").agg(F.count("*").alias("n"), F.avg("y").alias("share"))
     fit = monotone(table.withColumn("all", F.lit(0)), ["all"], "level", "share", "n").select("level", "fit")
-    drawn = own.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate", "level").agg(F.sum("times").alias("n"), (F.sum(F.col("y") * F.col("times")) / F.sum("times")).alias("share"))
+    packed = own.groupBy("series_id", "level").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    drawn = drawn_sums(packed, units, ["level"], ["n", "y"], replicates, seed).select("replicate", "level", "n", (F.col("y") / F.col("n")).alias("share"))
     spread = _percentiles(monotone(drawn, ["replicate"], "level", "share", "n"), "fit", ["level"]).drop("replicates")
     return table.join(fit, "level").join(spread, "level").withColumnRenamed("level", level)
 
@@ -195,9 +196,10 @@ def bootstrap_tracking(paths: DataFrame, units: DataFrame, grid: list[float], ba
     density = lambda g: F.coalesce(F.exp(-((g - F.col("t_event")) ** 2) / (2 * bandwidth**2)) / (bandwidth * 2.5066282746310002), F.lit(0.0)) * scale
     risk = lambda g: ((F.col("record_end") >= g) & (F.coalesce("t_event", F.lit(float("inf"))) >= g)).cast("double")
     own = joined.select("series_id", F.transform(times, lambda g: F.coalesce(F.try_element_at("at", g), F.lit(0.0))).alias("r"), F.transform(times, lambda g: F.try_element_at("at", g).isNotNull().cast("double")).alias("rn"), F.transform(times, density).alias("d"), F.transform(times, risk).alias("dn"))
-    sums = lambda weight: [F.sum(F.get(c, F.lit(k)) * weight).alias(f"{c}{k}") for c in ("r", "rn", "d", "dn") for k in range(n)]
-    every = own.groupBy().agg(*sums(F.lit(1))).select(F.lit(-1).alias("replicate"), "*")
-    drawn = own.join(bootstrap_draws(units, replicates, seed), "series_id").groupBy("replicate").agg(*sums(F.col("times"))).unionByName(every)
+    every = own.groupBy().agg(*(F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("r", "rn", "d", "dn") for k in range(n))).select(F.lit(-1).alias("replicate"), "*")
+    names = [f"{c}{k}" for c in ("r", "rn", "d", "dn") for k in range(n)]
+    flat = own.select("series_id", *(F.get(c, F.lit(k)).alias(f"{c}{k}") for c in ("r", "rn", "d", "dn") for k in range(n)))
+    drawn = drawn_sums(flat, units, [], names, replicates, seed).unionByName(every)
     mean = lambda top, bottom: F.array(*(F.when(F.col(f"{bottom}{k}") > 0, F.col(f"{top}{k}") / F.col(f"{bottom}{k}")).otherwise(0.0) for k in range(n)))
     both = drawn.select("replicate", mean("r", "rn").alias("rate"), mean("d", "dn").alias("hazard"))
 
