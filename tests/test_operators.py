@@ -890,7 +890,7 @@ def _many_series(spark, n=9000):
 def test_draws_leave_blocks_as_one_row_for_each_key(spark):
     # 4,500 series a stratum are two blocks each; rows don't grow with replicates
     units, rows = _many_series(spark)
-    packed = rows.groupBy("series_id", "score").agg(F.count("*").alias("c"))
+    packed = rows.groupBy("series_id", "score").count().withColumnRenamed("count", "c")
     got = resampling.drawn_vectors(packed, units, ["score"], ["c"], 20, 3).collect()
     assert len(got) == 4 * 5
     times = {(r.replicate, r.series_id): r.times for r in resampling.bootstrap_draws(units, 20, 3).collect()}
@@ -923,3 +923,37 @@ def test_sums_of_draws_leave_out_what_is_not_drawn(spark):
     times = {(r.replicate, r.series_id): r.times for r in resampling.bootstrap_draws(units, 30, 5).collect()}
     got = {(r.g, r.replicate): r.v for r in resampling.drawn_sums(rows, units, ["g"], ["v"], 30, 5).collect()}
     assert got == {(g, k): v * times[k, s] for k in range(30) for s, g, v in ((0, "a", 1.0), (1, "b", float("inf"))) if (k, s) in times}
+
+
+def test_equal_variances_tie(spark):
+    # a window of one period and the next holds the same six values seven times, in other orders
+    rows = spark.createDataFrame([([0.1, 0.7, 27.54, 0.9, 0.2, 143.28] * 2,)], "w array<double>")
+    assert scores.ews_score(rows, "variance", 0.5, 12, 12).first().ews == 0.0
+
+
+def test_crowded_intervals_are_dealt_to_many_tasks(spark):
+    # 3,000 intervals of one place are no task of 9 million pairs
+    one = spark.range(3000).selectExpr("id AS name", "id % 10 AS lo", "id % 10 + 100 AS hi")
+    met = events.interval_conflicts(one, one)
+    assert met.count() == 9_000_000
+    sizes = met.groupBy(F_spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 9_000_000
+
+
+def F_spark_partition_id():
+    from pyspark.sql import functions as F
+
+    return F.spark_partition_id()
+
+
+def test_ungated_emissions_draw_nothing_unasked(monkeypatch):
+    from tidewatch.functions import emission
+
+    monkeypatch.setattr(emission, "draw_rates", lambda *a: pytest.fail("drawn"))
+    config = emission.Config(cadence=10.0, shape=2.0, rate=1.0, gated=False, threshold=0.5, exceedance=0.3, draws=0)
+    at = np.arange(0, 100.0)
+    found = emission.emit(1, at, at, (np.array([20.0, 40.0]), np.array([0.6, 0.9]), np.array([1, -1])), config)
+    assert len(found) and found[-1]["lo"] < found[-1]["rate"] < found[-1]["hi"]
+    before = emission.garwood.cache_info().misses
+    emission.emit(2, at, at, (np.array([20.0, 40.0]), np.array([0.6, 0.9]), np.array([1, -1])), config)
+    assert emission.garwood.cache_info().misses == before

@@ -38,7 +38,12 @@ def ews_score(rows: DataFrame, stat: str = "variance", part: float = 0.5, ends:
 
     marked = rows.withColumn("_v", F.array(*(one(s) for s in stops)))
     pairs = [(i, j) for i in range(len(stops)) for j in range(i + 1, len(stops))]
-    signs = F.array(*(F.signum(F.col("_v")[j] - F.col("_v")[i]) for i, j in pairs))
+
+    def sign(a: Column, b: Column) -> Column:
+        """Of b - a; values that differ by the rounding of their sums only are equal."""
+        return F.when(F.abs(b - a) <= 1e-10 * (F.abs(a) + F.abs(b)), 0.0).otherwise(F.signum(b - a))
+
+    signs = F.array(*(sign(F.col("_v")[i], F.col("_v")[j]) for i, j in pairs))
     marked = marked.withColumn("_s", signs)
     total = float(len(pairs))
     untied = _sum(F.transform("_s", F.abs))
