@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -91,6 +92,12 @@ def draw_rates(tail: Tail, exposure: float, config: Config, key: list[int]) -> n
     return beyond * chance * (3600 / exposure)
 
 
+@lru_cache(maxsize=1 << 16)
+def garwood(n: int) -> tuple[float, float]:
+    """The exact 95% interval of a Poisson mean at a count. Few counts occur, in many emissions."""
+    return (0.0 if n == 0 else float(gamma_quantile(0.025, np.array([float(n)]))[0])), float(gamma_quantile(0.975, np.array([n + 1.0]))[0])
+
+
 def emit(series: int, t: np.ndarray, x: np.ndarray, crossings: tuple[np.ndarray, np.ndarray, np.ndarray], config: Config) -> list[dict]:
     """The emissions of one record (its finite part): see emission_paths() for what each holds."""
     if len(t) < 3:
@@ -128,13 +135,13 @@ def emit(series: int, t: np.ndarray, x: np.ndarray, crossings: tuple[np.ndarray,
         exposure = max(now - start, dt)
         flags = ["full_history"] * (trailing and start == begin) + ["prior_dominated"] * (tail.over < 3) + ["threshold_clipped"] * tail.clipped
         if held is None or now - held[0] >= config.refresh - 1e-9:
-            drawn = draw_rates(tail, exposure, config, [config.seed, zlib.crc32(f"{series}|{now:.6f}".encode())])
+            # those without a gate take no bound from their draws, and draw none if none are asked for
+            drawn = draw_rates(tail, exposure, config, [config.seed, zlib.crc32(f"{series}|{now:.6f}".encode())]) if config.draws else np.zeros(0)
             if config.gated:
                 lo, hi = np.quantile(drawn, [0.025, 0.975])
             else:
-                n = np.array([max(tail.n, 1e-3), tail.n + 1.0])
                 scale = tail.critical * 3600 / exposure
-                lo, hi = (0.0 if tail.n == 0 else gamma_quantile(0.025, n[:1])[0] * scale), gamma_quantile(0.975, n[1:])[0] * scale
+                lo, hi = (v * scale for v in garwood(tail.n))
             held = now, float(lo), float(hi), drawn.tolist()
         up = int((side[kept] > 0).sum())
         out.append({"t": now, "rate": tail.n / exposure * tail.critical * 3600, "lo": held[1], "hi": held[2], "exposure": exposure, "gap": float(gap), "n": tail.n, "exceedances": tail.over, "positive": up, "negative": tail.n - up, "threshold": tail.threshold, "p_critical": tail.critical, "flags": flags, "drawn_at": held[0], "draws": held[3]})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ def emission_paths(samples: DataFrame, crossings: DataFrame, config: Config, dra
     whole = whole.select("series_id", F.slice("t", F.lit(1), n).alias("t"), F.slice("x", F.lit(1), n).alias("x"))
     packed = crossings.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "i_detect", "severity", "side"))).alias("c")).select("series_id", F.col("c.t").alias("ct"), F.col("c.severity").alias("cs"), F.col("c.side").alias("cd"))
     rows = whole.join(packed, "series_id", "left")
+    if not draws and not config.gated:
+        config = replace(config, draws=0)
     names = [f.split(" ")[0] for f in _FIELDS.split(", ")] + ["draws"] * draws
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
