@@ -104,6 +104,10 @@ def merge_episodes(found: DataFrame, gap: float, keys: list[str] | None = None)
 TOP_LEVEL = 64
 
 
+#: Rows of one side that meet as many of the other in a task, where intervals crowd.
+CELL = 1024
+
+
 def tiled_pairs(a: DataFrame, b: DataFrame, lo: str, hi: str, keys: list[str], touching: bool = True) -> DataFrame:
     """Rows of a and b, as structs a and b, whose intervals [lo, hi] overlap (touching: ends included) under equal keys.
 
@@ -133,7 +137,22 @@ def tiled_pairs(a: DataFrame, b: DataFrame, lo: str, hi: str, keys: list[str], t
         return on.select(F.col("row").alias(name), *(F.col(f"_{c}").alias(f"{name}_{c}") for c in keys), F.col("_lo").alias(f"{name}lo"), F.col("own").alias(f"{name}own"), F.col("at").alias(f"{name}at"), F.col("tile").alias(f"{name}tile"))
 
     x, y = placed(left, levels[1], "a"), placed(right, levels[0], "b")
-    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in keys] + [F.col("aat") == F.col("bat"), F.col("atile") == F.col("btile")]
+    # a tile of many rows is a grid of cells, each of about CELL rows of both sides
+    own = lambda name: [F.col(f"{name}_{c}").alias(f"_{c}") for c in keys] + [F.col(f"{name}at").alias("at"), F.col(f"{name}tile").alias("tile")]
+    on = [*(f"_{c}" for c in keys), "at", "tile"]
+    sizes = [side.groupBy(*own(name)).agg(F.ceil(F.count("*") / CELL).cast("int").alias(f"n{name}")) for side, name in ((x, "a"), (y, "b"))]
+    grid = sizes[0].join(sizes[1], on)
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
+
+    def dealt(side: DataFrame, name: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))
+        one = F.pmod(F.xxhash64(name), F.col(f"n{name}")).cast("int")
+        out = side.select("*", *own(name)).join(grid, on).withColumn("ca" if name == "a" else "cb", one).withColumn("cb" if name == "a" else "ca", every)
+        cells = [f"{name}{c}" for c in ("at", "tile", "ca", "cb")]
+        return out.withColumnRenamed("ca", f"{name}ca").withColumnRenamed("cb", f"{name}cb").drop(*on, "na", "nb").repartition(tasks, *(f"{name}_{c}" for c in keys), *cells)
+
+    x, y = dealt(x, "a", "b"), dealt(y, "b", "a")
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in keys] + [F.col(f"a{c}") == F.col(f"b{c}") for c in ("at", "tile", "ca", "cb")]
     met = x.join(y, same).where(F.col("aat") == F.greatest("aown", "bown"))
     ends = [F.col(f"{side}.{c}") for side, c in (("a", lo), ("b", hi), ("b", lo), ("a", hi))]
     over = (ends[0] <= ends[1]) & (ends[2] <= ends[3]) if touching else (ends[0] < ends[1]) & (ends[2] < ends[3])
