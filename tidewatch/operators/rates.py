@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -196,10 +198,15 @@ def tracking_lag(paths: DataFrame, most: int) -> DataFrame:
 def rate_draws(emissions: DataFrame, draws: int, seed: int) -> DataFrame:
     """emissions(series_id, t, n, exposure) with `draws`, Poisson counts over the exposure (array, per second), and their
     95% interval lo, hi. Each row's generator is seeded by its series and time, so draws don't depend on partitions."""
+    make = lambda s, at, k, e: np.random.default_rng([seed, zlib.crc32(f"{s}|{at:.6f}".encode())]).poisson(k, draws) / max(e, 1e-9)
+
     @F.pandas_udf("array<double>")
-    def run(series: pd.Series, t: pd.Series, n: pd.Series, exposure: pd.Series) -> pd.Series:
-        make = lambda s, at, k, e: np.random.default_rng([seed, zlib.crc32(f"{s}|{at:.6f}".encode())]).poisson(k, draws) / max(e, 1e-9)
-        return pd.Series([make(*r) for r in zip(series, t, n, exposure, strict=True)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = zip(*batch, strict=True)
+            # a whole batch of arrays would be hundreds of megabytes
+            while part := list(islice(rows, max(1, (1 << 17) // draws))):
+                yield pd.Series([make(*r) for r in part])
 
     out = emissions.withColumn("draws", run("series_id", "t", "n", "exposure"))
     at = lambda q: F.get(F.array_sort("draws"), F.lit(round(q * (draws - 1))))
