@@ -957,3 +957,22 @@ def test_ungated_emissions_draw_nothing_unasked(monkeypatch):
     before = emission.garwood.cache_info().misses
     emission.emit(2, at, at, (np.array([20.0, 40.0]), np.array([0.6, 0.9]), np.array([1, -1])), config)
     assert emission.garwood.cache_info().misses == before
+
+
+def test_sweep_holds_a_series_across_batches_in_tasks_of_its_own(spark):
+    from tidewatch.functions.sweep import sweep
+    from tidewatch.operators import metrics
+
+    rng = random.Random(8)
+    rows = [("m", s, float(t), float(rng.randrange(6))) for s in range(3) for t in range(150)]
+    grid = spark.createDataFrame([("m", float(v)) for v in range(5)], "method string, threshold double")
+    found = metrics.sweep_episodes(spark.createDataFrame(rows, "method string, series_id long, t double, score double"), grid, 2, 3, 4.0)
+    # rows are dealt by series in as many tasks as are asked for, not as few as their bytes would give, and hold no thresholds
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1
+    want = sorted((r.series_id, int(r.threshold) + 1, r.t_start, r.t_end) for r in found.collect())
+    frame = pd.DataFrame([(m, s, t, int(v) + 1 if v < 5 else 5, 5) for m, s, t, v in rows], columns=["method", "series_id", "t", "level", "of"])
+    for size in (1, 7, 150, 1000):
+        parts = (frame.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(frame), size))
+        out = pd.concat(list(sweep(parts, ["method", "series_id"], [], 2, 3, 4.0)))
+        assert sorted(zip(out["series_id"], out["j"], out["t_start"], out["t_end"])) == want

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.sweep import sweep
 from tidewatch.operators.events import episodes, merge_episodes
-from tidewatch.operators.resampling import proportion_bounds
+from tidewatch.operators.resampling import proportion_bounds, shuffle_tasks
 
 
-def _at_risk(scores: DataFrame, units: DataFrame, keys: list[str], debounce: int, horizon: float) -> tuple[DataFrame, DataFrame]:
-    """Per key and series: exposure and observability; and the scores at risk."""
+def _at_risk(scores: DataFrame, units: DataFrame, keys: list[str], debounce: int, horizon: float, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Per key and series: exposure and observability; and the scores at risk, with the columns `more` of the former."""
     own = scores.join(units, "series_id").where("t >= record_start and t <= record_end")
     w = Window.partitionBy(*keys, "series_id").orderBy("t")
     ranked = own.withColumn("k", F.row_number().over(w))
@@ -20,7 +21,8 @@ def _at_risk(scores: DataFrame, units: DataFrame, keys: list[str], debounce: int
     base = base.withColumn("observable", F.coalesce((F.col("t_event") > F.col("opening")) & F.col("near"), F.lit(False)))
     end = F.when(F.coalesce(F.col("t_event") <= F.col("opening"), F.lit(False)), F.col("record_start")).otherwise(F.least(F.col("record_end"), F.when(F.col("observable"), F.col("t_event"))))
     base = base.withColumn("event_end", end).withColumn("exposure", F.greatest(F.lit(0.0), F.col("event_end") - F.col("record_start")))
-    risk = own.join(base.select(*keys, "series_id", "event_end"), [*keys, "series_id"]).where("event_end > record_start and t <= event_end").select(*keys, "series_id", "t", "score")
+    own = own.drop("t_event")
+    risk = own.join(base.select(*keys, "series_id", "event_end", *more), [*keys, "series_id"]).where("event_end > record_start and t <= event_end").select(*keys, "series_id", "t", "score", *more)
     return base, risk
 
 
@@ -72,49 +74,34 @@ def threshold_grid(scores: DataFrame, n: int = 41, extra: dict[str, float] | Non
     return out.distinct()
 
 
-def sweep_episodes(scores: DataFrame, grid: DataFrame, debounce: int, refractory: int, gap: float) -> DataFrame:
+def sweep_episodes(scores: DataFrame, grid: DataFrame, debounce: int, refractory: int, gap: float, kept: list[str] | None = None) -> DataFrame:
     """Merged alarm episodes of scores(method, series_id, t, score) at every threshold of grid(method, threshold): method,
-    threshold, series_id, t_start, t_end.
+    threshold, series_id, t_start, t_end, and the columns `kept` of scores, which are constant in a series.
 
-    One pass over each series finds, for every sample, how many of its method's thresholds it reaches. As that number
-    rises or falls by one, a flagged run begins or ends at the threshold passed; only these turns become rows, not
-    every sample at every threshold. Runs are put together to episodes as episodes() and merge_episodes() do. All
-    windows keep the series together, so that the scores are shuffled once. A method's thresholds are one array.
+    Only how many of its method's thresholds each sample reaches is shuffled, once, by series; a pass over the series in
+    order of time then holds the open run and episode of each threshold. No sample becomes a row for each threshold.
+    The number of tasks is set here, since Spark would take it from the few bytes that the samples have.
     """
-    levels = grid.groupBy("method").agg(F.array_sort(F.collect_set("threshold")).alias("levels"))
-    series = Window.partitionBy("method", "series_id").orderBy("t")
-    rows = scores.select("method", "series_id", "t", "score").join(levels, "method").withColumn("level", F.size(F.filter("levels", lambda v: v <= F.col("score"))))
-    rows = rows.withColumns({"k": F.row_number().over(series), "was": F.coalesce(F.lag("level").over(series), F.lit(0)), "before": F.lag("t").over(series), "opens": F.lead("t", debounce - 1).over(series) if debounce > 1 else F.col("t"), "last": F.lead("t").over(series).isNull()})
-
-    def turns(low, high, k, up: bool, t):
-        """A turn at each level above low, up to high."""
-        one = lambda j: F.struct(j.cast("int").alias("j"), k.cast("int").alias("k"), F.lit(up).alias("up"), t.alias("t"))
-        return F.when(high > low, F.transform(F.sequence(low + 1, high), one)).otherwise(F.array().cast("array<struct<j:int,k:int,up:boolean,t:double>>"))
-
-    level, was = F.col("level"), F.col("was")
-    ends = F.when(F.col("last"), level).otherwise(F.lit(0))
-    flat = rows.where("level <> was or (last and level > 0)").select("method", "series_id", "levels", F.inline(F.concat(turns(was, level, F.col("k"), True, F.col("opens")), turns(level, was, F.col("k"), False, F.col("before")), turns(F.lit(0), ends, F.col("k") + 1, False, F.col("t")))))
-    own = ["method", "series_id", "j"]
-    by = Window.partitionBy(*own).orderBy("k")
-    # each end of a run has its beginning before it, and the end of the run before that one
-    runs = flat.withColumns({"begins": F.lag("k").over(by), "opens": F.lag("t").over(by), "quiet": F.lag("k").over(by) - F.lag("k", 2).over(by)}).where("not up")
-    runs = runs.withColumn("segment", F.sum(F.when(F.col("quiet") >= refractory, 1).otherwise(0)).over(by))
-    first = Window.partitionBy(*own, "segment").orderBy("k")
-    runs = runs.withColumn("open", F.max((F.col("k") - F.col("begins") >= debounce).cast("int")).over(first)).where("open = 1")
-    found = runs.groupBy(*own, "segment").agg(F.min_by("opens", "k").alias("t_start"), F.max("t").alias("t_end"), F.element_at(F.first("levels"), F.col("j")).alias("threshold"))
-    chained = Window.partitionBy(*own).orderBy("t_start", "t_end")
-    fresh = F.when(F.col("t_start") - F.lag("t_end").over(chained) > gap, 1).otherwise(0)
-    merged = found.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(chained))
-    return merged.groupBy(*own, "chain").agg(F.first("threshold").alias("threshold"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end")).select("method", "threshold", "series_id", "t_start", "t_end")
+    kept = kept or []
+    levels = F.broadcast(grid.groupBy("method").agg(F.array_sort(F.collect_set("threshold")).alias("levels")))
+    level = F.size(F.filter("levels", lambda v: v <= F.col("score")))
+    rows = scores.join(levels, "method").select("method", "series_id", F.col("t").cast("double").alias("t"), level.alias("level"), F.size("levels").alias("of"), *kept)
+    own = ["method", "series_id"]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in own), "j int, t_start double, t_end double", *(f"`{c}` {fields[c]}" for c in kept)])
+    ordered = rows.repartition(shuffle_tasks(scores), *own).sortWithinPartitions(*own, "t")
+    found = ordered.mapInPandas(lambda batches: sweep(batches, own, kept, debounce, refractory, gap), schema)
+    each = levels.select("method", F.posexplode("levels").alias("j", "threshold")).withColumn("j", F.col("j") + 1)
+    return found.join(F.broadcast(each), ["method", "j"]).select("method", "threshold", "series_id", "t_start", "t_end", *kept)
 
 
 def operating_curve(scores: DataFrame, units: DataFrame, grid: DataFrame, debounce: int, refractory: int, horizon: float, gap: float) -> DataFrame:
     """alarm_metrics() for every threshold of each method. What doesn't depend on the threshold (exposure, opportunities,
     events) is summed once for a method; episodes of all thresholds come from one sweep."""
-    base, risk = _at_risk(scores.select("method", "series_id", "t", "score"), units, ["method"], debounce, horizon)
+    base, risk = _at_risk(scores.select("method", "series_id", "t", "score"), units, ["method"], debounce, horizon, ("observable", "t_event"))
     counted = risk.groupBy("method").agg(F.count("*").alias("opportunities"))
     whole = base.groupBy("method").agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum(F.col("observable").cast("long")).alias("events")).join(counted, "method", "left")
-    held = sweep_episodes(risk, grid, debounce, refractory, gap).join(base.select("method", "series_id", "observable", "t_event"), ["method", "series_id"])
+    held = sweep_episodes(risk, grid, debounce, refractory, gap, ["observable", "t_event"])
     associated = F.coalesce(F.col("observable") & (F.col("t_start") < F.col("t_event")) & (F.col("t_end") >= F.col("t_event") - horizon), F.lit(False))
     each = held.withColumn("a", associated).groupBy("method", "threshold", "series_id").agg(F.sum((~F.col("a")).cast("long")).alias("false_episodes"), F.max(F.col("a").cast("long")).alias("detected"), F.max(F.when(F.col("a"), F.col("t_event") - F.col("t_start"))).alias("lead"))
     sums = each.groupBy("method", "threshold").agg(F.sum("detected").alias("detected"), F.sum("false_episodes").alias("false_episodes"), F.expr(_LEADS).alias("q"))

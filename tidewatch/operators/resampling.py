@@ -18,7 +18,7 @@ from tidewatch.operators.ranks import digest_range, range_of, ranked
 BLOCK, CHUNK = 4096, 1 << 17
 
 
-def _tasks(df: DataFrame) -> int:
+def shuffle_tasks(df: DataFrame) -> int:
     """Tasks of what Python computes from few bytes, which Spark would otherwise put together: a number of its own."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
@@ -29,7 +29,7 @@ def _drawn(units: DataFrame, replicates: int, seed: int, stratum: str) -> tuple[
     own = units.select("series_id", F.col(stratum).cast("string").alias("_stratum")).where("_stratum is not null")
     rank = F.col("_rank") - 1
     numbered = ranked(own, ["_stratum"], ["series_id"], range_of(own, "series_id"), "_rank").select("series_id", "_stratum", F.floor(rank / BLOCK).cast("int").alias("_block"), (rank % BLOCK).cast("int").alias("_place"))
-    tasks = _tasks(units)
+    tasks = shuffle_tasks(units)
     slots = own.groupBy("_stratum").agg(F.count("*").alias("n")).select("_stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("start")).repartition(tasks, "_stratum", "replicate", "start")
 
@@ -80,7 +80,7 @@ def drawn_vectors(rows: DataFrame, units: DataFrame, by: list[str], values: list
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in by), *(f"`{v}` binary" for v in values)])
     own = rows.select("series_id", *by, *(F.col(v).cast("double").alias(v) for v in values)).join(numbered, "series_id").drop("series_id")
-    tasks = _tasks(units)
+    tasks = shuffle_tasks(units)
 
     def run(own: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(slots):
@@ -137,7 +137,7 @@ def bootstrap_draws(units: DataFrame, replicates: int, seed: int, stratum: str =
     """
     numbered, slots = _drawn(units, replicates, seed, stratum)
     kind = units.schema["series_id"].dataType.simpleString()
-    tasks = _tasks(units)
+    tasks = shuffle_tasks(units)
 
     def run(own: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
         times = _times(slots, replicates)[own["_place"].to_numpy()]
@@ -187,7 +187,7 @@ def drawn_ranks(rows: DataFrame, units: DataFrame, replicates: int, seed: int, e
             sums[:, :, b] = (n0 + n1).sum(0), (x * (n0 + n1)).sum(0), n1.sum(0), (x**2 * n0 + (x - 1) ** 2 * n1).sum(0)
         return pd.DataFrame(out | {c: list(sums[k]) for k, c in enumerate(("bn", "bp", "by", "bq"))})
 
-    found = vectors.repartition(_tasks(units), "part").groupBy("part").applyInPandas(run, "part int, replicate int, u double, p double, n double, bn array<double>, bp array<double>, by array<double>, bq array<double>")
+    found = vectors.repartition(shuffle_tasks(units), "part").groupBy("part").applyInPandas(run, "part int, replicate int, u double, p double, n double, bn array<double>, bp array<double>, by array<double>, bq array<double>")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = lambda c: F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(bins)))
     sums = found.withColumn("before", before).groupBy("replicate").agg(F.sum(F.col("u") + F.col("p") * F.col("before")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.arrays_zip(*(total(c).alias(name) for c, name in (("bn", "n"), ("bp", "sp"), ("by", "sy"), ("bq", "sq")))).alias("bins"))
