@@ -976,3 +976,52 @@ def test_sweep_holds_a_series_across_batches_in_tasks_of_its_own(spark):
         parts = (frame.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(frame), size))
         out = pd.concat(list(sweep(parts, ["method", "series_id"], [], 2, 3, 4.0)))
         assert sorted(zip(out["series_id"], out["j"], out["t_start"], out["t_end"])) == want
+
+
+def test_timed_state_is_asked_a_few_times_for_a_key(spark):
+    from tidewatch.streaming import timed
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, []
+
+        def get(self):
+            calls.append(f"{self.name}.get")
+            return iter(self.value) if self.name == "waiting" else self.value or None
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.value += rows
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(name)
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append(f"timer {at}")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 10
+
+    one = timed.InOrder(lambda s, row: ((s[0] + row[1],), []), lambda s: (None, [s]), (0.0,), "total double", ["series_id", "total"], 1000)
+    one.init(Handle())
+    frames = [pd.DataFrame({"at": [3000, 2000], "x": [1.0, 2.0]}), pd.DataFrame({"at": [2500], "x": [4.0]})]
+    assert list(one.handleInputRows((7,), iter(frames), Times())) == []
+    assert calls == ["append", "append", "held.get", "timer 2", "update"]
+    calls.clear()
+    out = list(one.handleExpiredTimer((7,), Times(), None))
+    assert [tuple(r) for f in out for r in f.itertuples(index=False)] == [(7, 7.0)]
+    assert calls == ["waiting.get", "held.get", "clear", "clear"]

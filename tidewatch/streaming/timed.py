@@ -4,6 +4,7 @@ doesn't matter, and what is open is closed by a timer of event time. Rows later
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,50 +21,45 @@ class InOrder(StatefulProcessor):
 
     step(state, row) and close(state) give the new state and the rows that leave; a row is (microseconds, values...), a
     state a tuple. close() is called when `idle` microseconds have passed by the watermark since the last row, and the state is
-    then forgotten. Waiting rows are a list state, so they may be many; the timer stands at the first of them, or at the end of the idle time.
+    then forgotten. Waiting rows are a list state of what came together, so they may be many; the timer stands at the first of them, or at the
+    end of the idle time. A call to the state costs more than the rows of a short series, so the state, the last time and the timer are one
+    value, and a key without rows to give gives no frame.
     """
 
-    def __init__(self, step: Callable, close: Callable, start: tuple, row: str, state: str, names: list[str], idle: int):
+    def __init__(self, step: Callable, close: Callable, start: tuple, state: str, names: list[str], idle: int):
         self.step, self.finish, self.start, self.names, self.idle = step, close, start, names, idle
         # parsed here, where there is a session
-        self.row, self.state, self.at = (StructType.fromDDL(x) for x in (row, state + ", last long", "at long"))
+        self.rows, self.state = (StructType.fromDDL(x) for x in ("rows binary", state + ", last long, due long"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
+        self.waiting = handle.getListState("waiting", self.rows)
         self.held = handle.getValueState("held", self.state)
-        self.due = handle.getValueState("due", self.at)
-
-    def _wake(self, micros: int) -> None:
-        """Leaves one timer, at the earliest time that is asked for."""
-        at = -(-micros // 1000)
-        if self.due.exists():
-            before = self.due.get()[0]
-            if before <= at:
-                return
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(at)
-        self.due.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            new = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in frame.itertuples(index=False)]
-            if new:
-                self.waiting.appendList(new)
+            if len(frame):
+                new = list(zip(*(frame[c].tolist() for c in frame.columns)))
+                self.waiting.appendList([(pickle.dumps(new),)])
                 low = min(r[0] for r in new)
                 first = low if first is None else min(first, low)
         if first is not None:
-            self._wake(first)
-        yield pd.DataFrame({n: [] for n in self.names})
+            at = -(-first // 1000)
+            held = self.held.get() or (*self.start, None, None)
+            if held[-1] is None or held[-1] > at:  # one timer, at the earliest time that is asked for
+                if held[-1] is not None:
+                    self.handle.deleteTimer(held[-1])
+                self.handle.registerTimer(at)
+                self.held.update((*held[:-1], at))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.due.clear()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(r for part in self.waiting.get() for r in pickle.loads(part[0]))
         ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        held = tuple(self.held.get()) if self.held.exists() else (*self.start, None)
-        state, last, out = held[:-1], held[-1], []
+        held = tuple(self.held.get() or (*self.start, None, None))
+        state, last, out = held[:-2], held[-2], []
         for row in ready:
             if last is not None and row[0] - last > self.idle:
                 _, left = self.finish(state)
@@ -72,30 +68,31 @@ class InOrder(StatefulProcessor):
             state, left = self.step(state, row)
             out += left
             last = row[0]
-        if later:
-            self.waiting.put(later)
-        else:
+        if later and ready:
+            self.waiting.put([(pickle.dumps(later),)])
+        elif rows and not later:
             self.waiting.clear()
         if last is not None and now - last > self.idle and not (later and later[0][0] - last <= self.idle):
             out += self.finish(state)[1]
-            self.held.clear()
-            last = None
-        elif last is not None:
-            self.held.update((*state, last))
+            state, last = self.start, None
         ends = [later[0][0]] if later else []
         if last is not None:
             ends.append(last + self.idle + 1000)
         if ends:
-            self._wake(min(ends))
-        # the first row that leaves names the columns for all
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.names) if out else pd.DataFrame({n: [] for n in self.names})
+            at = -(-min(ends) // 1000)
+            self.handle.registerTimer(at)
+            self.held.update((*state, last, at))
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.names)
 
     def close(self) -> None:
         pass
 
 
 def _timed(stream: DataFrame, columns: list[str], processor: tuple, output: str, late: str, idle: float) -> DataFrame:
-    step, close, start, row, state = processor
+    step, close, start, state = processor
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     names = [c.split()[0] for c in output.split(", ")]
     rows = stream.withWatermark("ts", late).selectExpr("series_id", "ts", "unix_micros(ts) as at", *columns)
@@ -106,7 +103,7 @@ def _timed(stream: DataFrame, columns: list[str], processor: tuple, output: str,
         def handleInputRows(self, key, rows, timerValues):
             yield from super().handleInputRows(key, (f[kept] for f in rows), timerValues)
 
-    return given.transformWithStateInPandas(Trimmed(step, close, start, row, state, names, round(idle * 1e6)), StructType.fromDDL(output), "append", "eventTime")
+    return given.transformWithStateInPandas(Trimmed(step, close, start, state, names, round(idle * 1e6)), StructType.fromDDL(output), "append", "eventTime")
 
 
 def timed_episodes(stream: DataFrame, threshold: float, debounce: int, refractory: int, late: str, idle: float) -> DataFrame:
@@ -138,7 +135,7 @@ def timed_episodes(stream: DataFrame, threshold: float, debounce: int, refractor
 
     start = (0, 0, False, 0, 0, 0.0, -math.inf)
     state = "run int, quiet int, live boolean, start long, last_flag long, top double, peak double"
-    return _timed(stream, ["score"], (step, close, start, "at long, score double", state), "series_id long, t_start long, t_end long, max_score double", late, idle)
+    return _timed(stream, ["score"], (step, close, start, state), "series_id long, t_start long, t_end long, max_score double", late, idle)
 
 
 def timed_crossings(stream: DataFrame, high: float, low: float, critical: float, gap: float, late: str, idle: float) -> DataFrame:
@@ -173,4 +170,4 @@ def timed_crossings(stream: DataFrame, high: float, low: float, critical: float,
 
     start = (False, 0, 0.0, 0.0, False, 0.0, 0, 0.0, 0, 0.0)
     state = "seen boolean, pt long, px double, pdx double, open boolean, last_t double, before long, after double, side int, best double"
-    return _timed(stream, ["x"], (step, close, start, "at long, x double", state), "series_id long, before long, after double, side int, severity double", late, idle)
+    return _timed(stream, ["x"], (step, close, start, state), "series_id long, before long, after double, side int, severity double", late, idle)
