@@ -1025,3 +1025,19 @@ def test_timed_state_is_asked_a_few_times_for_a_key(spark):
     out = list(one.handleExpiredTimer((7,), Times(), None))
     assert [tuple(r) for f in out for r in f.itertuples(index=False)] == [(7, 7.0)]
     assert calls == ["waiting.get", "held.get", "clear", "clear"]
+
+
+def test_steps_of_a_fit_are_few_tasks_whatever_the_partitions(spark):
+    from tidewatch.operators import fits
+
+    df = spark.range(1000).repartition(100).selectExpr("id % 10 / 10 AS x", "id % 7 / 7 AS y")
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    try:
+        fitted = fits.fit_linear_quantile(df, ["x"], "y", [0.5], steps=3)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fitted[0.5]) == 2
+    seen = sc.statusTracker()
+    tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("fit") for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s)]
+    assert tasks and max(tasks) <= max(fits.PARTS, 2 * sc.defaultParallelism)

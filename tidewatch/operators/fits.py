@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Least number of parts in which rows are kept that are read at every step of a fit.
+PARTS = 16
+
+
 def fit_envelope(fs: DataFrame, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """by, q, scale: the factor s for which s * top is the q-quantile bound of target with least pinball loss, that is
     the q-quantile of target / top weighted by top. fs(top, target)."""
@@ -19,8 +23,10 @@ def fit_envelope(fs: DataFrame, quantiles: list[float], by: list[str] | None = N
 
 def fit_linear_quantile(df: DataFrame, columns: list[str], target: str, quantiles: list[float], steps: int = 200, rate: float = 0.05) -> dict[float, list[float]]:
     """Intercept and weights of a linear quantile regression for each quantile, by full-gradient descent with a decaying
-    step; every step is one aggregate of a few numbers over the whole table."""
-    own = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)), F.col(target).cast("double").alias("_y")).cache()
+    step; every step is one aggregate of a few numbers over the whole table. Each task of a step tells the driver how it went,
+    so the rows are kept in a number of parts that goes by the cores, not by the rows."""
+    own = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)), F.col(target).cast("double").alias("_y"))
+    own = own.coalesce(max(PARTS, 2 * df.sparkSession.sparkContext.defaultParallelism)).cache()
     weights = {q: [0.0] * (len(columns) + 1) for q in quantiles}
     try:
         for step in range(steps):
