@@ -1041,3 +1041,13 @@ def test_steps_of_a_fit_are_few_tasks_whatever_the_partitions(spark):
     seen = sc.statusTracker()
     tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("fit") for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s)]
     assert tasks and max(tasks) <= max(fits.PARTS, 2 * sc.defaultParallelism)
+
+
+def test_methods_are_compared_without_computing_them_again(spark):
+    from tidewatch.operators import metrics
+
+    rows = spark.createDataFrame([("a", 2.0, 0.5), ("b", 1.0, 0.1)], "method string, false_per_hour double, sensitivity double")
+    for out in (metrics.compare_methods(rows, "a"), metrics.compare_guards(rows, "a")):
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.method: r.reduction for r in out.collect()} == {"a": 0.0, "b": 0.5}
+    assert metrics.compare_methods(rows, "c").collect() == []

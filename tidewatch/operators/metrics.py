@@ -185,19 +185,24 @@ def describe5(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     return out.select(*(by or []), "n", "mean", *(F.col("q")[i].alias(c) for i, c in enumerate(("low", "q25", "q50", "q75", "high"))))
 
 
+def _beside(metrics: DataFrame, base: str, **columns: str) -> DataFrame:
+    """metrics (one row for each method, so few) with columns of the base method's row, none without it; metrics is computed once."""
+    whole, own = Window.partitionBy(F.lit(0)), F.col("method") == base
+    found = {name: F.max(F.when(own, F.col(c))).over(whole) for name, c in columns.items()}
+    return metrics.withColumns({**found, "_base": F.count(F.when(own, 1)).over(whole)}).where("_base > 0").drop("_base")
+
+
 def compare_methods(metrics: DataFrame, base: str) -> DataFrame:
     """method, reduction: relative fall of the false rate against the base method; null if that is 0."""
-    other = metrics.where(F.col("method") == base).select(F.col("false_per_hour").alias("b"))
-    return metrics.crossJoin(F.broadcast(other)).select("method", F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b")).alias("reduction"))
+    return _beside(metrics, base, b="false_per_hour").select("method", F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b")).alias("reduction"))
 
 
 def compare_guards(metrics: DataFrame, base: str, material: float = 0.1, survival: float = 0.5, most: float = 2.0, times: float = 4.0) -> DataFrame:
     """method, reduction, material, survives and explodes against the base method: whether the false rate falls by the share `material` or more, whether
     the sensitivity keeps the share `survival` of the base's, and whether the false rate is over `most` an hour and
     `times` that of the base. metrics has one row per method (few)."""
-    other = metrics.where(F.col("method") == base).select(F.col("false_per_hour").alias("b"), F.col("sensitivity").alias("sb"))
     reduction = F.when(F.col("b") > 0, 1 - F.col("false_per_hour") / F.col("b"))
-    return metrics.crossJoin(F.broadcast(other)).select("method", reduction.alias("reduction"), F.coalesce(reduction >= material, F.lit(False)).alias("material"), (F.col("sensitivity") >= survival * F.col("sb")).alias("survives"), ((F.col("false_per_hour") > most) & (F.col("false_per_hour") > times * F.col("b"))).alias("explodes"))
+    return _beside(metrics, base, b="false_per_hour", sb="sensitivity").select("method", reduction.alias("reduction"), F.coalesce(reduction >= material, F.lit(False)).alias("material"), (F.col("sensitivity") >= survival * F.col("sb")).alias("survives"), ((F.col("false_per_hour") > most) & (F.col("false_per_hour") > times * F.col("b"))).alias("explodes"))
 
 
 def coverage_cells(bounded: DataFrame, by: list[str], alpha: str = "alpha", confidence: float = 0.95) -> DataFrame:
