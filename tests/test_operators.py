@@ -1051,3 +1051,26 @@ def test_methods_are_compared_without_computing_them_again(spark):
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
         assert {r.method: r.reduction for r in out.collect()} == {"a": 0.0, "b": 0.5}
     assert metrics.compare_methods(rows, "c").collect() == []
+
+
+def test_ratio_reads_contributions_once(spark, tmp_path):
+    # the estimate comes with the draws; series of no stratum count in it and are never drawn
+    path = f"file://{tmp_path}/own"
+    spark.createDataFrame([(k, k % 3, 1 + k % 2) for k in range(40)], "series_id long, a long, b long").write.parquet(path)
+    own = spark.read.parquet(path)
+    units = spark.createDataFrame([(k, None if k >= 36 else k % 2) for k in range(40)], "series_id long, stratum int")
+    got = resampling.bootstrap_ratio(own, units, "a", "b", 30, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    times = {(r.replicate, r.series_id): r.times for r in resampling.bootstrap_draws(units, 30, 5).collect()}
+    drawn = [sum(k % 3 * times.get((r, k), 0) for k in range(36)) / sum((1 + k % 2) * times.get((r, k), 0) for k in range(36)) for r in range(30)]
+    row = got.first()
+    assert (row.estimate, row.replicates) == (sum(k % 3 for k in range(40)) / 60, 30)
+    assert np.allclose([row.lo, row.hi], np.quantile(drawn, [0.025, 0.975]))
+    empty = resampling.bootstrap_ratio(own.withColumn("b", F_lit(0)), units, "a", "b", 30, 5).first()
+    assert (empty.estimate, empty.lo, empty.replicates) == (math.inf, None, 0)
+
+
+def F_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)

@@ -68,10 +68,11 @@ def unpack(data: bytes, replicates: int) -> np.ndarray:
     return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.float64}[len(data) // replicates])
 
 
-def drawn_vectors(rows: DataFrame, units: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, stratum: str = "stratum") -> DataFrame:
+def drawn_vectors(rows: DataFrame, units: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, stratum: str = "stratum", whole: bool = False) -> DataFrame:
     """by, and for each of values a binary column: the sum over rows(series_id, by, values) of the value times the number of
     draws of its series, in every replicate of bootstrap_draws(); unpack() reads it. Several rows may have the same `by`: one
-    for each block of units, or more, to be added up. Values aren't null.
+    for each block of units, or more, to be added up. Values aren't null. With `whole` a last number is added: the sum over all
+    rows, each once, those of no unit or stratum too, so that nobody has to compute the rows again for it.
 
     A block of units meets its own draws once, as a matrix of units and replicates, whatever the number of rows; what leaves
     it is one row for each value of `by`, not one for each replicate.
@@ -79,13 +80,18 @@ def drawn_vectors(rows: DataFrame, units: DataFrame, by: list[str], values: list
     numbered, slots = _drawn(units, replicates, seed, stratum)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in by), *(f"`{v}` binary" for v in values)])
-    own = rows.select("series_id", *by, *(F.col(v).cast("double").alias(v) for v in values)).join(numbered, "series_id").drop("series_id")
+    own = rows.select("series_id", *by, *(F.col(v).cast("double").alias(v) for v in values)).join(numbered, "series_id", "left" if whole else "inner")
     tasks = shuffle_tasks(units)
+    if whole:  # rows that nothing draws are dealt to as many blocks as there are tasks
+        own = own.withColumns({"_block": F.coalesce("_block", -1 - F.pmod(F.xxhash64("series_id"), F.lit(tasks)).cast("int")), "_place": F.coalesce("_place", F.lit(0))})
+    own = own.drop("series_id")
 
     def run(own: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(slots):
+        if not len(own) or not (whole or len(slots)):
             return pd.DataFrame({c: [] for c in [*by, *values]})
         times = _times(slots, replicates)
+        if whole:
+            times = np.column_stack([times, np.ones(BLOCK, times.dtype)])
         group = own.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(own), np.int64)
         order = np.argsort(group, kind="stable")
         group, own = group[order], own.iloc[order]
@@ -109,9 +115,11 @@ def drawn_vectors(rows: DataFrame, units: DataFrame, by: list[str], values: list
     return own.repartition(tasks, *keys).groupBy(*keys).cogroup(slots.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
 
-def drawn_sums(rows: DataFrame, units: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, stratum: str = "stratum") -> DataFrame:
-    """by, replicate and the sums of drawn_vectors(), for few values of `by`; those that a replicate doesn't draw are left out."""
-    vectors = drawn_vectors(rows.withColumn("_one", F.lit(1)), units, by, ["_one", *values], replicates, seed, stratum)
+def drawn_sums(rows: DataFrame, units: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, stratum: str = "stratum", whole: bool = False) -> DataFrame:
+    """by, replicate and the sums of drawn_vectors(), for few values of `by`; those that a replicate doesn't draw are left out.
+    With `whole` the sums over all rows have the number after that of the last replicate."""
+    vectors = drawn_vectors(rows.withColumn("_one", F.lit(1)), units, by, ["_one", *values], replicates, seed, stratum, whole)
+    width = replicates + whole
     fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in by), "replicate int", *(f"`{v}` double" for v in ["_one", *values])])
 
@@ -119,9 +127,9 @@ def drawn_sums(rows: DataFrame, units: DataFrame, by: list[str], values: list[st
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.iloc[i : i + 1]
-                numbers = {v: unpack(row[v].iloc[0], replicates).astype(np.float64) for v in ["_one", *values]}
-                keys = row[by].loc[row.index.repeat(replicates)].reset_index(drop=True)
-                out = pd.concat([keys, pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), **numbers})], axis=1)
+                numbers = {v: unpack(row[v].iloc[0], width).astype(np.float64) for v in ["_one", *values]}
+                keys = row[by].loc[row.index.repeat(width)].reset_index(drop=True)
+                out = pd.concat([keys, pd.DataFrame({"replicate": np.arange(width, dtype=np.int32), **numbers})], axis=1)
                 yield out[out["_one"] > 0]
 
     flat = vectors.mapInPandas(run, schema)
@@ -150,12 +158,14 @@ def bootstrap_draws(units: DataFrame, replicates: int, seed: int, stratum: str =
 
 def bootstrap_ratio(contribution: DataFrame, units: DataFrame, top: str, bottom: str, replicates: int, seed: int) -> DataFrame:
     """estimate and 95% percentile interval of sum(top) / sum(bottom) under bootstrap_draws(); replicates whose bottom
-    is 0 are left out. Contributions are one row per series, summed by block of series for all replicates at once."""
+    is 0 are left out. Contributions are one row per series, summed by block of series for all replicates and the estimate at once."""
     own = contribution.select("series_id", F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("a"), F.coalesce(F.col(bottom).cast("double"), F.lit(0.0)).alias("b"))
-    sums = drawn_sums(own, units, [], ["a", "b"], replicates, seed)
-    spread = sums.where("b > 0").agg(F.expr("percentile(a / b, array(0.025D, 0.975D))").alias("q"), F.count("*").alias("replicates"))
-    whole = contribution.agg((F.sum(top) / F.sum(bottom)).alias("estimate"))
-    return whole.crossJoin(spread).select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates")
+    sums = drawn_sums(own, units, [], ["a", "b"], replicates, seed, whole=True)
+    ratio, last = F.col("a") / F.col("b"), F.col("replicate") == replicates
+    # nothing below the line is inf or NaN, as in SQL
+    each = sums.select(F.when(last, F.when(F.col("b") == 0, F.col("a") * float("inf")).otherwise(ratio)).alias("whole"), F.when(~last & (F.col("b") > 0), ratio).alias("drawn"))
+    spread = each.agg(F.max("whole").alias("estimate"), F.percentile("drawn", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("drawn").alias("replicates"))
+    return spread.select("estimate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates")
 
 
 def drawn_ranks(rows: DataFrame, units: DataFrame, replicates: int, seed: int, edges: list[float] | None = None) -> DataFrame:
