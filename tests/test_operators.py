@@ -1074,3 +1074,87 @@ def F_lit(value):
     from pyspark.sql import functions as F
 
     return F.lit(value)
+
+
+@pytest.mark.parametrize("groups", [None, 1, 2])
+def test_timed_series_of_a_group_keep_apart(spark, tmp_path, groups):
+    """Whatever the number of groups: rows out of order, series without an id, and times of silence give the same episodes."""
+    import datetime as dt
+
+    from tidewatch.streaming import sources, timed
+
+    rng, base = random.Random(4), dt.datetime(2024, 1, 1)
+    names = [None, 0, 3, 2**60 + 1]
+    rows = [(s, base + dt.timedelta(seconds=10 * k + (400 if k > 20 else 0), microseconds=rng.randrange(1000)), rng.choice([0.0, 1.0, 2.0, 3.0])) for k in range(40) for s in names]
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(60)))
+    path, schema = f"file://{tmp_path}/in", "series_id long, ts timestamp, score double"
+    for b in range(4):
+        spark.createDataFrame(late[b * 40 : (b + 1) * 40], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(99, base + dt.timedelta(days=1), 0.0)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    got = sources.run_to_end(timed.timed_episodes(stream, 2.0, 2, 2, "10 minutes", 100.0, groups)).collect()
+    zero = round(base.replace(tzinfo=dt.UTC).timestamp() * 1e6)
+    want = []
+    for name in names:
+        own = sorted((round((ts - base).total_seconds() * 1e6), v) for s, ts, v in rows if s == name)
+        for spell in ([r for r in own if r[0] < 300e6], [r for r in own if r[0] >= 300e6]):
+            df = spark.createDataFrame([(1, float(t), v) for t, v in spell], "series_id long, t double, score double")
+            want += [(name, int(r.t_start) + zero, int(r.t_end) + zero, r.max_score) for r in events.episodes(df, 2.0, 2, 2).collect()]
+    assert {r[0] for r in want} == set(names)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_timed_calls_go_by_groups_of_series():
+    from tidewatch.streaming import timed
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, []
+
+        def get(self):
+            calls.append(f"{self.name}.get")
+            return iter(self.value) if self.name == "waiting" else self.value or None
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.value += rows
+
+        def put(self, rows):
+            calls.append("put")
+            self.value = rows
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(name)
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append(f"timer {at}")
+
+    class Times:
+        now = 10
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    group = timed.Together(lambda s, row: ((s[0] + row[1],), []), lambda s: (None, [s]), (0.0,), ["absent", "series_id", "at", "x"], ["series_id", "total"], 5000)
+    group.init(Handle())
+    frame = pd.DataFrame({"absent": False, "series_id": list(range(500)) * 2, "at": [2000] * 500 + [9000] * 250 + [30000] * 250, "x": 1.0})
+    assert list(group.handleInputRows((7,), iter([frame]), Times())) == []
+    assert calls == ["append", "held.get", "timer 2", "update"]
+    calls.clear()
+    # at 10 ms half of the series have been silent for 5 ms after their first row, the others go on
+    done = [tuple(r) for f in group.handleExpiredTimer((7,), Times(), None) for r in f.itertuples(index=False)]
+    assert sorted(done) == [(s, 1.0) for s in range(500)]
+    assert calls == ["waiting.get", "held.get", "put", "timer 15", "update"]
