@@ -1158,3 +1158,12 @@ def test_timed_calls_go_by_groups_of_series():
     done = [tuple(r) for f in group.handleExpiredTimer((7,), Times(), None) for r in f.itertuples(index=False)]
     assert sorted(done) == [(s, 1.0) for s in range(500)]
     assert calls == ["waiting.get", "held.get", "put", "timer 15", "update"]
+
+
+@pytest.mark.parametrize("name", ["bootstrap_false_rate", "cluster_bootstrap"])
+def test_ratio_queries_compute_their_episodes_once(spark, sf_dir, name):
+    from tidewatch.plans import registry
+
+    # with contributions computed twice there are 22 windows and 25 scans
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 12 and plan.count("Relation [") <= 14
