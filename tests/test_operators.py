@@ -1167,3 +1167,46 @@ def test_ratio_queries_compute_their_episodes_once(spark, sf_dir, name):
     # with contributions computed twice there are 22 windows and 25 scans
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") <= 12 and plan.count("Relation [") <= 14
+
+
+def test_scores_at_risk_come_from_one_window(spark, sf_dir):
+    from tidewatch.plans import registry
+
+    # with scores joined with their own sums there are 14 scans and 12 joins
+    plan = registry.QUERIES["bootstrap_false_rate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 8 and plan.count("Join ") <= 6
+
+
+def test_contributions_of_series_with_few_scores(spark):
+    # no score in the record; fewer than the debounce; an event that nothing precedes; an episode before an event and a false one
+    units = spark.createDataFrame([(1, 0.0, 10.0, None, 0), (2, 0.0, 10.0, None, 0), (3, 0.0, 10.0, 1.0, None), (4, 0.0, 40.0, 30.0, 2), (5, 0.0, 9.0, 5.0, 1)], "series_id long, record_start double, record_end double, t_event double, stratum int")
+    rows = [(1, 11.0, 9.0), (2, 3.0, 9.0), (3, 2.0, 0.0), (3, 3.0, 9.0), *((4, float(t), 9.0 if t in (5, 6, 26, 27, 28) else 0.0) for t in range(41))]
+    got = metrics.contributions(spark.createDataFrame(rows, "series_id long, t double, score double"), units, 5.0, 2, 2, 10.0, 3.0)
+    # the series' stratum, exposure, opportunities, observable, detected, false_episodes, lead
+    assert {r.series_id: tuple(r)[1:] for r in got.collect()} == {1: (0, 10.0, 0, 0, 0, 0, None), 2: (0, 10.0, 1, 0, 0, 0, None), 3: (None, 0.0, 0, 0, 0, 0, None), 4: (2, 30.0, 31, 1, 1, 1, 3.0), 5: (1, 0.0, 0, 0, 0, 0, None)}
+
+
+def test_ranges_are_found_in_two_steps(spark):
+    import bisect
+
+    from tidewatch.operators.ranks import range_of
+
+    values = [None, float("nan"), -1e9, *(float(k * k % 997) for k in range(3000))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for ranges in (2, 3, 5, 300):
+        cuts = sorted(set(df.selectExpr(f"percentile_approx(v, array({', '.join(f'{k / ranges}D' for k in range(1, ranges))}), {20 * ranges})").first()[0]))
+        got = df.select("v", range_of(df, "v", ranges).alias("r"))
+        for r in got.collect():
+            assert r.r == (0 if r.v is None else len(cuts) if math.isnan(r.v) else bisect.bisect_right(cuts, r.v))
+    # no row meets all 299 cuts: a filter finds the run of cuts, another the place in it
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") > 1
+
+
+def test_draw_hashes_are_those_of_hashlib():
+    import hashlib
+
+    from tidewatch.functions.digest import md5_heads
+
+    for prefix, start, stop in ((b"23|1|5|", 0, 10100), (b"", 99990, 100100), (b"x" * 53, 5, 15), (b"x" * 60, 5, 15)):
+        assert md5_heads(prefix, start, stop).tolist() == [int.from_bytes(hashlib.md5(prefix + b"%d" % k).digest()[:4], "big") for k in range(start, stop)]

@@ -12,18 +12,33 @@ _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
 def _first_words(block: np.ndarray) -> np.ndarray:
-    """First state word after one block; block is 16 x messages. Words that all messages share are added as one number."""
+    """First state word after one block; block is 16 x messages. Words that all messages share are added as one number.
+
+    That word is set by step 60, so the last three aren't taken. Arrays are used again, as memory costs more than sums here.
+    """
     words = [int(w[0]) if (w == w[0]).all() else w for w in block]
     a, b, c, d = (np.full(block.shape[1], s, np.uint32) for s in _START)
-    for i in range(64):
-        if i < 16:
-            f, g = d ^ (b & (c ^ d)), i
-        elif i < 32:
-            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+    f, turned = np.empty_like(a), np.empty_like(a)
+    for i in range(61):
+        if i < 16:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            g = i
+        elif i < 32:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            g = (5 * i + 1) % 16
         elif i < 48:
-            f, g = b ^ c ^ d, (3 * i + 5) % 16
-        else:
-            f, g = c ^ (b | ~d), 7 * i % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            g = (3 * i + 5) % 16
+        else:  # c ^ (b | ~d)
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            g = 7 * i % 16
         f += a
         if isinstance(words[g], int):
             f += np.uint32((_SINES[i] + words[g]) & 0xFFFFFFFF)
@@ -31,11 +46,12 @@ def _first_words(block: np.ndarray) -> np.ndarray:
             f += np.uint32(_SINES[i])
             f += words[g]
         s = int(_SHIFTS[i])
-        turned = f << np.uint32(s)
-        turned |= f >> np.uint32(32 - s)
+        np.left_shift(f, np.uint32(s), out=turned)
+        f >>= np.uint32(32 - s)
+        turned |= f
         turned += b
-        a, b, c, d = d, turned, b, c
-    return a + np.uint32(_START[0])
+        a, b, c, d, turned = d, turned, b, c, a
+    return b + np.uint32(_START[0])
 
 
 def md5_heads(prefix: bytes, start: int, stop: int, at_once: int = 8192) -> np.ndarray:

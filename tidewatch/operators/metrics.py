@@ -11,18 +11,29 @@ from tidewatch.operators.resampling import proportion_bounds, shuffle_tasks
 
 
 def _at_risk(scores: DataFrame, units: DataFrame, keys: list[str], debounce: int, horizon: float, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Per key and series: exposure and observability; and the scores at risk, with the columns `more` of the former."""
-    own = scores.join(units, "series_id").where("t >= record_start and t <= record_end")
-    w = Window.partitionBy(*keys, "series_id").orderBy("t")
-    ranked = own.withColumn("k", F.row_number().over(w))
-    seen = ranked.groupBy(*keys, "series_id").agg(F.min(F.when(F.col("k") == debounce, F.col("t"))).alias("opening"), F.max(F.coalesce((F.col("t") < F.col("t_event")) & (F.col("t") >= F.col("t_event") - horizon), F.lit(False))).alias("near"))
+    """Per key and series: exposure, observability and opportunities; and the scores at risk, with the columns `more` of the former.
+
+    What a series' scores say of it as a whole is told to each of them by a window in order of time, so that scores aren't
+    joined with their own sums; both results come from that window.
+    """
+    own = [*keys, "series_id"]
+    w = Window.partitionBy(*own).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = F.coalesce((F.col("t") < F.col("t_event")) & (F.col("t") >= F.col("t_event") - horizon), F.lit(False))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """rows(record_start, record_end, t_event, opening, near) with what follows from these; an opening judged before stays."""
+        out = rows.withColumn("opening", F.greatest(F.col("record_start"), F.coalesce("opening", F.lit(float("inf")))))
+        out = out.withColumn("observable", F.coalesce((F.col("t_event") > F.col("opening")) & F.col("near"), F.lit(False)))
+        end = F.when(F.coalesce(F.col("t_event") <= F.col("opening"), F.lit(False)), F.col("record_start")).otherwise(F.least(F.col("record_end"), F.when(F.col("observable"), F.col("t_event"))))
+        return out.withColumn("event_end", end)
+
+    recorded = scores.join(units, "series_id").where("t >= record_start and t <= record_end")
+    seen = recorded.withColumns({"opening": F.nth_value("t", debounce).over(w), "near": F.max(near).over(w)})
+    at_risk = F.expr("event_end > record_start and t <= event_end")
+    sums = judged(seen).groupBy(*own).agg(F.max("opening").alias("opening"), F.max("near").alias("near"), F.count_if(at_risk).alias("opportunities"))
     every = scores.select(*keys).distinct().join(units) if keys else units
-    base = every.join(seen, [*keys, "series_id"], "left").withColumn("opening", F.greatest(F.col("record_start"), F.coalesce("opening", F.lit(float("inf")))))
-    base = base.withColumn("observable", F.coalesce((F.col("t_event") > F.col("opening")) & F.col("near"), F.lit(False)))
-    end = F.when(F.coalesce(F.col("t_event") <= F.col("opening"), F.lit(False)), F.col("record_start")).otherwise(F.least(F.col("record_end"), F.when(F.col("observable"), F.col("t_event"))))
-    base = base.withColumn("event_end", end).withColumn("exposure", F.greatest(F.lit(0.0), F.col("event_end") - F.col("record_start")))
-    own = own.drop("t_event")
-    risk = own.join(base.select(*keys, "series_id", "event_end", *more), [*keys, "series_id"]).where("event_end > record_start and t <= event_end").select(*keys, "series_id", "t", "score", *more)
+    base = judged(every.join(sums, own, "left")).withColumn("exposure", F.greatest(F.lit(0.0), F.col("event_end") - F.col("record_start")))
+    risk = judged(seen).where(at_risk).select(*own, "t", "score", *more)
     return base, risk
 
 
@@ -35,12 +46,11 @@ def contributions(scores: DataFrame, units: DataFrame, threshold, debounce: int,
     keys = keys or []
     base, risk = _at_risk(scores, units, keys, debounce, horizon)
     own = [*keys, "series_id"]
-    counted = risk.groupBy(*own).agg(F.count("*").alias("opportunities"))
     found = merge_episodes(episodes(risk, threshold, debounce, refractory, own), gap, own)
-    held = found.join(base.select(*own, "observable", "t_event"), own)
-    associated = F.col("observable") & (F.col("t_start") < F.col("t_event")) & (F.col("t_end") >= F.col("t_event") - horizon)
-    held = held.withColumn("associated", F.coalesce(associated, F.lit(False))).groupBy(*own).agg(F.sum((~F.col("associated")).cast("int")).alias("false_episodes"), F.max(F.col("associated").cast("int")).alias("detected"), F.max(F.when(F.col("associated"), F.col("t_event") - F.col("t_start"))).alias("lead"))
-    out = base.join(counted, own, "left").join(held, own, "left")
+    held = base.join(found.select(*own, "t_start", "t_end", F.lit(True).alias("found")), own, "left")
+    associated = F.coalesce(F.col("observable") & (F.col("t_start") < F.col("t_event")) & (F.col("t_end") >= F.col("t_event") - horizon), F.lit(False))
+    same = ("stratum", "exposure", "opportunities", "observable")
+    out = held.withColumn("associated", associated).groupBy(*own).agg(*(F.first(c).alias(c) for c in same), F.count_if(F.col("found") & ~F.col("associated")).alias("false_episodes"), F.max(F.col("associated").cast("int")).alias("detected"), F.max(F.when(F.col("associated"), F.col("t_event") - F.col("t_start"))).alias("lead"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(*own, "stratum", "exposure", zero("opportunities"), F.col("observable").cast("long").alias("observable"), zero("detected"), zero("false_episodes"), "lead")
 
@@ -99,8 +109,7 @@ def operating_curve(scores: DataFrame, units: DataFrame, grid: DataFrame, deboun
     """alarm_metrics() for every threshold of each method. What doesn't depend on the threshold (exposure, opportunities,
     events) is summed once for a method; episodes of all thresholds come from one sweep."""
     base, risk = _at_risk(scores.select("method", "series_id", "t", "score"), units, ["method"], debounce, horizon, ("observable", "t_event"))
-    counted = risk.groupBy("method").agg(F.count("*").alias("opportunities"))
-    whole = base.groupBy("method").agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum(F.col("observable").cast("long")).alias("events")).join(counted, "method", "left")
+    whole = base.groupBy("method").agg((F.sum("exposure") / 3600.0).alias("exposure_hours"), F.sum(F.col("observable").cast("long")).alias("events"), F.sum("opportunities").alias("opportunities"))
     held = sweep_episodes(risk, grid, debounce, refractory, gap, ["observable", "t_event"])
     associated = F.coalesce(F.col("observable") & (F.col("t_start") < F.col("t_event")) & (F.col("t_end") >= F.col("t_event") - horizon), F.lit(False))
     each = held.withColumn("a", associated).groupBy("method", "threshold", "series_id").agg(F.sum((~F.col("a")).cast("long")).alias("false_episodes"), F.max(F.col("a").cast("long")).alias("detected"), F.max(F.when(F.col("a"), F.col("t_event") - F.col("t_start"))).alias("lead"))

@@ -3,6 +3,8 @@ each range is numbered by itself, and the counts of the ranges before it are add
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,15 @@ def range_of(df: DataFrame, column: str, ranges: int | None = None) -> Column:
     at least, so that they grow in number with what the session is set up for."""
     n = ranges or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(df.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 20 * n)).first()[0] or []))
-    return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+    if not cuts:
+        return F.lit(0)
+    # two steps of about sqrt(n) comparisons: which run of cuts, then where in it
+    wide = math.isqrt(len(cuts) - 1) + 1
+    runs = [cuts[k : k + wide] for k in range(0, len(cuts), wide)]
+    below = lambda values: F.size(F.filter(values, lambda c: c <= F.col(column)))
+    array = lambda values: F.array(*(F.lit(c) for c in values))
+    run = F.greatest(below(array([r[0] for r in runs])) - 1, F.lit(0))
+    return run * wide + below(F.get(F.array(*(array(r) for r in runs)), run))
 
 
 def digest_range(digest: Column) -> Column:
